@@ -264,9 +264,9 @@ def param_kind(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", S.param_kind(name).alias("kind"))
 
 
-@query("detect_language", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'typescript' WHEN 3 THEN 'javascript' ELSE 'python' END AS language FROM pages")
+@query("detect_language", "SELECT page_id, CASE WHEN url LIKE '%/' THEN 'python' ELSE CASE page_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'typescript' WHEN 3 THEN 'javascript' ELSE 'python' END END AS language FROM pages")
 def detect_language(spark, sf_dir):
-    """The page's url with one of five endings; an unknown one means python."""
+    """The page's url with one of five endings; an unknown one, or an ending without a name before it, means python."""
     ends = F.array(*[F.lit(e) for e in (".py", ".MJS", ".tsx", ".min.js", ".rb")])
     path = F.concat("url", F.element_at(ends, (F.col("page_id") % 5 + 1).cast("int")))
     return table(spark, sf_dir, "pages").select("page_id", S.detect_language(path).alias("language"))

@@ -128,7 +128,8 @@ def quality_gate(score: Column, critical: Column, min_score: int = C.GATE_SCORE)
 
 
 def detect_language(path: Column) -> Column:
-    extension = F.lower(F.regexp_extract(path, r"[^./](\.[^./]+)$", 1))
+    # a name that is only an extension (".py") has none
+    extension = F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
     return _lookup(extension, C.LANGUAGE_OF_EXTENSION, C.DEFAULT_LANGUAGE)
 
 

@@ -201,7 +201,18 @@ def ast_nodes(files: DataFrame) -> DataFrame:
     """The node table of ``files(file_id, code, ...)``; one row per syntax node."""
     kind = files.schema["file_id"].dataType.simpleString()
     schema = f"file_id {kind}, " + ", ".join(f"`{name}` {sql}" for name, _, sql in _COLUMNS)
-    return files.select("file_id", "code").mapInArrow(_flatten, T._parse_datatype_string(schema))
+    rows = spread(files.select("file_id", "code"))
+    return rows.mapInArrow(_flatten, T._parse_datatype_string(schema))
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """Texts over at least as many tasks as the cluster runs at once: parsing is bound by CPU.
+
+    Input of any size has more splits than that already and is left as it is; only small input read as a
+    few splits is shuffled.
+    """
+    slots = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(slots, "file_id") if files.rdd.getNumPartitions() < slots else files
 
 
 def _ship_by_value() -> None:

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import builtins
 import sys
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,116 +77,164 @@ def c(name: str) -> Column:
     return F.col(name)
 
 
-def _local_rules() -> dict[str, tuple[Column, Column]]:
-    """rule id -> (condition on a node row, issue struct)."""
-    kind, name, line, node_id = c("kind"), c("name"), c("line"), c("node_id")
-    function, klass = kind == "FunctionDef", kind == "ClassDef"
-    rules: dict[str, tuple[Column, Column]] = {}
-
-    def add(rule_id, condition, severity, category, message, at, suggestion, seq):
-        rules[rule_id] = (condition, _issue(rule_id, severity, category, message, at, suggestion, seq))
-
-    # security: risky calls, one walk over the calls of a file
-    severity = F.when(name.isin("eval", "exec"), "critical").otherwise("high")
-    message = F.element_at(F.create_map(*[F.lit(x) for k, v in C.RISKY_CALLS.items() for x in (k, v[1])]), name)
-    add("ast_dangerous_call", (kind == "Call") & name.isin(*C.RISKY_CALLS), severity, "security", message, line,
-        _text("Avoid {fn}() or sanitize inputs carefully", fn=name), _seq("ast_calls", node_id, 0))
-
-    fstring = kind == "JoinedStr"
-    add("ast_sql_injection",
-        (c("p_kind") == "Call") & (c("field") == "args") & (c("idx") == 0)
-        & c("p_name").isin("execute", "executemany", "raw") & (fstring | ((kind == "BinOp") & (c("op") == "Mod"))),
-        F.when(fstring, "critical").otherwise("high"), "security",
-        F.when(fstring, "Potential SQL injection via f-string").otherwise("Potential SQL injection via string formatting"),
-        c("p_line"),
-        F.when(fstring, "Use parameterized queries with placeholders")
-        .otherwise("Use parameterized queries instead of % formatting"),
-        _seq("ast_calls", c("parent_id"), 1))
+def _assigned_name() -> Column:
+    """A plain name that an assignment statement binds directly."""
+    return (c("kind") == "Name") & (c("field") == "targets") & (c("p_kind") == "Assign")
+
 
+@dataclass(frozen=True)
+class NodeRule:
+    """A rule that one node row decides.
+
+    ``on`` says which node the issue belongs to: the row itself, its parent or its grandparent.  Texts may
+    name ``{v}`` (the ``value`` column; in the suggestion, rewritten by ``rename``) and ``{n}`` (``number``).
+    """
+
+    rule_id: str
+    condition: Column
+    severity: str
+    category: str
+    message: str
+    suggestion: str
+    check: str
+    on: str = "node"
+    value: str = "name"
+    number: str = "nest"
+    rename: str = ""
+    minor: int = 0
+    per_idx: bool = False  # several issues of one node: ordered by position
+    depth_first: bool = False
+
+
+def _local_rules() -> list[NodeRule]:
+    kind, name = c("kind"), c("name")
+    function, klass, module = kind == "FunctionDef", kind == "ClassDef", kind == "Module"
+    private = name.startswith("_")
+    call, single = kind == "Call", c("body_n") == 1
+    rules: list[NodeRule] = []
+
+    def add(rule_id, condition, severity, category, message, suggestion, check, **more):
+        rules.append(NodeRule(rule_id, condition, severity, category, message, suggestion, check, **more))
+
+    # security: one walk over the calls of a file
+    for function_name, (severity, message) in C.RISKY_CALLS.items():
+        add("ast_dangerous_call", call & (name == function_name), severity, "security", message,
+            "Avoid {v}() or sanitize inputs carefully", "ast_calls")
+    query = (c("field") == "args") & (c("idx") == 0) & (c("p_kind") == "Call") & c("p_name").isin("execute", "executemany", "raw")
+    add("ast_sql_injection", (kind == "JoinedStr") & query, "critical", "security", "Potential SQL injection via f-string",
+        "Use parameterized queries with placeholders", "ast_calls", on="parent", minor=1)
+    add("ast_sql_injection", (kind == "BinOp") & (c("op") == "Mod") & query, "high", "security",
+        "Potential SQL injection via string formatting", "Use parameterized queries instead of % formatting", "ast_calls",
+        on="parent", minor=1)
     add("ast_shell_true",
-        (kind == "Constant") & (c("field") == "value") & c("const_truthy") & (c("p_kind") == "keyword")
+        (kind == "Constant") & c("const_truthy") & (c("field") == "value") & (c("p_kind") == "keyword")
         & (c("p_name") == "shell") & (c("gp_kind") == "Call") & c("gp_name").isin("call", "run"),
-        "high", "security", "subprocess with shell=True is vulnerable to injection", c("gp_line"),
-        "Remove shell=True and pass arguments as list", _seq("ast_calls", c("gp_id"), 2))
-
-    add("ast_os_system", (kind == "Call") & (name == "system"), "high", "security",
-        "os.system() is vulnerable to command injection", line, "Use subprocess.run() with shell=False",
-        _seq("ast_calls", node_id, 3))
+        "high", "security", "subprocess with shell=True is vulnerable to injection",
+        "Remove shell=True and pass arguments as list", "ast_calls", on="grandparent", minor=2)
+    add("ast_os_system", call & (name == "system"), "high", "security", "os.system() is vulnerable to command injection",
+        "Use subprocess.run() with shell=False", "ast_calls", minor=3)
 
     # logic: constant conditions and empty bodies
-    const_test = (kind == "Constant") & (c("field") == "test")
-    add("ast_const_if", const_test & (c("p_kind") == "If"), "low", "logic",
-        F.when(c("const_truthy"), "If condition is always True")
-        .otherwise("If condition is always False (body never executes)"),
-        c("p_line"), "Remove the condition or fix the logic", _seq("ast_conditions", c("parent_id")))
-    add("ast_const_while", const_test & (c("p_kind") == "While") & ~c("const_truthy"), "medium", "logic",
-        "While condition is always False (loop never executes)", c("p_line"), "Remove the loop or fix the condition",
-        _seq("ast_conditions", c("parent_id")))
-
-    single = c("body_n") == 1
-    add("ast_empty_block", kind.isin("If", "For", "While", "With") & single & (c("body_kind") == "Pass"), "info",
-        "logic", _text("Empty {k} block", k=kind), line, "Implement the block or remove it", _seq("ast_empty", node_id))
-    add("ast_empty_function", function & single & (c("body_kind") == "Pass"), "medium", "logic",
-        _text("Function '{f}' is empty", f=name), line, "Implement the function or mark as abstract",
-        _seq("ast_empty", node_id))
+    test = (kind == "Constant") & (c("field") == "test")
+    fix_it = "Remove the condition or fix the logic"
+    add("ast_const_if", test & (c("p_kind") == "If") & c("const_truthy"), "low", "logic", "If condition is always True",
+        fix_it, "ast_conditions", on="parent")
+    add("ast_const_if", test & (c("p_kind") == "If") & ~c("const_truthy"), "low", "logic",
+        "If condition is always False (body never executes)", fix_it, "ast_conditions", on="parent")
+    add("ast_const_while", test & (c("p_kind") == "While") & ~c("const_truthy"), "medium", "logic",
+        "While condition is always False (loop never executes)", "Remove the loop or fix the condition", "ast_conditions",
+        on="parent")
+    add("ast_empty_block", single & (c("body_kind") == "Pass") & kind.isin("If", "For", "While", "With"), "info", "logic",
+        "Empty {v} block", "Implement the block or remove it", "ast_empty", value="kind")
+    abstract = "Implement the function or mark as abstract"
+    add("ast_empty_function", function & single & (c("body_kind") == "Pass"), "medium", "logic", "Function '{v}' is empty",
+        abstract, "ast_empty")
     add("ast_ellipsis_function",
         function & single & ((c("body_const_type") == "ellipsis") | (c("body_const_val") == "...")), "medium", "logic",
-        _text("Function '{f}' has ellipsis body", f=name), line, "Implement the function or mark as abstract",
-        _seq("ast_empty", node_id))
+        "Function '{v}' has ellipsis body", abstract, "ast_empty")
 
     # best practices
-    documented = F.coalesce(c("body_const_type") == "str", F.lit(False))
-    private = name.startswith("_")
-    module = kind == "Module"
-    add("ast_missing_docstring", (module | (function & ~private) | klass) & ~documented, "info", "best_practices",
-        F.when(module, "Module is missing docstring")
-        .when(function, _text("Function '{f}' is missing docstring", f=name))
-        .otherwise(_text("Class '{f}' is missing docstring", f=name)),
-        F.when(module, F.lit(1)).otherwise(line),
-        F.when(module, 'Add module docstring: """Module description."""')
-        .when(function, 'Add docstring: """Description of what function does."""')
-        .otherwise('Add docstring: """Class description."""'),
-        _seq("ast_missing_docstring", node_id))
-    add("ast_function_naming", function & ~S.is_snake_case(name) & ~private, "low", "best_practices",
-        _text("Function '{f}' should use snake_case", f=name), line,
-        _text("Rename to '{n}'", n=S.to_snake_case(name)), _seq("ast_naming", node_id))
-    add("ast_class_naming", klass & ~S.is_pascal_case(name), "low", "best_practices",
-        _text("Class '{f}' should use PascalCase", f=name), line,
-        _text("Rename to '{n}'", n=S.to_pascal_case(name)), _seq("ast_naming", node_id))
-    add("ast_variable_naming",
-        _assigned_name() & ~S.is_upper(name) & ~private & ~S.is_snake_case(name), "low", "best_practices",
-        _text("Variable '{v}' should use snake_case", v=name), c("p_line"),
-        _text("Rename to '{n}'", n=S.to_snake_case(name)), _seq("ast_naming", c("parent_id"), c("idx")))
-
-    length = c("end_line") - line + 1
-    add("ast_function_length", function & (length > C.MAX_FUNCTION_LENGTH), "medium", "best_practices",
-        _text("Function '{f}' is too long ({n} lines)", f=name, n=length), line,
-        f"Break into smaller functions (max {C.MAX_FUNCTION_LENGTH} lines)", _seq("ast_function_length", node_id))
-    add("ast_deep_nesting",
-        kind.isin("If", "For", "While", "With", "Try") & (c("nest") > C.MAX_NESTING_DEPTH), "medium", "best_practices",
-        _text("Deep nesting detected (depth: {d})", d=c("nest")), line, "Extract nested logic into separate functions",
-        _seq("ast_deep_nesting", c("pre")))
+    bare = ~F.coalesce(c("body_const_type") == "str", F.lit(False))
+    doc = "ast_missing_docstring"
+    add(doc, module & bare, "info", "best_practices", "Module is missing docstring",
+        'Add module docstring: """Module description."""', doc, on="file")
+    add(doc, function & bare & ~private, "info", "best_practices", "Function '{v}' is missing docstring",
+        'Add docstring: """Description of what function does."""', doc)
+    add(doc, klass & bare, "info", "best_practices", "Class '{v}' is missing docstring",
+        'Add docstring: """Class description."""', doc)
+    add("ast_function_naming", function & ~private & ~S.is_snake_case(name), "low", "best_practices",
+        "Function '{v}' should use snake_case", "Rename to '{v}'", "ast_naming", rename="snake")
+    add("ast_class_naming", klass & ~S.is_pascal_case(name), "low", "best_practices", "Class '{v}' should use PascalCase",
+        "Rename to '{v}'", "ast_naming", rename="pascal")
+    add("ast_variable_naming", _assigned_name() & ~private & ~S.is_snake_case(name) & ~S.is_upper(name), "low",
+        "best_practices", "Variable '{v}' should use snake_case", "Rename to '{v}'", "ast_naming", on="parent",
+        rename="snake", per_idx=True)
+    add("ast_function_length", function & (c("end_line") - c("line") + 1 > C.MAX_FUNCTION_LENGTH), "medium",
+        "best_practices", "Function '{v}' is too long ({n} lines)",
+        f"Break into smaller functions (max {C.MAX_FUNCTION_LENGTH} lines)", "ast_function_length", number="length")
+    add("ast_deep_nesting", (c("nest") > C.MAX_NESTING_DEPTH) & kind.isin("If", "For", "While", "With", "Try"), "medium",
+        "best_practices", "Deep nesting detected (depth: {n})", "Extract nested logic into separate functions",
+        "ast_deep_nesting", depth_first=True)
     add("ast_bare_except", (kind == "ExceptHandler") & ~c("typed"), "high", "best_practices",
-        "Bare 'except:' catches all exceptions including KeyboardInterrupt", line,
-        "Use 'except Exception:' or be more specific", _seq("ast_bare_except", node_id))
+        "Bare 'except:' catches all exceptions including KeyboardInterrupt",
+        "Use 'except Exception:' or be more specific", "ast_bare_except")
     add("ast_mutable_default",
-        kind.isin("List", "Dict", "Set") & (c("field") == "defaults") & (c("gp_kind") == "FunctionDef"), "medium",
-        "best_practices", _text("Mutable default argument in '{f}'", f=c("gp_name")), c("gp_line"),
-        "Use None as default and create inside function", _seq("ast_mutable_default", c("gp_id"), c("idx")))
+        (c("field") == "defaults") & kind.isin("List", "Dict", "Set") & (c("gp_kind") == "FunctionDef"), "medium",
+        "best_practices", "Mutable default argument in '{v}'", "Use None as default and create inside function",
+        "ast_mutable_default", on="grandparent", value="gp_name", per_idx=True)
     return rules
 
 
-def _assigned_name() -> Column:
-    """A plain name that an assignment statement binds directly."""
-    return (c("kind") == "Name") & (c("field") == "targets") & (c("p_kind") == "Assign")
+def _candidate() -> Column:
+    """Nodes some local rule may fire on: a short test that spares most nodes the rule list."""
+    statement = c("kind").isin("Module", "FunctionDef", "ClassDef", "Call", "If", "For", "While", "With", "Try", "ExceptHandler")
+    place = (
+        ((c("field") == "targets") & (c("kind") == "Name"))
+        | ((c("field") == "defaults") & c("kind").isin("List", "Dict", "Set"))
+        | ((c("field") == "args") & c("kind").isin("JoinedStr", "BinOp") & (c("p_kind") == "Call"))
+        | (c("field").isin("test", "value") & (c("kind") == "Constant") & c("p_kind").isin("If", "While", "keyword"))
+    )
+    return statement | place
 
 
-def local_issues(nodes: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """All rules that need one node row, in one pass over the node table."""
-    rules = _local_rules()
-    chosen = [rules[r] for r in (only or rules)]
-    found = F.explode(F.array(*[F.when(cond, issue) for cond, issue in chosen]))
-    return nodes.select("file_id", found.alias("i")).where(c("i").isNotNull()).select("file_id", "i.*")
+def local_issues(nodes: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+    """All rules that one node row decides, in one pass over the node table.
+
+    As with line rules, a row first yields the numbers of the rules that fire; texts are looked up in a
+    constant table and filled in for those rows alone, which keeps the code run for every node small.
+    """
+    rules = [r for r in _local_rules() if only is None or r.rule_id in only]
+    numbers = F.explode(F.array(*[F.when(r.condition, F.lit(i)) for i, r in enumerate(rules)])).alias("rule_no")
+    kept = ["file_id", "node_id", "parent_id", "gp_id", "pre", "idx", "line", "p_line", "gp_line", "end_line", "kind", "name",
+            "gp_name", "nest"]
+    meta = F.array(*[
+        F.struct(
+            F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"),
+            F.lit(r.message).alias("message"), F.lit(r.suggestion).alias("suggestion"),
+            F.lit(CHECK[r.check] * CHECK_STEP + r.minor).alias("base"), F.lit(r.on).alias("on"), F.lit(r.value).alias("value"),
+            F.lit(r.number).alias("number"), F.lit(r.rename).alias("rename"), F.lit(r.per_idx).alias("per_idx"),
+            F.lit(r.depth_first).alias("depth_first"))
+        for r in rules])
+    hits = nodes.where(_candidate()).select(*kept, numbers).where(c("rule_no").isNotNull())
+    hits = hits.select("*", F.element_at(meta, c("rule_no") + 1).alias("m"))
+    on = c("m.on")
+    value = F.when(c("m.value") == "kind", c("kind")).when(c("m.value") == "gp_name", c("gp_name")).otherwise(c("name"))
+    number = F.when(c("m.number") == "length", c("end_line") - c("line") + 1).otherwise(c("nest"))
+    owner = (F.when(c("m.depth_first"), c("pre")).when(on == "parent", c("parent_id")).when(on == "grandparent", c("gp_id"))
+             .otherwise(c("node_id")))
+    hits = hits.select(
+        "file_id", "m", "idx", F.coalesce(value, F.lit("")).alias("v"), number.cast("string").alias("n"),
+        F.when(on == "file", F.lit(1)).when(on == "parent", c("p_line")).when(on == "grandparent", c("gp_line"))
+        .otherwise(c("line")).alias("line"),
+        owner.cast("long").alias("owner"))
+    renamed = (F.when(c("m.rename") == "snake", S.to_snake_case(c("v"))).when(c("m.rename") == "pascal", S.to_pascal_case(c("v")))
+               .otherwise(c("v")))
+    return hits.select(
+        "file_id", "m.rule_id", "m.severity", "m.category",
+        F.replace(F.replace(c("m.message"), F.lit("{n}"), c("n")), F.lit("{v}"), c("v")).alias("message"),
+        "line", F.lit(None).cast("int").alias("column"),
+        F.replace(c("m.suggestion"), F.lit("{v}"), renamed).alias("suggestion"),
+        (c("m.base") + c("owner") * F.lit(MAJOR_STEP) + F.when(c("m.per_idx"), c("idx")).otherwise(F.lit(0))).alias("seq"))
 
 
 # --- parse errors -------------------------------------------------------------------------------------------

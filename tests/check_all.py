@@ -12,7 +12,7 @@ from tests.oracle import compare, connect  # noqa: E402
 
 
 def main(sf_dir, names):
-    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     queries, sql = E.queries(), E.oracle_sql()
     con = connect(sf_dir)
