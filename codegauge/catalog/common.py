@@ -17,6 +17,7 @@ from codegauge.constants import MAX_LINE_LENGTH
 from codegauge.corpus import sql_text
 from codegauge.functions.syntax import ast_nodes
 from codegauge.operators import lines as L
+from codegauge.plans.validate import text_issues
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2024-01-31 00:00:00"
@@ -49,7 +50,7 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.scan_lines(L.code_lines(doc_files(spark, sf_dir)), R.TEXT_PACKS)
+    return text_issues(doc_files(spark, sf_dir), R.TEXT_PACKS)
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:

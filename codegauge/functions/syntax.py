@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 
 from pyspark import cloudpickle
 
+from codegauge.session import spread
+
 ERROR_KIND = "SyntaxError"
 MAX_BATCH_ROWS = 20_000
 
@@ -205,16 +207,6 @@ def ast_nodes(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(_flatten, T._parse_datatype_string(schema))
 
 
-def spread(files: DataFrame) -> DataFrame:
-    """Texts over at least as many tasks as the cluster runs at once: parsing is bound by CPU.
-
-    Input of any size has more splits than that already and is left as it is; only small input read as a
-    few splits is shuffled.
-    """
-    slots = files.sparkSession.sparkContext.defaultParallelism
-    return files.repartition(slots, "file_id") if files.rdd.getNumPartitions() < slots else files
-
-
 def _ship_by_value() -> None:
     """Send this module's functions with the task, so executors need no copy of the package."""
     import codegauge.functions.syntax as module

@@ -40,7 +40,7 @@ def history_filter(history: DataFrame, as_of: str | Column, days: int | None = 3
 
 def _mean(column: str) -> Column:
     """Mean from an exact whole-number sum, to one decimal."""
-    return F.round(F.sum(column) / F.count(column), 1)
+    return F.round(F.try_divide(F.sum(column), F.count(column)), 1)
 
 
 def _issues() -> Column:
@@ -53,7 +53,7 @@ def overview(history: DataFrame) -> DataFrame:
     return history.agg(
         n.alias("total_validations"),
         F.coalesce(_mean("trust_score"), F.lit(0.0)).alias("average_score"),
-        F.coalesce(F.round(F.count_if("passed") / n * 100, 1), F.lit(0.0)).alias("pass_rate"),
+        F.coalesce(F.round(F.try_divide(F.count_if("passed"), n) * 100, 1), F.lit(0.0)).alias("pass_rate"),
         F.coalesce(F.sum(_issues()), F.lit(0)).alias("total_issues"),
         F.coalesce(F.sum("critical_count"), F.lit(0)).alias("critical_issues"),
     )

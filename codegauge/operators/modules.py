@@ -92,7 +92,7 @@ def module_trust(mods: DataFrame, results: DataFrame) -> DataFrame:
 def overall_trust(trust: DataFrame) -> DataFrame:
     """Mean module score cut to a whole number; 50 when nothing was scored."""
     return trust.agg(F.coalesce(
-        F.floor(F.sum("trust_score") / F.count("trust_score")), F.lit(50)).cast("int").alias("overall_score"))
+        F.floor(F.try_divide(F.sum("trust_score"), F.count("trust_score"))), F.lit(50)).cast("int").alias("overall_score"))
 
 
 def degrees(mods: DataFrame, adjacency: DataFrame) -> DataFrame:

@@ -84,13 +84,14 @@ def _assigned_name() -> Column:
 
 @dataclass(frozen=True)
 class NodeRule:
-    """A rule that one node row decides.
+    """A rule that one node row of one of the ``kinds`` decides.
 
     ``on`` says which node the issue belongs to: the row itself, its parent or its grandparent.  Texts may
     name ``{v}`` (the ``value`` column; in the suggestion, rewritten by ``rename``) and ``{n}`` (``number``).
     """
 
     rule_id: str
+    kinds: str
     condition: Column
     severity: str
     category: str
@@ -107,94 +108,101 @@ class NodeRule:
 
 
 def _local_rules() -> list[NodeRule]:
-    kind, name = c("kind"), c("name")
-    function, klass, module = kind == "FunctionDef", kind == "ClassDef", kind == "Module"
+    name = c("name")
     private = name.startswith("_")
-    call, single = kind == "Call", c("body_n") == 1
+    single = c("body_n") == 1
     rules: list[NodeRule] = []
 
-    def add(rule_id, condition, severity, category, message, suggestion, check, **more):
-        rules.append(NodeRule(rule_id, condition, severity, category, message, suggestion, check, **more))
+    def add(rule_id, kinds, condition, severity, category, message, suggestion, check, **more):
+        rules.append(NodeRule(rule_id, kinds, condition, severity, category, message, suggestion, check, **more))
 
     # security: one walk over the calls of a file
     for function_name, (severity, message) in C.RISKY_CALLS.items():
-        add("ast_dangerous_call", call & (name == function_name), severity, "security", message,
+        add("ast_dangerous_call", "Call", name == function_name, severity, "security", message,
             "Avoid {v}() or sanitize inputs carefully", "ast_calls")
     query = (c("field") == "args") & (c("idx") == 0) & (c("p_kind") == "Call") & c("p_name").isin("execute", "executemany", "raw")
-    add("ast_sql_injection", (kind == "JoinedStr") & query, "critical", "security", "Potential SQL injection via f-string",
+    add("ast_sql_injection", "JoinedStr", query, "critical", "security", "Potential SQL injection via f-string",
         "Use parameterized queries with placeholders", "ast_calls", on="parent", minor=1)
-    add("ast_sql_injection", (kind == "BinOp") & (c("op") == "Mod") & query, "high", "security",
+    add("ast_sql_injection", "BinOp", (c("op") == "Mod") & query, "high", "security",
         "Potential SQL injection via string formatting", "Use parameterized queries instead of % formatting", "ast_calls",
         on="parent", minor=1)
-    add("ast_shell_true",
-        (kind == "Constant") & c("const_truthy") & (c("field") == "value") & (c("p_kind") == "keyword")
+    add("ast_shell_true", "Constant",
+        c("const_truthy") & (c("field") == "value") & (c("p_kind") == "keyword")
         & (c("p_name") == "shell") & (c("gp_kind") == "Call") & c("gp_name").isin("call", "run"),
         "high", "security", "subprocess with shell=True is vulnerable to injection",
         "Remove shell=True and pass arguments as list", "ast_calls", on="grandparent", minor=2)
-    add("ast_os_system", call & (name == "system"), "high", "security", "os.system() is vulnerable to command injection",
+    add("ast_os_system", "Call", name == "system", "high", "security", "os.system() is vulnerable to command injection",
         "Use subprocess.run() with shell=False", "ast_calls", minor=3)
 
     # logic: constant conditions and empty bodies
-    test = (kind == "Constant") & (c("field") == "test")
+    test = c("field") == "test"
     fix_it = "Remove the condition or fix the logic"
-    add("ast_const_if", test & (c("p_kind") == "If") & c("const_truthy"), "low", "logic", "If condition is always True",
+    add("ast_const_if", "Constant", test & (c("p_kind") == "If") & c("const_truthy"), "low", "logic", "If condition is always True",
         fix_it, "ast_conditions", on="parent")
-    add("ast_const_if", test & (c("p_kind") == "If") & ~c("const_truthy"), "low", "logic",
+    add("ast_const_if", "Constant", test & (c("p_kind") == "If") & ~c("const_truthy"), "low", "logic",
         "If condition is always False (body never executes)", fix_it, "ast_conditions", on="parent")
-    add("ast_const_while", test & (c("p_kind") == "While") & ~c("const_truthy"), "medium", "logic",
+    add("ast_const_while", "Constant", test & (c("p_kind") == "While") & ~c("const_truthy"), "medium", "logic",
         "While condition is always False (loop never executes)", "Remove the loop or fix the condition", "ast_conditions",
         on="parent")
-    add("ast_empty_block", single & (c("body_kind") == "Pass") & kind.isin("If", "For", "While", "With"), "info", "logic",
+    add("ast_empty_block", "If For While With", single & (c("body_kind") == "Pass"), "info", "logic",
         "Empty {v} block", "Implement the block or remove it", "ast_empty", value="kind")
     abstract = "Implement the function or mark as abstract"
-    add("ast_empty_function", function & single & (c("body_kind") == "Pass"), "medium", "logic", "Function '{v}' is empty",
+    add("ast_empty_function", "FunctionDef", single & (c("body_kind") == "Pass"), "medium", "logic", "Function '{v}' is empty",
         abstract, "ast_empty")
-    add("ast_ellipsis_function",
-        function & single & ((c("body_const_type") == "ellipsis") | (c("body_const_val") == "...")), "medium", "logic",
+    add("ast_ellipsis_function", "FunctionDef",
+        single & ((c("body_const_type") == "ellipsis") | (c("body_const_val") == "...")), "medium", "logic",
         "Function '{v}' has ellipsis body", abstract, "ast_empty")
 
     # best practices
     bare = ~F.coalesce(c("body_const_type") == "str", F.lit(False))
     doc = "ast_missing_docstring"
-    add(doc, module & bare, "info", "best_practices", "Module is missing docstring",
+    add(doc, "Module", bare, "info", "best_practices", "Module is missing docstring",
         'Add module docstring: """Module description."""', doc, on="file")
-    add(doc, function & bare & ~private, "info", "best_practices", "Function '{v}' is missing docstring",
+    add(doc, "FunctionDef", bare & ~private, "info", "best_practices", "Function '{v}' is missing docstring",
         'Add docstring: """Description of what function does."""', doc)
-    add(doc, klass & bare, "info", "best_practices", "Class '{v}' is missing docstring",
+    add(doc, "ClassDef", bare, "info", "best_practices", "Class '{v}' is missing docstring",
         'Add docstring: """Class description."""', doc)
-    add("ast_function_naming", function & ~private & ~S.is_snake_case(name), "low", "best_practices",
+    add("ast_function_naming", "FunctionDef", ~private & ~S.is_snake_case(name), "low", "best_practices",
         "Function '{v}' should use snake_case", "Rename to '{v}'", "ast_naming", rename="snake")
-    add("ast_class_naming", klass & ~S.is_pascal_case(name), "low", "best_practices", "Class '{v}' should use PascalCase",
+    add("ast_class_naming", "ClassDef", ~S.is_pascal_case(name), "low", "best_practices", "Class '{v}' should use PascalCase",
         "Rename to '{v}'", "ast_naming", rename="pascal")
-    add("ast_variable_naming", _assigned_name() & ~private & ~S.is_snake_case(name) & ~S.is_upper(name), "low",
+    add("ast_variable_naming", "Name", _assigned_name() & ~private & ~S.is_snake_case(name) & ~S.is_upper(name), "low",
         "best_practices", "Variable '{v}' should use snake_case", "Rename to '{v}'", "ast_naming", on="parent",
         rename="snake", per_idx=True)
-    add("ast_function_length", function & (c("end_line") - c("line") + 1 > C.MAX_FUNCTION_LENGTH), "medium",
+    add("ast_function_length", "FunctionDef", c("end_line") - c("line") + 1 > C.MAX_FUNCTION_LENGTH, "medium",
         "best_practices", "Function '{v}' is too long ({n} lines)",
         f"Break into smaller functions (max {C.MAX_FUNCTION_LENGTH} lines)", "ast_function_length", number="length")
-    add("ast_deep_nesting", (c("nest") > C.MAX_NESTING_DEPTH) & kind.isin("If", "For", "While", "With", "Try"), "medium",
+    add("ast_deep_nesting", "If For While With Try", c("nest") > C.MAX_NESTING_DEPTH, "medium",
         "best_practices", "Deep nesting detected (depth: {n})", "Extract nested logic into separate functions",
         "ast_deep_nesting", depth_first=True)
-    add("ast_bare_except", (kind == "ExceptHandler") & ~c("typed"), "high", "best_practices",
+    add("ast_bare_except", "ExceptHandler", ~c("typed"), "high", "best_practices",
         "Bare 'except:' catches all exceptions including KeyboardInterrupt",
         "Use 'except Exception:' or be more specific", "ast_bare_except")
-    add("ast_mutable_default",
-        (c("field") == "defaults") & kind.isin("List", "Dict", "Set") & (c("gp_kind") == "FunctionDef"), "medium",
+    add("ast_mutable_default", "List Dict Set",
+        (c("field") == "defaults") & (c("gp_kind") == "FunctionDef"), "medium",
         "best_practices", "Mutable default argument in '{v}'", "Use None as default and create inside function",
         "ast_mutable_default", on="grandparent", value="gp_name", per_idx=True)
     return rules
 
 
-def _candidate() -> Column:
-    """Nodes some local rule may fire on: a short test that spares most nodes the rule list."""
-    statement = c("kind").isin("Module", "FunctionDef", "ClassDef", "Call", "If", "For", "While", "With", "Try", "ExceptHandler")
-    place = (
-        ((c("field") == "targets") & (c("kind") == "Name"))
-        | ((c("field") == "defaults") & c("kind").isin("List", "Dict", "Set"))
-        | ((c("field") == "args") & c("kind").isin("JoinedStr", "BinOp") & (c("p_kind") == "Call"))
-        | (c("field").isin("test", "value") & (c("kind") == "Constant") & c("p_kind").isin("If", "While", "keyword"))
-    )
-    return statement | place
+def _kinds(rules: Sequence[NodeRule]) -> list[str]:
+    return sorted({k for r in rules for k in r.kinds.split()})
+
+
+def _rule_numbers(rules: Sequence[NodeRule]) -> Column:
+    """Numbers of the rules that fire on a row, null where one does not.
+
+    Rows branch on their kind first and try only the rules of that kind.
+    """
+    by_rules: dict[tuple[int, ...], list[str]] = {}
+    for kind in _kinds(rules):
+        by_rules.setdefault(tuple(i for i, r in enumerate(rules) if kind in r.kinds.split()), []).append(kind)
+    chain = None
+    for numbers, kinds in by_rules.items():
+        fired = F.array(*[F.when(rules[i].condition, F.lit(i)) for i in numbers])
+        test = c("kind").isin(*kinds)
+        chain = F.when(test, fired) if chain is None else chain.when(test, fired)
+    return chain
 
 
 def local_issues(nodes: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
@@ -204,7 +212,7 @@ def local_issues(nodes: DataFrame, only: Sequence[str] | None = None) -> DataFra
     constant table and filled in for those rows alone, which keeps the code run for every node small.
     """
     rules = [r for r in _local_rules() if only is None or r.rule_id in only]
-    numbers = F.explode(F.array(*[F.when(r.condition, F.lit(i)) for i, r in enumerate(rules)])).alias("rule_no")
+    numbers = F.explode(_rule_numbers(rules)).alias("rule_no")
     kept = ["file_id", "node_id", "parent_id", "gp_id", "pre", "idx", "line", "p_line", "gp_line", "end_line", "kind", "name",
             "gp_name", "nest"]
     meta = F.array(*[
@@ -215,7 +223,7 @@ def local_issues(nodes: DataFrame, only: Sequence[str] | None = None) -> DataFra
             F.lit(r.number).alias("number"), F.lit(r.rename).alias("rename"), F.lit(r.per_idx).alias("per_idx"),
             F.lit(r.depth_first).alias("depth_first"))
         for r in rules])
-    hits = nodes.where(_candidate()).select(*kept, numbers).where(c("rule_no").isNotNull())
+    hits = nodes.where(c("kind").isin(*_kinds(rules))).select(*kept, numbers).where(c("rule_no").isNotNull())
     hits = hits.select("*", F.element_at(meta, c("rule_no") + 1).alias("m"))
     on = c("m.on")
     value = F.when(c("m.value") == "kind", c("kind")).when(c("m.value") == "gp_name", c("gp_name")).otherwise(c("name"))

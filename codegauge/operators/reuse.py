@@ -109,8 +109,8 @@ def cache_metrics(cache: DataFrame) -> DataFrame:
     return cache.agg(
         n.alias("total_validations"), F.countDistinct("file_path").alias("files_analyzed"),
         F.coalesce(F.sum("issues_count"), F.lit(0)).alias("total_issues_found"),
-        F.coalesce(F.sum("trust_score") / n, F.lit(0.0)).alias("avg_trust_score"),
-        F.coalesce(F.sum("duration_ms") / F.count("duration_ms"), F.lit(0.0)).alias("avg_analysis_time_ms"))
+        F.coalesce(F.try_divide(F.sum("trust_score"), n), F.lit(0.0)).alias("avg_trust_score"),
+        F.coalesce(F.try_divide(F.sum("duration_ms"), F.count("duration_ms")), F.lit(0.0)).alias("avg_analysis_time_ms"))
 
 
 def cache_stats(cache: DataFrame, text: str = "result_json") -> DataFrame:

@@ -153,12 +153,12 @@ def run_summary(results: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return results.agg(
         n.alias("total_files"),
-        F.coalesce(F.round(F.sum("trust_score") / n, 1), F.lit(0.0)).alias("average_score"),
+        F.coalesce(F.round(F.try_divide(F.sum("trust_score"), n), 1), F.lit(0.0)).alias("average_score"),
         passed.alias("passed"),
         (n - passed).alias("failed"),
         F.coalesce(F.sum("issue_count"), F.lit(0)).alias("total_issues"),
         F.coalesce(F.sum("critical_count"), F.lit(0)).alias("critical_issues"),
-        F.coalesce(F.round(passed / n * 100, 1), F.lit(0.0)).alias("pass_rate"),
+        F.coalesce(F.round(F.try_divide(passed, n) * 100, 1), F.lit(0.0)).alias("pass_rate"),
     )
 
 

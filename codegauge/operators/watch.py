@@ -34,7 +34,7 @@ def watch_summary(latest: DataFrame) -> DataFrame:
     """Tracked files, mean score, issues and the excellent / good / poor split."""
     n, score = F.count(F.lit(1)), F.col("score")
     return latest.agg(
-        n.alias("total_files"), F.coalesce(F.sum("score") / n, F.lit(0.0)).alias("average_score"),
+        n.alias("total_files"), F.coalesce(F.try_divide(F.sum("score"), n), F.lit(0.0)).alias("average_score"),
         F.coalesce(F.sum("issues"), F.lit(0)).alias("total_issues"),
         F.count_if(score >= 80).alias("excellent"), F.count_if((score >= 60) & (score < 80)).alias("good"),
         F.count_if(score < 60).alias("poor"))

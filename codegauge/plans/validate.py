@@ -15,7 +15,7 @@ from codegauge.functions.syntax import ast_nodes
 from codegauge.operators import lines as L
 from codegauge.operators import nodes as N
 from codegauge.operators import scoring
-from codegauge.session import stage
+from codegauge.session import spread, stage
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ def _enabled(packs: Sequence[R.Pack], weights: Mapping[str, float]) -> list[R.Pa
 
 def text_issues(files: DataFrame, packs: Sequence[R.Pack] = R.TEXT_PACKS) -> DataFrame:
     """Line rules only, for texts that need no tree."""
-    return L.scan_lines(L.code_lines(files), packs)
+    return L.scan_lines(L.code_lines(spread(files.select("file_id", "code"))), packs)
 
 
 def python_issues(files: DataFrame, nodes: DataFrame, weights: Mapping[str, float],

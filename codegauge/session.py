@@ -18,6 +18,8 @@ def build_session(master: str | None = None, app: str = "codegauge", **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # generated methods above 8000 bytes are never compiled by the JVM; wide rule lists then run faster unfused
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     for key, value in settings.items():
@@ -55,3 +57,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str = "file_id") -> DataFrame:
+    """Rows over at least as many tasks as the cluster runs at once, for steps bound by CPU.
+
+    Input of any size has more splits than that already and is left as it is; only small input read as a
+    few splits is shuffled.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
