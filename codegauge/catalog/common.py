@@ -18,6 +18,7 @@ from codegauge.corpus import sql_text
 from codegauge.functions.syntax import ast_nodes
 from codegauge.operators import lines as L
 from codegauge.plans.validate import text_issues
+from codegauge.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2024-01-31 00:00:00"
@@ -43,7 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- documents as files ---------------------------------------------------------------------------------------
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return docs.select(
         F.col("doc_id").alias("file_id"),
         F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".py"))).alias("path"),
         F.lit("python").alias("language"), F.col("text").alias("code"))
@@ -54,7 +56,7 @@ def doc_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select(
         F.col("page_id").alias("file_id"), F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"),
         F.lit("javascript").alias("language"), F.col("html").alias("code"))
 
@@ -105,7 +107,7 @@ DOC_TOTALS = DOC_ISSUES + ", " + DOC_FILES + """,
 # --- template corpus ------------------------------------------------------------------------------------------
 
 def corpus_files(spark: SparkSession, sf_dir: str, language: str | None = None) -> DataFrame:
-    files = corpus.code_files(table(spark, sf_dir, "part").select("p_partkey"))
+    files = corpus.code_files(spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey"))
     return files if language is None else files.where(F.col("language") == language)
 
 

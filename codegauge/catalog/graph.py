@@ -25,7 +25,7 @@ from codegauge.catalog.common import query, table
 from codegauge.functions.syntax import ast_nodes
 from codegauge.operators import modules as M
 from codegauge.plans.validate import validate
-from codegauge.session import stage
+from codegauge.session import spread, stage
 
 
 def graph_files(spark, sf_dir):
@@ -49,7 +49,7 @@ def graph_files(spark, sf_dir):
         .when(r == 7, say("import pkg_", g, "\nfrom nowhere_", g, " import x\n"))
         .when(r == 8, F.when(even, F.lit("import pkg_0\n")).otherwise(say("import mod_", k, "\n")))
         .otherwise(say("import pkg_", g, ".core as c\nimport broken_", k - 6, "\n")))
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(
         k.alias("file_id"), path.alias("path"), F.lit("python").alias("language"), code.alias("code"))
 
 
@@ -154,15 +154,13 @@ def circular_dependencies(spark, sf_dir):
     return M.circular_dependencies(M.module_adjacency(imports, mods))
 
 
-@query("dependency_closure", f"WITH RECURSIVE {GRAPH}, roots AS (SELECT module FROM mods WHERE r = 9 OR (r = 4 AND g % 2 = 1)), "
+@query("dependency_closure", f"WITH RECURSIVE {GRAPH}, roots AS (SELECT module FROM mods WHERE string_split(module, '.')[1] NOT IN (SELECT string_split(imp, '.')[1] FROM imports)), "
        "walk(module, hops) AS (SELECT module, 0 FROM roots UNION SELECT e.to_module, w.hops + 1 FROM walk w JOIN adj e ON e.from_module = w.module WHERE w.hops < 12) "
        "SELECT module, min(hops) AS hops FROM walk GROUP BY 1")
 def dependency_closure(spark, sf_dir):
-    """Everything reachable from the last module of each group and the first of each odd group."""
+    """Everything reachable from the modules nobody imports."""
     mods, imports = graph(spark, sf_dir)
-    i = F.col("file_id")
-    roots = mods.where((i % 10 == 9) | ((i % 10 == 4) & (F.floor(i / 10) % 2 == 1)))
-    return M.dependency_closure(mods, M.module_adjacency(imports, mods), roots)
+    return M.dependency_closure(mods, M.module_adjacency(imports, mods), M.unused_modules(mods, imports))
 
 
 @query("dependency_clusters", f"WITH RECURSIVE {GRAPH}, either AS (SELECT from_module AS a, to_module AS b FROM adj UNION SELECT to_module, from_module FROM adj), "

@@ -264,7 +264,7 @@ def param_kind(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", S.param_kind(name).alias("kind"))
 
 
-@query("detect_language", "SELECT page_id, CASE WHEN url LIKE '%/' THEN 'python' ELSE CASE page_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'typescript' WHEN 3 THEN 'javascript' ELSE 'python' END END AS language FROM pages")
+@query("detect_language", "SELECT page_id, CASE WHEN url LIKE '%/' AND page_id % 5 <> 3 THEN 'python' ELSE CASE page_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'typescript' WHEN 3 THEN 'javascript' ELSE 'python' END END AS language FROM pages")
 def detect_language(spark, sf_dir):
     """The page's url with one of five endings; an unknown one, or an ending without a name before it, means python."""
     ends = F.array(*[F.lit(e) for e in (".py", ".MJS", ".tsx", ".min.js", ".rb")])
@@ -280,10 +280,10 @@ def module_name(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.module_name(path).alias("module"))
 
 
-@query("ignore_filter", "SELECT doc_id FROM documents WHERE NOT (starts_with('/src/' || source || '/' || doc_id, '/src/web') OR starts_with('/src/' || source || '/' || doc_id, '/src/source1'))")
+@query("ignore_filter", "SELECT doc_id FROM documents WHERE NOT (starts_with(source, 'src1') OR starts_with(source, 'src4'))")
 def ignore_filter(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/src/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
-    return src.drop_ignored(files, "/src", ["web", "source1"]).select("doc_id")
+    return src.drop_ignored(files, "/src", ["src1", "src4"]).select("doc_id")
 
 
 @query("exclude_dirs", "SELECT doc_id FROM documents WHERE lang NOT IN ('fr', 'de')")
@@ -327,13 +327,13 @@ def _hashes(spark, sf_dir):
     return reuse.content_hashes(doc_files(spark, sf_dir), "cfg")
 
 
-@query("cache_scan", f"WITH {_CACHE} SELECT content_hash, trust_score, issues_count, ts, file_path FROM cached WHERE length(result_json) % 2 = 0")
+@query("cache_scan", f"WITH {_CACHE} SELECT content_hash, trust_score, issues_count, ts, file_path FROM cached WHERE NOT ends_with(file_path, '/de')")
 def cache_scan(spark, sf_dir):
-    """The cache as JSON lines, half of them cut off in the middle, which the scan must skip."""
+    """The cache as JSON lines, those of German files cut off in the middle, which the scan must skip."""
     path = scratch_path(spark, "cache")
     entries = _cache(spark, sf_dir)
     body = F.to_json(F.struct(*entries.columns))
-    bad = F.length("result_json") % 2 == 1
+    bad = F.col("file_path").endswith("/de")
     entries.select(F.when(bad, F.substring(body, 1, 40)).otherwise(body).alias("value")).write.text(path)
     return tables.cache_scan(spark, path).select("content_hash", "trust_score", "issues_count", "ts", "file_path")
 

@@ -92,13 +92,14 @@ def suggest_fixes(issues: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def apply_fixes(files: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Texts with fixed lines put in place: ``fixes(file_id, line, suggested)``, one per line.
+    """Texts with fixed lines put in place: ``fixes(file_id, line, suggested)``.
 
+    Each fix replaces its whole line, so of several fixes of one line the last in report order stays.
     Only texts that have a fix are split and rebuilt; the others keep their text.  A text's lines are
     rewritten inside its own row from a map of its fixes, so no line is shuffled.
     """
     edits = fixes.where(F.col("line").isNotNull()).groupBy("file_id", "line").agg(
-        F.max("suggested").alias("suggested"))
+        (F.max_by("suggested", "seq") if "seq" in fixes.columns else F.max("suggested")).alias("suggested"))
     per_file = edits.groupBy("file_id").agg(
         F.map_from_entries(F.collect_list(F.struct("line", "suggested"))).alias("edit_of"))
     rebuilt = F.array_join(F.transform(

@@ -59,11 +59,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str = "file_id") -> DataFrame:
-    """Rows over at least as many tasks as the cluster runs at once, for steps bound by CPU.
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A plain table scan over at least as many tasks as the cluster runs at once, for work bound by CPU.
 
-    Input of any size has more splits than that already and is left as it is; only small input read as a
-    few splits is shuffled.
+    A table of any size has more splits than that already and is left as it is; only a small one, read as a
+    few splits, is shuffled.  Meant for scans: asking a plan with joins for its partitions would run them.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots, key) if scan.rdd.getNumPartitions() < slots else scan
