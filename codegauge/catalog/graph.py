@@ -56,8 +56,8 @@ def graph_files(spark, sf_dir):
 def graph(spark, sf_dir):
     files = graph_files(spark, sf_dir)
     nodes = stage(ast_nodes(files), "graph-nodes")
-    mods = M.modules(files, nodes)
-    return mods, M.module_imports(mods, nodes)
+    mods = stage(M.modules(files, nodes), "graph-modules")
+    return mods, stage(M.module_imports(mods, nodes), "graph-imports")
 
 
 GRAPH = """k AS (SELECT p_partkey AS k, p_partkey // 10 AS g, p_partkey % 10 AS r FROM part),

@@ -1,8 +1,8 @@
 """From issues to scores.
 
-``file_totals`` is the only shuffle: issues and one marker row per file are unioned and summed by file, so
-files without issues keep their place without a join, and each task sends at most a few rows per file.
-Category and trust scores are expressions on that row.
+``file_totals`` sums issues by file before they are shuffled: sums are fixed-width numbers, so a hash aggregate
+leaves one short row per file and task.  Files without issues come in by a join on the same key.  Category and
+trust scores are expressions on that row.
 """
 
 from __future__ import annotations
@@ -65,27 +65,28 @@ def file_totals(files: DataFrame, issues: DataFrame, with_issues: bool = False)
 
     ``with_issues`` adds the file's issues as one sorted array (for nested reports).
     """
-    path = F.col("path") if "path" in files.columns else F.lit(None).cast("string")
-    columns = [c for c in issues.columns if c != "file_id"]
-    marks = files.select("file_id", path.alias("path"), *[
-        F.lit(None).cast(issues.schema[c].dataType).alias(c) for c in columns])
-    rows = marks.unionByName(issues.select("file_id", F.lit(None).cast("string").alias("path"), *columns))
-
     severity, category = F.col("severity"), F.col("category")
-    aggregates = [F.max("path").alias("path"), F.count("severity").alias("issue_count")]
-    aggregates += [F.count_if(severity == s).alias(f"{s}_count") for s in SEVERITIES]
-    aggregates.append(F.count_if(F.col("rule_id") == "syntax_error").alias("unparsed"))
+    sums = {"issue_count": F.count(F.lit(1))}
+    sums |= {f"{s}_count": F.count_if(severity == s) for s in SEVERITIES}
+    sums["unparsed"] = F.count_if(F.col("rule_id") == "syntax_error")
     for key, name in C.CATEGORY_OF_KEY.items():
         mine = category == name
-        aggregates += [
-            F.coalesce(F.sum(F.when(mine, S.severity_penalty(severity))), F.lit(0)).alias(f"{key}_penalty"),
-            F.count_if(mine).alias(f"{key}_issues"),
-            F.count_if(mine & (severity == "critical")).alias(f"{key}_critical"),
-        ]
+        sums |= {
+            f"{key}_penalty": F.sum(F.when(mine, S.severity_penalty(severity)).otherwise(0)),
+            f"{key}_issues": F.count_if(mine),
+            f"{key}_critical": F.count_if(mine & (severity == "critical")),
+        }
+    found = [value.alias(name) for name, value in sums.items()]
+    if with_issues:
+        found.append(F.array_sort(F.collect_list(F.struct(*ISSUE_STRUCT))).alias("issues"))
+    per_file = issues.groupBy("file_id").agg(*found)
+
+    path = F.col("path") if "path" in files.columns else F.lit(None).cast("string")
+    every = files.select("file_id", path.alias("path")).join(per_file, "file_id", "left")
+    columns = ["file_id", "path", *[F.coalesce(name, F.lit(0)).alias(name) for name in sums]]
     if with_issues:
-        rows = rows.withColumn("issue", F.when(severity.isNotNull(), F.struct(*ISSUE_STRUCT)))
-        aggregates.append(F.array_sort(F.collect_list("issue")).alias("issues"))
-    return rows.groupBy("file_id").agg(*aggregates)
+        columns.append(F.coalesce("issues", F.array().cast(per_file.schema["issues"].dataType)).alias("issues"))
+    return every.select(*columns)
 
 
 def clamp_score(penalty: Column) -> Column:

@@ -166,7 +166,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_text_scan_has_one_small_shuffle(spark, tmp_path):
+def test_text_scan_sums_before_the_shuffle(spark, tmp_path):
     from codegauge.operators import lines as L
     from codegauge import rules as R
 
@@ -175,8 +175,8 @@ def test_text_scan_has_one_small_shuffle(spark, tmp_path):
                            ).write.parquet(path)
     files = spark.read.parquet(path)
     text = plan(scoring.trust_scores(scoring.file_totals(files, L.scan_lines(L.code_lines(files), R.TEXT_PACKS))))
-    assert text.count("Exchange") == 1 and "Join" not in text
-    assert "unused" not in text.split("ReadSchema")[1]
+    assert text.count("HashAggregate") == 2 and "SortAggregate" not in text
+    assert "unused" not in text
 
 
 def test_history_filter_prunes_days(spark, tmp_path):
