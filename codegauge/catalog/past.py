@@ -12,7 +12,7 @@ from codegauge import rules as R
 from codegauge.functions import scalars as S
 from codegauge.operators import accuracy, history as H, lines as L, reuse, skew, watch
 from codegauge.plans.validate import validate_texts
-from codegauge.session import scratch_path
+from codegauge.session import scratch_path, stage
 from codegauge.sources import files as src, tables
 from codegauge.streaming import watch as stream
 
@@ -368,14 +368,16 @@ def incremental_scan(spark, sf_dir):
 
 @query("cache_upsert", f"WITH {DOC_TOTALS}, {_CACHE}, fresh AS (SELECT content_hash, trust_score, issue_count AS issues_count, path FROM "
        "(SELECT h.content_hash, r.trust_score, r.issue_count, r.path, row_number() OVER (PARTITION BY content_hash ORDER BY h.file_id) AS rn "
-       "FROM hashed h JOIN results r USING (file_id)) WHERE rn = 1) "
-       f"SELECT content_hash, trust_score, issues_count, '{AS_OF}' AS ts, path AS file_path FROM fresh WHERE content_hash NOT IN (SELECT content_hash FROM cached WHERE ts = 'unknown') "
-       "UNION ALL SELECT content_hash, trust_score, issues_count, ts, file_path FROM cached WHERE ts = 'unknown'")
+       "FROM hashed h JOIN results r USING (file_id) WHERE h.content_hash NOT IN (SELECT content_hash FROM live)) WHERE rn = 1) "
+       f"SELECT content_hash, trust_score, issues_count, '{AS_OF}' AS ts, path AS file_path FROM fresh "
+       "UNION ALL SELECT content_hash, trust_score, issues_count, ts, file_path FROM live")
 def cache_upsert(spark, sf_dir):
-    """All documents stored over an older cache: the newest time wins (an unreadable one sorts last)."""
-    files = doc_files(spark, sf_dir)
-    entries = reuse.cache_entries(validate_texts(files), _hashes(spark, sf_dir), F.lit(AS_OF), "cfg")
-    out = reuse.cache_upsert(_cache(spark, sf_dir), entries)
+    """Files without a live entry are scanned and stored; their entries replace the expired ones."""
+    files, cache = doc_files(spark, sf_dir), _cache(spark, sf_dir)
+    missed = stage(reuse.cache_miss(_hashes(spark, sf_dir), cache, _as_of()), "misses")
+    todo = files.join(missed.select("file_id"), "file_id", "left_semi")
+    entries = reuse.cache_entries(validate_texts(todo), missed, F.lit(AS_OF), "cfg")
+    out = reuse.cache_upsert(cache, entries)
     return out.select("content_hash", "trust_score", "issues_count", "ts", "file_path")
 
 

@@ -80,7 +80,7 @@ def cache_entries(results: DataFrame, hashes: DataFrame, ts: Column, config: Col
 
 
 def cache_upsert(cache: DataFrame, entries: DataFrame) -> DataFrame:
-    """The cache after storing ``entries``: newest row per content hash.
+    """The cache after storing ``entries``: a new entry replaces an old one, the newest of several new ones stays.
 
     ``max_by`` keeps one row per hash and task before the shuffle, so a hash stored very often is no hot spot.
     """
@@ -88,7 +88,7 @@ def cache_upsert(cache: DataFrame, entries: DataFrame) -> DataFrame:
     others = [c for c in entries.columns if c != "content_hash"]
     return (
         rows.groupBy("content_hash")
-        .agg(F.max_by(F.struct(*others), F.struct(F.col("ts"), F.col("gen"), *[c for c in others if c != "ts"])).alias("e"))
+        .agg(F.max_by(F.struct(*others), F.struct("gen", "ts", *[c for c in others if c != "ts"])).alias("e"))
         .select("content_hash", "e.*").select(*entries.columns)
     )
 

@@ -185,3 +185,11 @@ def test_history_filter_prunes_days(spark, tmp_path):
         "day", F.to_date("ts")).write.partitionBy("day").parquet(path)
     text = plan(H.history_filter(spark.read.parquet(path), "2024-01-31 00:00:00", 7))
     assert "PartitionFilters: [isnotnull(day" in text
+
+
+def test_upsert_replaces_whatever_was_there(spark):
+    cols = "content_hash string, ts string, n int"
+    cache = spark.createDataFrame([("a", "unknown", 1), ("b", "2024-01-01", 2)], cols)
+    entries = spark.createDataFrame([("a", "2024-01-05", 3), ("c", "2024-01-05", 4), ("c", "2024-01-06", 5)], cols)
+    assert sorted(map(tuple, reuse.cache_upsert(cache, entries).collect())) == [
+        ("a", "2024-01-05", 3), ("b", "2024-01-01", 2), ("c", "2024-01-06", 5)]
