@@ -16,6 +16,7 @@ Output leaves the worker in batches of bounded size, so a huge file never become
 from __future__ import annotations
 
 import ast
+import functools
 import warnings
 
 import pyarrow as pa
@@ -84,14 +85,19 @@ def _const(node):
     return type(value).__name__, _text(shown), bool(value)
 
 
+@functools.cache
+def _slots(kind):
+    """What a node class has: (name slot or None, its other field names)."""
+    fields = frozenset(kind._fields)
+    return next((s for s in ("name", "id", "attr", "arg") if s in fields), None), fields
+
+
 def _label(node):
     if isinstance(node, ast.Call):
         return node.func.id if isinstance(node.func, ast.Name) else getattr(node.func, "attr", "")
-    for slot in ("name", "id", "attr", "arg"):
-        value = getattr(node, slot, None)
-        if isinstance(value, str):
-            return _text(value)
-    return None
+    slot, _ = _slots(type(node))
+    value = getattr(node, slot) if slot else None
+    return value if isinstance(value, str) else None
 
 
 def _walk(tree):
@@ -141,13 +147,13 @@ def node_rows(code: str) -> list[tuple]:
         above = order[parent][0] if parent >= 0 else None
         gp = order[parent][1] if parent >= 0 else -1
         const = _const(node) if isinstance(node, ast.Constant) else (None, None, None)
-        op = getattr(node, "op", None) or next(iter(getattr(node, "ops", ())), None)
-        body = getattr(node, "body", None)
-        body = body if isinstance(body, list) else []
+        _, has = _slots(type(node))
+        op = node.op if "op" in has else node.ops[0] if "ops" in has else None
+        body = node.body if "body" in has and isinstance(node.body, list) else ()
         first = body[0] if body else None
         bare = isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant)
         body_const = _const(first.value) if bare else (None, None, None)
-        returns = getattr(node, "returns", None)
+        returns = node.returns if "returns" in has else None
         try:
             annotation = _text(ast.unparse(returns)) if returns is not None else None
         except RecursionError:
@@ -156,13 +162,13 @@ def node_rows(code: str) -> list[tuple]:
             at, parent if parent >= 0 else None, field, idx, n_siblings, type(node).__name__,
             getattr(node, "lineno", None), getattr(node, "end_lineno", None),
             pre[at], pre[at] + size[at] - 1, nest[at],
-            labels[at], getattr(node, "asname", None),
+            labels[at], node.asname if "asname" in has else None,
             above.module if isinstance(node, ast.alias) and isinstance(above, ast.ImportFrom) else None,
             isinstance(node.func, ast.Name) if isinstance(node, ast.Call) else None,
             *const,
             type(op).__name__ if op is not None else None,
             len(node.ops) if isinstance(node, ast.Compare) else None,
-            type(node.ctx).__name__ if hasattr(node, "ctx") else None,
+            type(node.ctx).__name__ if "ctx" in has else None,
             node.type is not None if isinstance(node, ast.ExceptHandler) else None,
             annotation,
             type(first).__name__ if first is not None else None, len(body), body_const[0], body_const[1],
