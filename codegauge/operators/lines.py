@@ -67,22 +67,36 @@ def rule_condition(rule: R.LineRule, line: Column) -> Column:
     return hit
 
 
+def _literal(value) -> str:
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, int):
+        return f"{value}L"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def constant_table(rows: Sequence[dict]) -> Column:
+    """A constant array of structs, handed over as one SQL expression (a call per literal would be slow)."""
+    structs = ("named_struct(" + ", ".join(f"'{k}', {_literal(v)}" for k, v in row.items()) + ")" for row in rows)
+    return F.expr(f"array({', '.join(structs)})")
+
+
+def one_of(column: str, names: Sequence[str]) -> Column:
+    """``column IN (names)``, likewise as one expression."""
+    return F.expr(f"`{column}` IN ({', '.join(_literal(n) for n in names)})")
+
+
 def _meta_column(packs: Sequence[R.Pack]) -> tuple[list[tuple[R.Pack, int, R.LineRule]], Column]:
     entries = [(pack, i, rule) for pack in packs for i, rule in enumerate(pack.rules)]
-    literals = [
-        F.struct(
-            F.lit(rule.rule_id).alias("rule_id"),
-            F.lit(rule.severity).alias("severity"),
-            F.lit(pack.category).alias("category"),
-            F.lit(rule.message).alias("message"),
-            F.lit(rule.suggestion).cast("string").alias("suggestion"),
-            F.lit(pack.check).cast("long").alias("check"),
-            F.lit(i).cast("long").alias("rank"),
-            F.lit(pack.by_line).alias("by_line"),
-        )
+    return entries, constant_table([
+        {
+            "rule_id": rule.rule_id, "severity": rule.severity, "category": pack.category, "message": rule.message,
+            "suggestion": rule.suggestion, "check": pack.check, "rank": i, "by_line": pack.by_line,
+        }
         for pack, i, rule in entries
-    ]
-    return entries, F.array(*literals)
+    ])
 
 
 def scan_lines(lines: DataFrame, packs: Sequence[R.Pack]) -> DataFrame:

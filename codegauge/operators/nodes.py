@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from codegauge import constants as C
 from codegauge.functions import scalars as S
 from codegauge.functions.syntax import ERROR_KIND
-from codegauge.operators.lines import CHECK_STEP, MAJOR_STEP, search
+from codegauge.operators.lines import CHECK_STEP, MAJOR_STEP, constant_table, one_of, search
 
 JUMPS = ["Return", "Raise", "Break", "Continue"]
 EXITS = ["Break", "Return", "Raise"]
@@ -215,14 +215,14 @@ def local_issues(nodes: DataFrame, only: Sequence[str] | None = None) -> DataFra
     numbers = F.explode(_rule_numbers(rules)).alias("rule_no")
     kept = ["file_id", "node_id", "parent_id", "gp_id", "pre", "idx", "line", "p_line", "gp_line", "end_line", "kind", "name",
             "gp_name", "nest"]
-    meta = F.array(*[
-        F.struct(
-            F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"),
-            F.lit(r.message).alias("message"), F.lit(r.suggestion).alias("suggestion"),
-            F.lit(CHECK[r.check] * CHECK_STEP + r.minor).alias("base"), F.lit(r.on).alias("on"), F.lit(r.value).alias("value"),
-            F.lit(r.number).alias("number"), F.lit(r.rename).alias("rename"), F.lit(r.per_idx).alias("per_idx"),
-            F.lit(r.depth_first).alias("depth_first"))
-        for r in rules])
+    meta = constant_table([
+        {
+            "rule_id": r.rule_id, "severity": r.severity, "category": r.category, "message": r.message,
+            "suggestion": r.suggestion, "base": CHECK[r.check] * CHECK_STEP + r.minor, "on": r.on, "value": r.value,
+            "number": r.number, "rename": r.rename, "per_idx": r.per_idx, "depth_first": r.depth_first,
+        }
+        for r in rules
+    ])
     hits = nodes.where(c("kind").isin(*_kinds(rules))).select(*kept, numbers).where(c("rule_no").isNotNull())
     hits = hits.select("*", F.element_at(meta, c("rule_no") + 1).alias("m"))
     on = c("m.on")
@@ -288,7 +288,7 @@ def import_issues(bindings: DataFrame, known: DataFrame | None = None) -> DataFr
     base = S.import_base(c("full_name"))
     imports = bindings.withColumn("base", base)
     if known is None:
-        unknown = imports.where(~c("base").isin(known_module_names()))
+        unknown = imports.where(~one_of("base", known_module_names()))
     else:
         unknown = imports.join(known.select(c("module").alias("base")), "base", "left_anti")
     folded = F.lower("base")
@@ -354,7 +354,7 @@ def unused_variable_issues(table: DataFrame) -> DataFrame:
 def undefined_call_issues(table: DataFrame) -> DataFrame:
     """Bare calls of invented-looking names that the file neither defines, assigns nor imports."""
     missing = table.where(
-        (F.size("calls") > 0) & ~c("defined") & c("import_name").isNull() & ~c("name").isin(dir(builtins)))
+        (F.size("calls") > 0) & ~c("defined") & c("import_name").isNull() & ~one_of("name", dir(builtins)))
     issue = _issue("ast_undefined_call", "critical", "hallucination",
                    _text("Function '{f}' appears hallucinated (not defined or imported)", f=c("name")), c("call.line"),
                    _text("Define '{f}' or import it from a real module", f=c("name")),
@@ -374,7 +374,7 @@ def called_but_unbound(nodes: DataFrame) -> DataFrame:
     called = nodes.where((c("kind") == "Call") & c("func_is_name")).select("file_id", "name").distinct()
     bound = nodes.where(c("kind").isin("FunctionDef", "ClassDef") | _assigned_name()).select("file_id", "name")
     imports = nodes.where(c("kind") == "alias").select("file_id", F.coalesce("asname", "name").alias("name"))
-    unbuilt = called.where(~c("name").isin(dir(builtins)))
+    unbuilt = called.where(~one_of("name", dir(builtins)))
     return unbuilt.join(bound.union(imports).distinct(), ["file_id", "name"], "left_anti")
 
 

@@ -18,6 +18,8 @@ def build_session(master: str | None = None, app: str = "codegauge", **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # do not record a call site for every column: wide rule lists are then planned several times faster
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # generated methods above 8000 bytes are never compiled by the JVM; wide rule lists then run faster unfused
         "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
