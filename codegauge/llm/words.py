@@ -138,8 +138,8 @@ def shingles(words: Words, length: int = 5) -> tuple[np.ndarray, np.ndarray]:
     is_short[offsets[short]] = True
     out[~is_short] = rolled
     for text in short.tolist():
-        value = U(counts[text])
-        for h in hashes[words.first[text]:words.first[text + 1]]:
-            value = mix(np.array([value * BASE + h], dtype=U))[0]
-        out[offsets[text]] = value
+        value = np.array([counts[text]], dtype=U)
+        for at in range(words.first[text], words.first[text + 1]):
+            value = mix(value * BASE + hashes[at:at + 1])
+        out[offsets[text]] = value[0]
     return out, offsets
