@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codegauge.llm.common import table
 from codegauge.llm.jaccard_join import jaccard_groups
 from codegauge.llm.repeated_windows import remove_repeated_windows
+from codegauge.llm.secret_scan import scan_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +20,11 @@ def query(function):
     return function
 
 
+@query
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
