@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codegauge.llm.common import table
 from codegauge.llm.jaccard_join import jaccard_groups
+from codegauge.llm.quality import score_quality
 from codegauge.llm.repeated_windows import remove_repeated_windows
 from codegauge.llm.secret_scan import scan_secrets
 
@@ -25,6 +26,11 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
