@@ -41,14 +41,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[flo
     target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     design = np.stack([np.ones_like(x), x], axis=1)
     w = np.array([np.log(pos / neg), 0.0])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -35, 35)))
+
+    def loss(v: np.ndarray) -> float:
+        z = design @ v
+        return float((np.logaddexp(0, z) - target * z).sum() + ridge / 2 * (v @ v))
+
+    now = loss(w)
+    for _ in range(200):
+        p = sigmoid(design @ w)
         gradient = design.T @ (target - p) - ridge * w
-        hessian = (design * (p * (1 - p) + 1e-9)[:, None]).T @ design + ridge * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        norm = np.abs(step).max()
-        w = w + step * min(1.0, 4.0 / max(norm, 1e-12))
-        if norm < 1e-9:
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
+        step, size = np.linalg.solve(hessian, gradient), 1.0
+        while size > 1e-9 and loss(w + size * step) > now:
+            size /= 2
+        before, w = now, w + size * step
+        now = loss(w)
+        if before - now < 1e-10 * max(1.0, abs(now)):
             break
     return float(w[0]), float(w[1])
 

@@ -45,7 +45,7 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """64-bit hash of each word."""
+        """64-bit hash of each word; the words must be in the order of their places."""
         if not len(self.starts):
             return np.zeros(0, dtype=U)
         lengths = self.ends - self.starts
@@ -80,9 +80,10 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def split_words(texts: pa.Array) -> Words:
+def split_words(texts: pa.Array, between: np.ndarray = _SPACE) -> Words:
+    """Words are runs of bytes that ``between`` does not mark (white space by default)."""
     buffer, offsets = text_buffer(texts)
-    space = _SPACE[buffer]
+    space = between[buffer]
     size = len(buffer)
     cut = np.zeros(size + 1, dtype=bool)   # a text begins or ends here
     cut[offsets] = True
