@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codegauge.llm.common import table
 from codegauge.llm.decontamination import contained_items
 from codegauge.llm.jaccard_join import jaccard_groups
+from codegauge.llm.line_dedup import dedup_lines
 from codegauge.llm.quality import score_quality
 from codegauge.llm.repeated_windows import remove_repeated_windows
 from codegauge.llm.secret_scan import scan_secrets
@@ -28,6 +29,12 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, counts=True)
+
+
 @query
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
