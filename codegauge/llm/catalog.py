@@ -10,6 +10,7 @@ from codegauge.llm.common import table
 from codegauge.llm.decontamination import contained_items
 from codegauge.llm.jaccard_join import jaccard_groups
 from codegauge.llm.line_dedup import dedup_lines
+from codegauge.llm.mixing import mix_slots
 from codegauge.llm.quality import score_quality
 from codegauge.llm.repeated_windows import remove_repeated_windows
 from codegauge.llm.secret_scan import scan_secrets
@@ -50,6 +51,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_slots(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
