@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codegauge.llm.common import table
 from codegauge.llm.decontamination import contained_items
+from codegauge.llm.html_extraction import extract_text
 from codegauge.llm.jaccard_join import jaccard_groups
 from codegauge.llm.line_dedup import dedup_lines
 from codegauge.llm.mixing import mix_slots
@@ -36,6 +37,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, counts=True)
 
 
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
