@@ -12,6 +12,7 @@ from codegauge.llm.html_extraction import extract_text
 from codegauge.llm.jaccard_join import jaccard_groups
 from codegauge.llm.line_dedup import dedup_lines
 from codegauge.llm.mixing import mix_slots
+from codegauge.llm.nearest import nearest
 from codegauge.llm.quality import score_quality
 from codegauge.llm.repeated_windows import remove_repeated_windows
 from codegauge.llm.secret_scan import scan_secrets
@@ -57,6 +58,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_slots(table(spark, sf_dir, "documents"))
