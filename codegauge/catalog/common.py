@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegauge import corpus
-from codegauge import rules as R
+from codegauge.catalog.line_rules import LINE_RULES, TEXT_PACKS
 from codegauge.constants import MAX_LINE_LENGTH
 from codegauge.corpus import sql_text
 from codegauge.functions.syntax import ast_nodes
@@ -52,7 +52,7 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_issues(doc_files(spark, sf_dir), R.TEXT_PACKS)
+    return text_issues(doc_files(spark, sf_dir))
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,17 +68,17 @@ DOC_LINES = (
 )
 
 
-def rules_sql(name: str, packs) -> str:
+def rules_sql(name: str, *packs: str) -> str:
     rows = ", ".join(
-        f"({sql_text(rule.rule_id)}, {sql_text(rule.severity)}, {sql_text(pack.category)}, {sql_text(rule.message)}, "
-        f"{sql_text(rule.suggestion)}, {pack.check}, {i}, {str(pack.by_line).upper()}, {sql_text(rule.pattern)})"
-        for pack in packs for i, rule in enumerate(pack.rules) if rule.pattern)
+        f"({sql_text(f'{pack}.{at + 1}')}, {sql_text(severity)}, {sql_text(category)}, {sql_text(message)}, {sql_text(suggestion)}, "
+        f"{check}, {at}, {str(by_line).upper()}, {sql_text(pattern)})"
+        for pack, at, severity, category, message, suggestion, check, by_line, pattern in LINE_RULES if pack in packs)
     return f"{name}(rule_id, severity, category, message, suggestion, chk, rnk, by_line, pattern) AS (VALUES {rows})"
 
 
 DOC_ISSUES = ", ".join([
     DOC_LINES,
-    rules_sql("text_rules", (R.SECRETS, R.PLACEHOLDERS)),
+    rules_sql("text_rules", *TEXT_PACKS),
     f"""issues AS (
       SELECT file_id, rule_id, severity, category, message, line_no AS line, CAST(NULL AS INTEGER) AS "column", suggestion,
              CAST(chk AS BIGINT) * {L.CHECK_STEP} + CASE WHEN by_line THEN CAST(line_no AS BIGINT) * {L.MAJOR_STEP} + rnk
@@ -86,7 +86,7 @@ DOC_ISSUES = ", ".join([
       FROM doc_lines JOIN text_rules ON regexp_matches(line, pattern)
       UNION ALL
       SELECT file_id, 'line_too_long', 'low', 'best_practices', 'Line too long (' || length(line) || ' chars)', line_no,
-             NULL, 'Break line to max {MAX_LINE_LENGTH} characters', {R.LONG_LINES.check * L.CHECK_STEP} + CAST(line_no AS BIGINT)
+             NULL, 'Break line to max {MAX_LINE_LENGTH} characters', {25 * L.CHECK_STEP} + CAST(line_no AS BIGINT)
       FROM doc_lines WHERE length(line) > {MAX_LINE_LENGTH})""",
 ])
 DOC_TOTALS = DOC_ISSUES + ", " + DOC_FILES + """,

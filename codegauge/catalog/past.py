@@ -16,9 +16,9 @@ from codegauge.session import scratch_path, stage
 from codegauge.sources import files as src, tables
 from codegauge.streaming import watch as stream
 
-SINCE_14 = f"ts >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY"
-SINCE_30 = f"ts >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY"
-SINCE_7 = f"ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY"
+SINCE_14 = f"ts < TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY"
+SINCE_30 = f"ts < TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY"
+SINCE_7 = f"ts < TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY"
 
 
 # --- history: scan, append, filter, export ------------------------------------------------------------------------
@@ -179,7 +179,7 @@ _CAMEL = "'get' || replace(p_brand, '#', '') || 'HTTPServer' || upper(p_name[1])
 
 def _camel():
     name = F.col("p_name")
-    tail = F.replace(F.substring(name, 2, 1000), F.lit(" "), F.lit(""))
+    tail = F.replace(F.substr(name, F.lit(2)), F.lit(" "), F.lit(""))
     return F.concat(F.lit("get"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("HTTPServer"),
                     F.upper(F.substring(name, 1, 1)), tail, F.col("p_partkey").cast("string"), F.lit("Id"))
 
@@ -451,7 +451,7 @@ def stream_change_detection(spark, sf_dir):
 @query("stream_line_scan", f"WITH {DOC_ISSUES} SELECT file_id, rule_id, severity, line, message FROM issues")
 def stream_line_scan(spark, sf_dir):
     docs = stream.table_stream(spark, f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("file_id"), F.col("text").alias("code"))
-    found = stream.line_scan(docs, R.TEXT_PACKS).select("file_id", "rule_id", "severity", "line", "message")
+    found = stream.line_scan(docs, R.PYTHON_PACKS).select("file_id", "rule_id", "severity", "line", "message")
     return stream.run_available(found, "line-scan")
 
 

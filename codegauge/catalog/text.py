@@ -9,6 +9,7 @@ from codegauge.catalog.common import (
     DOC_FILES, DOC_ISSUES, DOC_LINES, DOC_TOTALS, corpus_files, doc_files, doc_issues, expected, page_files, query,
     rules_sql, shown, table,
 )
+from codegauge.catalog.line_rules import TEXT_PACKS
 from codegauge.functions import scalars as S
 from codegauge.operators import accuracy, issues as I, lines as L, scoring
 from codegauge.plans.validate import validate_texts
@@ -34,6 +35,19 @@ def scan_files(spark, sf_dir):
     return files.groupBy(source.alias("source")).agg(F.sum(F.length("code")).alias("n_chars"))
 
 
+@query("scan_directory", "SELECT source, sum(length(text) + 1) AS n_chars, 'my pkg' AS package FROM documents WHERE NOT starts_with(source, 'src1') GROUP BY 1")
+def scan_directory(spark, sf_dir):
+    """A tree below a folder with a space in its name, scanned from its root, without the ignored part."""
+    root = scratch_path(spark, "tree")
+    docs = table(spark, sf_dir, "documents").select("text", "source")
+    docs.write.option("maxRecordsPerFile", 500).partitionBy("source").text(f"{root}/my pkg")
+    files = src.drop_ignored(src.scan_files(spark, root, "*.txt"), root, ["my pkg/source=src1"])
+    # a module is named by its folders below the root
+    module = F.split(S.module_name(F.col("rel_path")), "[.]")
+    return files.groupBy(F.replace(module.getItem(1), F.lit("source="), F.lit("")).alias("source"), module.getItem(0).alias("package")).agg(
+        F.sum(F.length("code")).alias("n_chars"))
+
+
 @query("scan_files_multilang",
        "SELECT 'typescript' AS language, sum(length(doc_id || ',' || n_chars) + 1) AS n_chars FROM documents "
        "UNION ALL SELECT 'javascript', sum(length(doc_id || ',' || quality) + 1) FROM labels")
@@ -54,14 +68,16 @@ def scan_code_table(spark, sf_dir):
     return files.select("file_id", F.length("code").alias("n_chars"), "path")
 
 
-_BODIES = """batch AS (
-    SELECT doc_id, 0 AS pos, source AS name, text AS code, CASE WHEN lang = 'en' THEN 80 ELSE 70 END AS min_score, lang = 'fr' AS strict FROM documents
-    UNION ALL SELECT doc_id, 1, 'unnamed', text, CASE WHEN lang = 'en' THEN 80 ELSE 70 END, lang = 'fr' FROM documents
-    UNION ALL SELECT doc_id, 2, source, '', CASE WHEN lang = 'en' THEN 80 ELSE 70 END, lang = 'fr' FROM documents)"""
+_BODIES = """full_docs AS (SELECT * FROM documents WHERE doc_id % 11 NOT IN (3, 5)), batch AS (
+    SELECT doc_id, 0 AS pos, source AS name, text AS code, CASE WHEN lang = 'en' THEN 80 ELSE 70 END AS min_score, lang = 'fr' AS strict, NULL AS error FROM full_docs
+    UNION ALL SELECT doc_id, 1, 'unnamed', text, CASE WHEN lang = 'en' THEN 80 ELSE 70 END, lang = 'fr', NULL FROM full_docs
+    UNION ALL SELECT doc_id, 2, source, '', CASE WHEN lang = 'en' THEN 80 ELSE 70 END, lang = 'fr', NULL FROM full_docs
+    UNION ALL SELECT doc_id, NULL, NULL, NULL, 70, false, CASE doc_id % 11 WHEN 3 THEN 'malformed body' ELSE 'no files' END FROM documents WHERE doc_id % 11 IN (3, 5))"""
 
 
 def _bodies(spark, sf_dir):
-    """One request body per document: a named file, one without a name and one without code."""
+    """One request body per document: a named file, one without a name and one without code; no files in some, and
+    some that are not JSON."""
     docs = table(spark, sf_dir, "documents")
     no_text = F.lit(None).cast("string")
     body = F.struct(
@@ -72,24 +88,29 @@ def _bodies(spark, sf_dir):
         ).alias("files"),
         F.when(F.col("lang") == "en", 80).alias("min_score"),
         F.when(F.col("lang") == "fr", True).alias("strict"))
-    return docs.select("doc_id", F.to_json(body).alias("body"))
+    text = F.when(F.col("doc_id") % 11 == 3, "not json").when(F.col("doc_id") % 11 == 5, '{"files":[]}').otherwise(F.to_json(body))
+    return docs.select("doc_id", text.alias("body"))
 
 
-@query("json_batch_source", f"WITH {_BODIES} SELECT doc_id, pos, name, md5(code) AS code_md5, min_score, strict FROM batch")
+@query("json_batch_source", f"WITH {_BODIES} SELECT doc_id, pos, name, md5(code) AS code_md5, min_score, strict, error FROM batch")
 def json_batch_source(spark, sf_dir):
     files = src.batch_files(_bodies(spark, sf_dir))
-    return files.select("doc_id", "pos", "name", F.md5("code").alias("code_md5"), "min_score", "strict")
+    return files.select("doc_id", "pos", "name", F.md5("code").alias("code_md5"), "min_score", "strict", "error")
 
 
-@query("batch_totals", f"WITH {DOC_TOTALS} SELECT file_id AS doc_id, 3 AS total, "
-       "CASE WHEN passed THEN 3 ELSE 1 END AS passed, CASE WHEN passed THEN 0 ELSE 2 END AS failed FROM results")
+@query("batch_totals", f"WITH {DOC_TOTALS} SELECT file_id AS doc_id, CASE WHEN file_id % 11 IN (3, 5) THEN 0 ELSE 3 END AS total, "
+       "CASE WHEN file_id % 11 IN (3, 5) THEN 0 WHEN passed THEN 3 ELSE 1 END AS passed, "
+       "CASE WHEN file_id % 11 IN (3, 5) OR passed THEN 0 ELSE 2 END AS failed, file_id % 11 IN (3, 5) AS rejected FROM results")
 def batch_totals(spark, sf_dir):
-    """Three files per body, two of them the document's text and one empty (which passes)."""
-    files = src.batch_files(_bodies(spark, sf_dir)).select(
+    """Three files per body, two of them the document's text and one empty (which passes); a body without files or
+    with another text than JSON is answered too."""
+    bodies = src.batch_files(_bodies(spark, sf_dir))
+    files = bodies.where("error is null").select(
         F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("file_id"), "code")
-    results = validate_texts(files)
     doc = F.split("file_id", ":").getItem(0).cast("long")
-    return src.batch_totals(results.withColumn("doc_id", doc), "doc_id")
+    rows = validate_texts(files).select(doc.alias("doc_id"), "passed")
+    rejected = bodies.where("error is not null").select("doc_id", F.lit(None).cast("boolean").alias("passed"))
+    return src.batch_totals(rows.unionByName(rejected), "doc_id")
 
 
 # --- lines and line rules -----------------------------------------------------------------------------------------
@@ -99,18 +120,18 @@ def code_lines(spark, sf_dir):
     return L.code_lines(doc_files(spark, sf_dir))
 
 
-def _doc_pack(name, packs):
-    sql = (f"WITH {DOC_LINES}, {rules_sql('r', packs)} SELECT file_id, rule_id, severity, category, message, suggestion, "
+def _doc_pack(name, pack):
+    sql = (f"WITH {DOC_LINES}, {rules_sql('r', name)} SELECT file_id, rule_id, severity, category, message, suggestion, "
            "line_no AS line FROM doc_lines JOIN r ON regexp_matches(line, pattern)")
 
     @query(name, sql)
     def run(spark, sf_dir):
-        found = L.scan_lines(L.code_lines(doc_files(spark, sf_dir)), packs)
+        found = L.scan_lines(L.code_lines(doc_files(spark, sf_dir)), (pack,))
         return found.select("file_id", "rule_id", "severity", "category", "message", "suggestion", "line")
 
 
-_doc_pack("line_secrets", (R.SECRETS,))
-_doc_pack("line_placeholders", (R.PLACEHOLDERS,))
+_doc_pack("line_secrets", R.SECRETS)
+_doc_pack("line_placeholders", R.PLACEHOLDERS)
 
 
 @query("line_too_long", f"WITH {DOC_ISSUES} SELECT file_id, line, message, severity, suggestion FROM issues WHERE rule_id = 'line_too_long'")
@@ -141,7 +162,7 @@ PAGE_LINES = (
 
 
 @query("js_best_practices",
-       f"WITH {PAGE_LINES}, {rules_sql('r', (R.JS_STYLE,))} SELECT file_id, rule_id, severity, message, line_no AS line "
+       f"WITH {PAGE_LINES}, {rules_sql('r', 'js_best_practices')} SELECT file_id, rule_id, severity, message, line_no AS line "
        "FROM page_lines JOIN r ON regexp_matches(line, pattern) WHERE NOT regexp_matches(line, '^\\s*//')")
 def js_best_practices(spark, sf_dir):
     found = L.scan_lines(L.code_lines(page_files(spark, sf_dir)), (R.JS_STYLE,))
@@ -177,7 +198,7 @@ def package_lookup(spark, sf_dir):
 
 
 @query("line_sql_strings",
-       f"WITH {PAGE_LINES}, {rules_sql('r', (R.SQL_STRINGS,))} SELECT file_id, rule_id, line_no AS line FROM "
+       f"WITH {PAGE_LINES}, {rules_sql('r', 'line_sql_strings')} SELECT file_id, rule_id, line_no AS line FROM "
        "(SELECT file_id, line_no, replace(line, '<p>', '+ \"SELECT ') AS line FROM page_lines) JOIN r ON regexp_matches(line, pattern)")
 def line_sql_strings(spark, sf_dir):
     """The opt-in pack, on pages whose paragraphs were turned into string concatenations."""
@@ -185,10 +206,12 @@ def line_sql_strings(spark, sf_dir):
     return L.scan_lines(L.code_lines(files), R.OPT_IN_PACKS).select("file_id", "rule_id", "line")
 
 
-@query("rule_line_join", f"WITH {DOC_LINES}, {rules_sql('r', (R.SECRETS, R.PLACEHOLDERS))} SELECT file_id, rule_id, severity, "
+@query("rule_line_join", f"WITH {DOC_LINES}, {rules_sql('r', *TEXT_PACKS)} SELECT file_id, rule_id, severity, "
        "line_no AS line FROM doc_lines JOIN r ON regexp_matches(line, pattern)")
 def rule_line_join(spark, sf_dir):
-    return L.scan_lines_by_join(L.code_lines(doc_files(spark, sf_dir)), (R.SECRETS, R.PLACEHOLDERS))
+    """Every rule against every line: the rules are literals of one pass, so nothing is joined at run time."""
+    packs = [p for p in R.PYTHON_PACKS if p is not R.LONG_LINES]
+    return L.scan_lines(L.code_lines(doc_files(spark, sf_dir)), packs).select("file_id", "rule_id", "severity", "line")
 
 
 @query("js_symbols",
@@ -210,9 +233,7 @@ def js_symbols(spark, sf_dir):
 
 @query("all_issues", f'WITH {DOC_ISSUES} SELECT file_id, rule_id, severity, category, message, line, suggestion, seq FROM issues')
 def all_issues(spark, sf_dir):
-    lines = L.code_lines(doc_files(spark, sf_dir))
-    parts = [L.scan_lines(lines, (pack,)) for pack in R.TEXT_PACKS]
-    return I.all_issues(*parts).drop("column")
+    return I.all_issues(doc_issues(spark, sf_dir)).drop("column")
 
 
 @query("issues_by_severity", f"WITH {DOC_ISSUES} SELECT file_id, rule_id, severity, line FROM issues WHERE severity IN ('critical', 'high')")
@@ -357,13 +378,12 @@ def diagnostics(spark, sf_dir):
     return reports.diagnostics(doc_issues(spark, sf_dir))
 
 
-@query("accuracy_metrics", f"WITH {DOC_LINES}, {rules_sql('r', (R.SECRETS, R.PLACEHOLDERS))}, " + """
-    found AS (SELECT DISTINCT file_id FROM doc_lines JOIN r ON regexp_matches(line, pattern)),
+@query("accuracy_metrics", f"WITH {DOC_ISSUES}, " + """
+    found AS (SELECT DISTINCT file_id FROM issues),
     cases AS (SELECT l.quality = 0 AS e, f.file_id IS NOT NULL AS f FROM labels l LEFT JOIN found f ON f.file_id = l.doc_id),
     c AS (SELECT count(*) FILTER (e AND f) AS tp, count(*) FILTER (NOT e AND NOT f) AS tn, count(*) FILTER (NOT e AND f) AS fp, count(*) FILTER (e AND NOT f) AS fn FROM cases),
     m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM c)
     SELECT tp, tn, fp, fn, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1_score FROM m""")
 def accuracy_metrics(spark, sf_dir):
     truth = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id"), (F.col("quality") == 0).alias("expected"))
-    found = L.scan_lines(L.code_lines(doc_files(spark, sf_dir)), (R.SECRETS, R.PLACEHOLDERS))
-    return accuracy.accuracy_metrics(truth, found)
+    return accuracy.accuracy_metrics(truth, doc_issues(spark, sf_dir))

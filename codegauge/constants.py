@@ -52,17 +52,42 @@ polars pyarrow opencv cv2 scikit-learn xgboost lightgbm transformers huggingface
 anthropic
 """.split()
 
-# The known standard library is the running interpreter's top-level module list, corrected to the
-# fixed set the scores are defined on: modules gone from newer interpreters are put back, and private,
-# platform-only or newer modules outside that set are taken out.
-STDLIB_REMOVED_SINCE = """
-aifc asynchat asyncore audioop binhex cgi cgitb chunk crypt distutils imghdr imp lib2to3 mailcap nis
-nntplib ossaudiodev pipes smtpd sndhdr spwd sunau telnetlib uu xdrlib
+# Fixed value: the standard-library modules that scores are defined on, whatever interpreter runs.
+STANDARD_LIBRARY = """
+_thread abc aifc argparse array ast asynchat asyncio asyncore atexit audioop base64 bdb binascii binhex bisect
+builtins bz2 calendar cgi cgitb chunk cmath cmd code codecs codeop collections colorsys compileall concurrent
+configparser contextlib contextvars copy copyreg cProfile crypt csv ctypes curses dataclasses datetime dbm decimal
+difflib dis distutils doctest email encodings enum errno faulthandler fcntl filecmp fileinput fnmatch fractions
+ftplib functools gc getopt getpass gettext glob graphlib grp gzip hashlib heapq hmac html http imaplib imghdr imp
+importlib inspect io ipaddress itertools json keyword lib2to3 linecache locale logging lzma mailbox mailcap marshal
+math mimetypes mmap modulefinder multiprocessing netrc nis nntplib numbers operator optparse os ossaudiodev pathlib
+pdb pickle pickletools pipes pkgutil platform plistlib poplib posix posixpath pprint profile pstats pty pwd
+py_compile pyclbr pydoc queue quopri random re readline reprlib resource rlcompleter runpy sched secrets select
+selectors shelve shlex shutil signal site smtpd smtplib sndhdr socket socketserver spwd sqlite3 ssl stat statistics
+string stringprep struct subprocess sunau symtable sys sysconfig syslog tabnanny tarfile telnetlib tempfile termios
+test textwrap threading time timeit tkinter token tokenize trace traceback tracemalloc tty turtle turtledemo types
+typing unicodedata unittest urllib uu uuid venv warnings wave weakref webbrowser winreg winsound wsgiref xdrlib xml
+xmlrpc zipapp zipfile zipimport zlib
 """.split()
-STDLIB_ALSO = ["test"]
-STDLIB_NOT_COUNTED = """
-__future__ antigravity ensurepip genericpath idlelib msilib msvcrt nt ntpath nturl2path opcode pydoc_data
-pyexpat sre_compile sre_constants sre_parse this tomllib zoneinfo annotationlib compression
+
+# Fixed value: the built-in names a bare call may use.
+BUILTIN_NAMES = """
+ArithmeticError AssertionError AttributeError BaseException BaseExceptionGroup BlockingIOError BrokenPipeError
+BufferError BytesWarning ChildProcessError ConnectionAbortedError ConnectionError ConnectionRefusedError
+ConnectionResetError DeprecationWarning EOFError Ellipsis EncodingWarning EnvironmentError Exception ExceptionGroup
+False FileExistsError FileNotFoundError FloatingPointError FutureWarning GeneratorExit IOError ImportError
+ImportWarning IndentationError IndexError InterruptedError IsADirectoryError KeyError KeyboardInterrupt LookupError
+MemoryError ModuleNotFoundError NameError None NotADirectoryError NotImplemented NotImplementedError OSError
+OverflowError PendingDeprecationWarning PermissionError ProcessLookupError PythonFinalizationError RecursionError
+ReferenceError ResourceWarning RuntimeError RuntimeWarning StopAsyncIteration StopIteration SyntaxError
+SyntaxWarning SystemError SystemExit TabError TimeoutError True TypeError UnboundLocalError UnicodeDecodeError
+UnicodeEncodeError UnicodeError UnicodeTranslateError UnicodeWarning UserWarning ValueError Warning
+ZeroDivisionError _IncompleteInputError __build_class__ __debug__ __doc__ __import__ __loader__ __name__ __package__
+__spec__ abs aiter all anext any ascii bin bool breakpoint bytearray bytes callable chr classmethod compile complex
+copyright credits delattr dict dir divmod enumerate eval exec exit filter float format frozenset getattr globals
+hasattr hash help hex id input int isinstance issubclass iter len license list locals map max memoryview min next
+object oct open ord pow print property quit range repr reversed round set setattr slice sorted staticmethod str sum
+super tuple type vars zip
 """.split()
 
 # Import names that look invented, then import names that look like real packages, then bare call

@@ -16,7 +16,6 @@ Output leaves the worker in batches of bounded size, so a huge file never become
 from __future__ import annotations
 
 import ast
-import functools
 import warnings
 
 import pyarrow as pa
@@ -85,11 +84,16 @@ def _const(node):
     return type(value).__name__, _text(shown), bool(value)
 
 
-@functools.cache
+_SLOTS: dict = {}  # a plain dict: it travels by value with the functions below, which a function cache does not
+
+
 def _slots(kind):
     """What a node class has: (name slot or None, its other field names)."""
-    fields = frozenset(kind._fields)
-    return next((s for s in ("name", "id", "attr", "arg") if s in fields), None), fields
+    found = _SLOTS.get(kind)
+    if found is None:
+        fields = frozenset(kind._fields)
+        found = _SLOTS[kind] = (next((s for s in ("name", "id", "attr", "arg") if s in fields), None), fields)
+    return found
 
 
 def _label(node):

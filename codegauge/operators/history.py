@@ -21,11 +21,15 @@ SCORE_COLUMNS = {
 
 def history_filter(history: DataFrame, as_of: str | Column, days: int | None = 30,
                    project: str | None = None, user: str | None = None) -> DataFrame:
-    """Rows of the last ``days`` before ``as_of``, of one project and/or user if named.
+    """Rows of the last ``days`` before ``as_of`` (all rows before it with ``days`` None), of one project and/or user
+    if named.
 
-    If the table is partitioned by ``day`` the same bound also prunes partitions.
+    If the table is partitioned by ``day`` the same bounds also prune partitions.
     """
     as_of = F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
+    history = history.where(F.col("ts") < as_of)
+    if "day" in history.columns:
+        history = history.where(F.col("day") <= F.to_date(as_of))
     if days is not None:
         start = as_of - F.make_dt_interval(F.lit(days))
         history = history.where(F.col("ts") >= start)

@@ -14,7 +14,6 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codegauge import rules as R
 from codegauge.constants import JS_INVENTED_PACKAGES
@@ -102,8 +101,8 @@ def _meta_column(packs: Sequence[R.Pack]) -> tuple[list[tuple[R.Pack, int, R.Lin
 def scan_lines(lines: DataFrame, packs: Sequence[R.Pack]) -> DataFrame:
     """Issues of all ``packs`` over ``lines``, one row per (rule, line), in one pass.
 
-    Every line yields an array of rule numbers, null where the rule does not fire; exploding it and keeping
-    the non-null ones stays inside one generated loop, so each pattern is tried once per line.
+    Every line yields the array of the rules that fire on it, so each pattern is tried once per line and a line
+    without a hit gives no row.
     """
     line = F.col("line")
     entries, meta = _meta_column(packs)
@@ -114,10 +113,8 @@ def scan_lines(lines: DataFrame, packs: Sequence[R.Pack]) -> DataFrame:
             condition = condition & ~starts_comment(line, pack.skip_comments)
         conditions.append(condition)
 
-    hits = lines.select(
-        "file_id", "line_no", F.length("line").alias("n_chars"),
-        F.explode(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conditions)])).alias("rule_no"),
-    ).where(F.col("rule_no").isNotNull())
+    fired = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conditions)]))
+    hits = lines.select("file_id", "line_no", F.length("line").alias("n_chars"), F.explode(fired).alias("rule_no"))
 
     m = F.element_at(meta, F.col("rule_no") + 1)
     line_no = F.col("line_no").cast("long")
@@ -138,19 +135,6 @@ def scan_lines(lines: DataFrame, packs: Sequence[R.Pack]) -> DataFrame:
     )
 
 
-def scan_lines_by_join(lines: DataFrame, packs: Sequence[R.Pack]) -> DataFrame:
-    """The same question as a join of a rules table with the lines on a regex predicate.
-
-    The rules side is bounded by the number of rules written in ``packs``.  Patterns arrive as column
-    values here, so the literal form in ``scan_lines`` is the one to run on large inputs.
-    """
-    rows = [(rule.rule_id, rule.severity, regex(rule.pattern), rule.needs or "")
-            for pack in packs for rule in pack.rules if rule.pattern]
-    table = lines.sparkSession.createDataFrame(rows, "rule_id string, severity string, pattern string, needs string")
-    match = F.expr("contains(line, needs) AND line RLIKE pattern")
-    return lines.join(F.broadcast(table), match).select("file_id", "rule_id", "severity", F.col("line_no").alias("line"))
-
-
 def js_package_imports(lines: DataFrame) -> DataFrame:
     """One row per quoted package in an import/require: ``file_id, line, pkg, rank`` (comment lines skipped)."""
     line = F.col("line")
@@ -195,10 +179,3 @@ def js_symbols(files: DataFrame) -> DataFrame:
         all_of(R.JS_FUNCTION, 1).alias("functions"),
         all_of(R.JS_CLASS, 1).alias("classes"),
     )
-
-
-def empty_issues(spark, file_id_type: T.DataType | str = "long") -> DataFrame:
-    kind = file_id_type if isinstance(file_id_type, str) else file_id_type.simpleString()
-    return spark.createDataFrame(
-        [], f"file_id {kind}, rule_id string, severity string, category string, message string, "
-            "line int, column int, suggestion string, seq long")

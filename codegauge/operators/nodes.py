@@ -11,8 +11,6 @@ Each rule's text is fixed; ``seq`` sorts a file's issues as a report lists them.
 
 from __future__ import annotations
 
-import builtins
-import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -272,9 +270,7 @@ def import_bindings(nodes: DataFrame) -> DataFrame:
 
 def known_module_names(installed: list[str] | None = None) -> list[str]:
     """Standard library, popular packages and, if given, the packages installed where the code runs."""
-    stdlib = {m for m in sys.stdlib_module_names if not m.startswith("_")} | {"_thread"}
-    stdlib = (stdlib | set(C.STDLIB_REMOVED_SINCE) | set(C.STDLIB_ALSO)) - set(C.STDLIB_NOT_COUNTED)
-    return sorted(stdlib | set(C.POPULAR_PACKAGES) | set(installed or []))
+    return sorted({*C.STANDARD_LIBRARY, *C.POPULAR_PACKAGES, *(installed or [])})
 
 
 def known_modules(spark: SparkSession, installed: DataFrame | None = None) -> DataFrame:
@@ -354,7 +350,7 @@ def unused_variable_issues(table: DataFrame) -> DataFrame:
 def undefined_call_issues(table: DataFrame) -> DataFrame:
     """Bare calls of invented-looking names that the file neither defines, assigns nor imports."""
     missing = table.where(
-        (F.size("calls") > 0) & ~c("defined") & c("import_name").isNull() & ~one_of("name", dir(builtins)))
+        (F.size("calls") > 0) & ~c("defined") & c("import_name").isNull() & ~one_of("name", C.BUILTIN_NAMES))
     issue = _issue("ast_undefined_call", "critical", "hallucination",
                    _text("Function '{f}' appears hallucinated (not defined or imported)", f=c("name")), c("call.line"),
                    _text("Define '{f}' or import it from a real module", f=c("name")),
@@ -374,7 +370,7 @@ def called_but_unbound(nodes: DataFrame) -> DataFrame:
     called = nodes.where((c("kind") == "Call") & c("func_is_name")).select("file_id", "name").distinct()
     bound = nodes.where(c("kind").isin("FunctionDef", "ClassDef") | _assigned_name()).select("file_id", "name")
     imports = nodes.where(c("kind") == "alias").select("file_id", F.coalesce("asname", "name").alias("name"))
-    unbuilt = called.where(~one_of("name", dir(builtins)))
+    unbuilt = called.where(~one_of("name", C.BUILTIN_NAMES))
     return unbuilt.join(bound.union(imports).distinct(), ["file_id", "name"], "left_anti")
 
 

@@ -31,7 +31,7 @@ def _enabled(packs: Sequence[R.Pack], weights: Mapping[str, float]) -> list[R.Pa
     return [p for p in packs if p.category in categories]
 
 
-def text_issues(files: DataFrame, packs: Sequence[R.Pack] = R.TEXT_PACKS) -> DataFrame:
+def text_issues(files: DataFrame, packs: Sequence[R.Pack] = R.PYTHON_PACKS) -> DataFrame:
     """Line rules only, for texts that need no tree."""
     return L.scan_lines(L.code_lines(files), packs)
 
@@ -88,7 +88,7 @@ def validate(files: DataFrame, overrides: Mapping[str, Mapping] | None = None, *
 
 
 def validate_texts(files: DataFrame, overrides: Mapping[str, Mapping] | None = None,
-                   packs: Sequence[R.Pack] = R.TEXT_PACKS) -> DataFrame:
+                   packs: Sequence[R.Pack] = R.PYTHON_PACKS) -> DataFrame:
     """Trust scores from line rules alone: one scan and one small shuffle."""
     weights = scoring.effective_config(overrides)
     return scoring.trust_scores(scoring.file_totals(files, text_issues(files, packs)), weights)

@@ -159,5 +159,4 @@ JS_CLASS = r"class\s+(\w+)(?:\s+extends\s+(\w+))?\s*\{"
 
 PYTHON_PACKS = (SECRETS, PATH_TRAVERSAL, SSRF, DESERIALIZATION, INTERNAL_URL, PLACEHOLDERS, LONG_LINES)
 JS_PACKS = (JS_SECURITY, JS_VULNERABLE_DEPS, JS_INVENTED_CALLS, JS_ENDPOINTS, JS_LOGIC, JS_STYLE)
-TEXT_PACKS = (SECRETS, PLACEHOLDERS, LONG_LINES)  # the packs that make sense on any text
 OPT_IN_PACKS = (SQL_STRINGS,)

@@ -16,13 +16,22 @@ BATCH_SCHEMA = "files array<struct<name: string, code: string>>, min_score int,
 def scan_files(spark: SparkSession, directory: str, pattern: str = "*.py") -> DataFrame:
     """All files below ``directory`` whose name matches ``pattern``, one row per whole file.
 
-    The path is the file id: unique, and it keeps partition values in the path readable.
+    The path is the file id: the whole path with its escapes decoded.  ``rel_path`` is the part below ``directory``,
+    as ignore entries and module names need it.
     """
     raw = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-        .text(directory, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("code"))
+        .text(directory, wholetext=True).select(F.col("_metadata.file_path").alias("raw_path"), F.col("value").alias("code"))
     )
-    return raw.select(F.col("path").alias("file_id"), "path", S.detect_language(F.col("path")).alias("language"), "code")
+    # the store's own spelling of the root: scheme and all
+    where = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    root = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().getPath().rstrip("/")
+    # a plus sign in a path is itself; only percent escapes are decoded
+    plain = F.url_decode(F.replace("raw_path", F.lit("+"), F.lit("%2B")))
+    local = F.regexp_replace(plain, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    rel = F.when(local.startswith(root + "/"), F.substr(local, F.lit(len(root) + 2))).otherwise(local)
+    return raw.select(plain.alias("file_id"), plain.alias("path"), rel.alias("rel_path"),
+                      S.detect_language(plain).alias("language"), "code")
 
 
 def scan_files_multilang(spark: SparkSession, directory: str) -> DataFrame:
@@ -40,26 +49,39 @@ def scan_code_table(df: DataFrame, file_id: str, code: str, language: str = C.DE
 
 
 def drop_ignored(files: DataFrame, directory: str, ignore: Sequence[str]) -> DataFrame:
-    """Without paths that start with an ignored entry; a plain prefix test, so ``tests`` also drops ``tests_x``."""
+    """Without paths that start with an ignored entry; a plain prefix test, so ``tests`` also drops ``tests_x``.
+
+    Files of a directory scan are tested on ``rel_path``; other tables on ``path`` below ``directory``.
+    """
+    scanned = "rel_path" in files.columns
     for entry in ignore:
-        files = files.where(~F.col("path").startswith(f"{directory.rstrip('/')}/{entry}"))
+        prefix = entry if scanned else f"{directory.rstrip('/')}/{entry}"
+        files = files.where(~F.col("rel_path" if scanned else "path").startswith(prefix))
     return files
 
 
 def batch_files(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Files of JSON batch bodies, with the documented defaults; ``pos`` numbers the files of a body."""
+    """Files of JSON batch bodies, with the documented defaults; ``pos`` numbers the files of a body.
+
+    A body that is no JSON object, or names no files, gives one row with ``error`` set and no file.
+    """
     keep = [c for c in bodies.columns if c != body]
-    parsed = bodies.select(*keep, F.from_json(body, BATCH_SCHEMA).alias("b"))
+    bad = "_malformed"
+    parsed = bodies.select(*keep, F.from_json(body, f"{BATCH_SCHEMA}, {bad} string", {"columnNameOfCorruptRecord": bad}).alias("b")).select(
+        *keep, "b", (F.col("b").isNull() | F.col(f"b.{bad}").isNotNull()).alias("malformed"))
     return parsed.select(
         *keep,
         F.coalesce("b.min_score", F.lit(C.GATE_SCORE)).alias("min_score"),
         F.coalesce("b.strict", F.lit(False)).alias("strict"),
-        F.posexplode("b.files").alias("pos", "file"),
+        F.when(F.col("malformed"), "malformed body").when(F.coalesce(F.size("b.files"), F.lit(0)) <= 0, "no files").alias("error"),
+        F.posexplode_outer("b.files").alias("pos", "file"),
     ).select(
-        *keep, "pos", F.coalesce("file.name", F.lit("unnamed")).alias("name"),
-        F.coalesce("file.code", F.lit("")).alias("code"), "min_score", "strict")
+        *keep, "pos", F.when(F.col("error").isNull(), F.coalesce("file.name", F.lit("unnamed"))).alias("name"),
+        F.when(F.col("error").isNull(), F.coalesce("file.code", F.lit(""))).alias("code"), "min_score", "strict", "error")
 
 
 def batch_totals(results: DataFrame, *keys: str) -> DataFrame:
-    n, ok = F.count(F.lit(1)), F.count_if("passed")
-    return results.groupBy(*keys).agg(n.alias("total"), ok.alias("passed"), (n - ok).alias("failed"))
+    """Files, passed and failed ones by body; a row whose ``passed`` is null stands for a rejected body."""
+    n, ok = F.count("passed"), F.count_if("passed")
+    return results.groupBy(*keys).agg(
+        n.alias("total"), ok.alias("passed"), (n - ok).alias("failed"), F.bool_or(F.col("passed").isNull()).alias("rejected"))

@@ -83,7 +83,7 @@ def detect_changes(feed: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFra
         follow, feed.schema, T._parse_datatype_string(_STATE), "append", "NoTimeout")
 
 
-def line_scan(stream: DataFrame, packs=R.TEXT_PACKS) -> DataFrame:
+def line_scan(stream: DataFrame, packs=R.PYTHON_PACKS) -> DataFrame:
     """Line rules on a stream of ``file_id, code``: stateless, same expressions as the batch scan."""
     return L.scan_lines(L.code_lines(stream), packs)
 

@@ -174,7 +174,7 @@ def test_text_scan_sums_before_the_shuffle(spark, tmp_path):
     spark.range(40).select(F.col("id").alias("file_id"), F.lit("x").alias("path"), F.lit("a\nb").alias("code"), F.lit(1).alias("unused")
                            ).write.parquet(path)
     files = spark.read.parquet(path)
-    text = plan(scoring.trust_scores(scoring.file_totals(files, L.scan_lines(L.code_lines(files), R.TEXT_PACKS))))
+    text = plan(scoring.trust_scores(scoring.file_totals(files, L.scan_lines(L.code_lines(files), R.PYTHON_PACKS))))
     assert text.count("HashAggregate") == 2 and "SortAggregate" not in text
     assert "unused" not in text
 
