@@ -213,9 +213,11 @@ def case_predicates(spark, sf_dir):
 _CONFIG_JSON = '{"checks":{"best_practices":0.5,"hallucinations":2.5,"logic":1.0,"security":2.0},"min_score":70,"strict_mode":false}'
 
 
-@query("config_hash", f"SELECT DISTINCT lang, substr(md5('{_CONFIG_JSON}'), 1, 8) AS config_hash FROM documents")
+@query("config_hash", f"SELECT doc_id, substr(md5(replace(replace('{_CONFIG_JSON}', '70', CAST(50 + doc_id % 50 AS VARCHAR)), 'false', CAST(lang = 'fr' AS VARCHAR))), 1, 8) AS config_hash FROM documents")
 def config_hash(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("lang", S.config_hash().alias("config_hash")).distinct()
+    """One configuration per document: its own score to reach, and strict for one language."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", S.config_hash((50 + F.col("doc_id") % 50).cast("int"), F.col("lang") == "fr").alias("config_hash"))
 
 
 @query("content_hash", f"SELECT doc_id, substr(sha256(text || ':' || substr(md5('{_CONFIG_JSON}'), 1, 8)), 1, 16) AS content_hash FROM documents")
@@ -241,9 +243,9 @@ def round_1dp(spark, sf_dir):
         "event_id", S.round_1dp(F.round(F.col("value") * 100).cast("int") / 7).alias("rounded"))
 
 
-@query("import_base", "SELECT page_id, string_split(replace(replace(url, '://', '.'), '/', '.'), '.')[1] AS base FROM pages")
+@query("import_base", "SELECT page_id, split_part(split_part(url, '://', 2), '.', 1) AS base FROM pages")
 def import_base(spark, sf_dir):
-    dotted = F.replace(F.replace("url", F.lit("://"), F.lit(".")), F.lit("/"), F.lit("."))
+    dotted = F.replace(F.substring_index("url", "://", -1), F.lit("/"), F.lit("."))
     return table(spark, sf_dir, "pages").select("page_id", S.import_base(dotted).alias("base"))
 
 
@@ -315,12 +317,13 @@ def _cache(spark, sf_dir):
     n = F.length("text")
     age = F.date_format(_as_of() - F.make_dt_interval((n % 14).cast("int")), "yyyy-MM-dd HH:mm:ss")
     rows = table(spark, sf_dir, "documents").where(F.col("lang") != "fr").select(
-        S.content_hash(F.col("text"), "cfg").alias("content_hash"), F.lit("cfg").alias("config_hash"), (n % 101).cast("int").alias("trust_score"),
+        S.content_hash(F.col("text"), "cfg").alias("content_hash"), S.content_digest(F.col("text"), "cfg").alias("digest"),
+        F.lit("cfg").alias("config_hash"), (n % 101).cast("int").alias("trust_score"),
         (n % 7).cast("long").alias("issues_count"), (n % 2).cast("long").alias("critical_count"),
         F.when(n % 13 == 0, "unknown").otherwise(age).alias("ts"), F.concat_ws("/", "source", "lang").alias("file_path"),
         (n % 50).cast("double").alias("duration_ms"), F.concat(F.lit('{"n":'), n.cast("string"), F.lit("}")).alias("result_json"))
-    others = [c for c in rows.columns if c not in ("content_hash", "file_path")]
-    return rows.groupBy("content_hash").agg(F.min("file_path").alias("file_path"), *[F.first(c).alias(c) for c in others]).select(*rows.columns)
+    others = [c for c in rows.columns if c not in ("digest", "file_path")]
+    return rows.groupBy("digest").agg(F.min("file_path").alias("file_path"), *[F.first(c).alias(c) for c in others]).select(*rows.columns)
 
 
 def _hashes(spark, sf_dir):

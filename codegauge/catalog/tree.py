@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codegauge.analyzers import Registry, line_analyzer, tree_analyzer
 from codegauge.catalog.common import corpus_files, corpus_nodes, doc_files, doc_issues, DOC_ISSUES, DOC_LINES, expected, query, shown, table
+from codegauge.constants import POPULAR_PACKAGES, STANDARD_LIBRARY
 from codegauge.corpus import TEMPLATES, expected_sql, sql_text, template_files_sql
 from codegauge.functions import scalars as S
 from codegauge.functions.syntax import ERROR_KIND, ast_nodes as ast_nodes_of
@@ -82,7 +83,8 @@ _import_rule("ast_fake_import")
 _import_rule("ast_unknown_import")
 
 
-@query("known_modules")
+# The plain tables of names, and the one package that the corpus imports by a likely-real name.
+@query("known_modules", "SELECT unnest(string_split('" + " ".join([*STANDARD_LIBRARY, *POPULAR_PACKAGES, "django_extra"]) + "', ' ')) AS module")
 def known_modules(spark, sf_dir):
     """The known-module table plus the packages the corpus itself imports by a likely-real name."""
     used = N.import_bindings(corpus_nodes(spark, sf_dir)).where(F.col("full_name").startswith("django"))
@@ -329,12 +331,19 @@ def top_fixes(spark, sf_dir):
     return I.top_fixes(corpus_fixes(spark, sf_dir)).select("file_id", "line", "suggested")
 
 
-@query("fix_edits", f"WITH {expected_sql('ast_bare_except', 'ast_infinite_loop', 'ast_unreachable')}, new(template, line, suggested) AS (VALUES {_all_fixes_sql()}) "
+# The rule whose issues each fix answers.
+_RULE_OF_FIX = {
+    "fix_sql_fstring": "ast_sql_injection", "fix_hardcoded": "line_secrets", "fix_eval": "ast_dangerous_call", "fix_shell": "ast_shell_true",
+    "fix_unreachable": "ast_unreachable", "fix_infinite_loop": "ast_infinite_loop", "fix_unused": "ast_unused_var",
+    "fix_bare_except": "ast_bare_except", "fix_mutable_default": "ast_mutable_default", "fix_docstring": "ast_missing_docstring"}
+_EDITS = ", ".join(sorted({f"({t}, {line}, {sql_text(text)}, {sql_text(_RULE_OF_FIX[fix])})" for fix, rows in FIXES.items() for t, line, text in rows}))
+
+
+@query("fix_edits", f"WITH {expected_sql()}, new(template, line, suggested, rule) AS (VALUES {_EDITS}) "
        "SELECT e.file_id, 'Fix: ' || substr(e.message, 1, 50) || '...' AS title, e.line - 1 AS start_line, e.line AS end_line, n.suggested || chr(10) AS new_text "
-       "FROM expected e JOIN code_files f USING (file_id) JOIN new n ON n.template = f.template AND n.line = e.line")
+       "FROM expected e JOIN code_files f USING (file_id) JOIN new n ON n.template = f.template AND n.line = e.line AND starts_with(e.rule_id, n.rule)")
 def fix_edits(spark, sf_dir):
-    fixes = corpus_fixes(spark, sf_dir).where(F.col("fix_id").isin("fix_bare_except", "fix_infinite_loop", "fix_unreachable"))
-    return reports.fix_edits(fixes).select("file_id", "title", "start_line", "end_line", "new_text")
+    return reports.fix_edits(corpus_fixes(spark, sf_dir)).select("file_id", "title", "start_line", "end_line", "new_text")
 
 
 _ALTERNATIVE = "CASE p_partkey % 9 WHEN 0 THEN 'quick_sort' WHEN 1 THEN 'fast_hash' WHEN 2 THEN 'smart_parser' WHEN 3 THEN 'EASY_HTTP' WHEN 4 THEN 'ai_utils' WHEN 5 THEN 'ml_helpers' WHEN 6 THEN 'data_processor_fast_hash' WHEN 7 THEN 'text_analyzer' ELSE 'plain' END"
@@ -426,14 +435,14 @@ def analyzer_priority(spark, sf_dir):
     return found.select("file_id", "rule_id", "line", rank.alias("rnk"))
 
 
-@query("analyzer_decorator", f"WITH {DOC_LINES} SELECT file_id, line_no AS line, 'question' AS message FROM doc_lines WHERE contains(line, '?')")
+@query("analyzer_decorator", f"WITH {DOC_LINES} SELECT file_id, line_no AS line, 'shout' AS message FROM doc_lines WHERE contains(line, '!!')")
 def analyzer_decorator(spark, sf_dir):
-    @line_analyzer("question", "question")
-    def question(line):
-        return line.contains("?")
+    @line_analyzer("shout", "shout")
+    def shout(line):
+        return line.contains("!!")
 
     registry = Registry()
-    registry.register(question)
+    registry.register(shout)
     return registry.run(doc_files(spark, sf_dir))[0].select("file_id", "line", "message")
 
 

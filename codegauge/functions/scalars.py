@@ -60,18 +60,24 @@ def is_upper(name: Column) -> Column:
     return (F.upper(name) == name) & (F.lower(name) != name)
 
 
-def content_hash(content: Column, config: Column | str = "") -> Column:
+def content_digest(content: Column, config: Column | str = "") -> Column:
+    """SHA-256 of a text and the configuration it is judged by: equal digests mean equal results."""
     config = F.lit(config) if isinstance(config, str) else config
-    return F.substring(F.sha2(F.concat(content, F.lit(":"), config), 256), 1, 16)
+    return F.sha2(F.concat(content, F.lit(":"), config), 256)
+
+
+def content_hash(content: Column, config: Column | str = "") -> Column:
+    """The first 16 digits of the digest, for show and file names."""
+    return F.substring(content_digest(content, config), 1, 16)
 
 
-def config_hash(min_score: int = C.GATE_SCORE, strict: bool = False, weights: dict | None = None) -> Column:
+def config_hash(min_score: int | Column = C.GATE_SCORE, strict: bool | Column = False, weights: dict | None = None) -> Column:
     """Short hash of the settings a cached result depends on."""
     weights = C.DEFAULT_WEIGHTS if weights is None else weights
     settings = F.struct(
         F.struct(*[F.lit(float(weights[k])).alias(k) for k in sorted(weights)]).alias("checks"),
-        F.lit(min_score).alias("min_score"),
-        F.lit(strict).alias("strict_mode"),
+        (min_score if isinstance(min_score, Column) else F.lit(min_score)).alias("min_score"),
+        (strict if isinstance(strict, Column) else F.lit(strict)).alias("strict_mode"),
     )
     return F.substring(F.md5(F.to_json(settings)), 1, 8)
 

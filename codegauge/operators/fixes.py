@@ -129,9 +129,3 @@ def alternative_modules(names: DataFrame, alternatives: DataFrame | None = None)
     distinct = names.select("module").distinct()
     return distinct.join(alternatives, F.lower("module").contains(F.col("part"))).groupBy("module").agg(
         F.min_by("alternative", "ord").alias("alternative"))
-
-
-def fixed_lines(files: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Changed lines only: ``file_id, line_no, suggested``."""
-    return code_lines(files).join(
-        fixes.select("file_id", F.col("line").alias("line_no"), "suggested"), ["file_id", "line_no"])

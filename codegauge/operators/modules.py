@@ -1,9 +1,9 @@
 """Import graph of many files.
 
 Base tables: ``modules(module, file_id, path)`` and ``imports(module, imp, ord)``.  A hub module that a third
-of all files import is normal here, so joins on the imported name are salted for hot names, and degree counts
+of all files import is normal here, so joins on either end of an edge can be split at a hot name, and degree counts
 are partial aggregates.  Iterated operators keep one row per module (labels, hops, colours), never pairs of
-modules; every round is a cluster job whose result is checkpointed.
+modules; every round is a written table that replaces the one before it.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from codegauge import constants as C
 from codegauge.functions import scalars as S
-from codegauge.functions.syntax import ERROR_KIND
-from codegauge.operators.skew import HOT_ROWS, hot_keys, salted_join
-from codegauge.session import shared_dir
+from codegauge.operators.components import Rounds, connected_components
+from codegauge.operators.skew import even_join
 
 
 def modules(files: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -43,22 +42,22 @@ def dotted_prefixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
 
 
-def module_edges(imports: DataFrame, mods: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
+def module_edges(imports: DataFrame, mods: DataFrame) -> DataFrame:
     """``module -> other`` when other is the imported module or lies in the imported package.
 
     "Equal or below" becomes equality by listing every dotted prefix of each module name once.
     """
     targets = mods.select(F.col("module").alias("to_module"), F.explode(dotted_prefixes(F.col("module"))).alias("imp"))
-    joined = salted_join(imports, targets, "imp", "inner", spread_by="module", min_rows=min_rows)
+    joined = even_join(imports, targets, "imp", "inner")
     return joined.where(F.col("module") != F.col("to_module")).select(
         F.col("module").alias("from_module"), "to_module", "imp")
 
 
-def module_adjacency(imports: DataFrame, mods: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
+def module_adjacency(imports: DataFrame, mods: DataFrame) -> DataFrame:
     """``module -> top-level module of the import``, repeats kept."""
     wanted = imports.select("module", S.import_base(F.col("imp")).alias("to_module"), "ord")
     names = mods.select(F.col("module").alias("to_module"))
-    return salted_join(wanted, names, "to_module", "left_semi", spread_by="module", min_rows=min_rows).select(
+    return even_join(wanted, names, "to_module", "left_semi").select(
         F.col("module").alias("from_module"), "to_module", "ord")
 
 
@@ -76,11 +75,11 @@ def unused_modules(mods: DataFrame, imports: DataFrame) -> DataFrame:
         bases, "base", "left_anti").select("module")
 
 
-def missing_modules(imports: DataFrame, mods: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
+def missing_modules(imports: DataFrame, mods: DataFrame) -> DataFrame:
     """Imports whose top-level name is neither a module of the project nor on the short never-missing list."""
     wanted = imports.withColumn("base", S.import_base(F.col("imp"))).where(~F.col("base").isin(C.NEVER_MISSING))
     names = mods.select(F.col("module").alias("base"))
-    lost = salted_join(wanted, names, "base", "left_anti", spread_by="module", min_rows=min_rows)
+    lost = even_join(wanted, names, "base", "left_anti")
     return lost.select("module", F.col("imp").alias("import"), F.concat(
         F.lit("Module '"), "module", F.lit("' imports non-existent module '"), "imp", F.lit("'")).alias("message"))
 
@@ -114,85 +113,85 @@ def graph_summary(degree_table: DataFrame) -> DataFrame:
 
 # --- iterated operators -------------------------------------------------------------------------------------
 
+STEPS = 1  # hops worked out in one job: more of them mean fewer jobs with larger plans
+
+
 def _pairs(edges: DataFrame) -> DataFrame:
-    shared_dir(edges.sparkSession)
-    return edges.select(F.col("from_module").alias("a"), F.col("to_module").alias("b")).distinct().checkpoint()
+    return edges.select(F.col("from_module").alias("a"), F.col("to_module").alias("b")).distinct()
 
 
-class _Propagation:
-    """Push a value per node along fixed edges until nothing changes.
+def _spread_values(edges: DataFrame, start: DataFrame, best, name: str) -> DataFrame:
+    """Push the best value along fixed edges ``(a, b)`` until nothing changes: ``start(node, value)`` -> the same.
 
-    Each round sends only the values that changed last round (semi-naive), merges them with ``max``/``min``
-    by node before the shuffle, and checkpoints one row per node.
+    ``best`` is F.max or F.min.  Offers are merged by node before the shuffle.  Both sides of the join over the edges
+    are written tables, so it can be split at a hub.  A round writes one row per node; the one before it is deleted.
     """
-
-    def __init__(self, edges: DataFrame, min_rows: int = HOT_ROWS):
-        self.edges = edges
-        self.hot = hot_keys(edges, "a", min_rows).checkpoint()
-        self.min_rows = min_rows
-
-    def run(self, start: DataFrame, best) -> DataFrame:
-        """``start(node, value)`` -> final ``node, value``; ``best`` is F.max or F.min."""
-        better = (lambda new, old: new > old) if best is F.max else (lambda new, old: new < old)
-        state, frontier = start, start
-        while True:
-            source = frontier.where(F.col("value").isNotNull()).select(F.col("node").alias("a"), "value")
-            sent = salted_join(self.edges, source, "a", "inner", spread_by="b", hot=self.hot, min_rows=self.min_rows)
-            offers = sent.groupBy(F.col("b").alias("node")).agg(best("value").alias("offer"))
-            merged = state.join(offers, "node", "left")
-            moved = F.coalesce(better(F.col("offer"), F.col("value")), F.lit(False)) | (
-                F.col("value").isNull() & F.col("offer").isNotNull())
-            after = merged.select(
-                "node", F.when(moved, F.col("offer")).otherwise(F.col("value")).alias("value"), moved.alias("moved")
-            ).checkpoint()
-            state = after.select("node", "value")
-            frontier = after.where("moved").select("node", "value")
-            if frontier.isEmpty():
-                return state
-
-
-def dependency_clusters(mods: DataFrame, adjacency: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
+    better = (lambda new, old: new > old) if best is F.max else (lambda new, old: new < old)
+    rounds = Rounds(edges.sparkSession, name)
+    state = start.select("node", "value")
+    while True:
+        after = state.withColumn("before", F.col("value"))
+        for _ in range(STEPS):
+            source = after.where(F.col("value").isNotNull()).select(F.col("node").alias("a"), "value")
+            offers = edges.join(source, "a").groupBy(F.col("b").alias("node")).agg(best("value").alias("offer"))
+            moved = F.coalesce(better(F.col("offer"), F.col("value")), F.col("value").isNull() & F.col("offer").isNotNull())
+            after = after.join(offers, "node", "left").select(
+                "node", "before", F.when(moved, F.col("offer")).otherwise(F.col("value")).alias("value"))
+        moved = ~F.col("value").eqNullSafe(F.col("before"))
+        kept, seen = rounds.keep(after.select("node", "value", "before"), moved=F.count_if(moved))
+        state = kept.select("node", "value")
+        if not seen["moved"]:
+            return state
+
+
+def dependency_clusters(mods: DataFrame, adjacency: DataFrame) -> DataFrame:
     """Groups of modules connected by imports in either direction, named by their smallest member."""
-    pairs = _pairs(adjacency)
-    both = pairs.union(pairs.select("b", "a")).distinct().checkpoint()
-    start = mods.select(F.col("module").alias("node"), F.col("module").alias("value")).checkpoint()
-    out = _Propagation(both, min_rows).run(start, F.min)
-    return out.select(F.col("node").alias("module"), F.col("value").alias("cluster"))
+    groups = connected_components(_pairs(adjacency)).withColumnRenamed("node", "module")
+    return mods.select("module").join(groups, "module", "left").select(
+        "module", F.coalesce("component", "module").alias("cluster"))
 
 
-def dependency_closure(mods: DataFrame, adjacency: DataFrame, roots: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
+def dependency_closure(mods: DataFrame, adjacency: DataFrame, roots: DataFrame) -> DataFrame:
     """Everything the ``roots(module)`` depend on, directly or not, with the fewest import steps."""
-    pairs = _pairs(adjacency)
+    rounds = Rounds(mods.sparkSession, "closure")
+    pairs, _ = Rounds(mods.sparkSession, "closure-edges").keep(_pairs(adjacency), n=F.count(F.lit(1)))
     marked = mods.select("module").join(roots.select("module", F.lit(0).alias("hops")), "module", "left")
-    state = marked.select(F.col("module").alias("node"), F.col("hops").alias("value")).checkpoint()
-    frontier = state.where(F.col("value").isNotNull())
-    hot = hot_keys(pairs, "a", min_rows).checkpoint()
-    hops = 0
-    while not frontier.isEmpty():
-        hops += 1
-        reached = salted_join(pairs, frontier.select(F.col("node").alias("a")), "a", "left_semi", spread_by="b", hot=hot
-                              ).select(F.col("b").alias("node")).distinct().withColumn("hit", F.lit(True))
-        after = state.join(reached, "node", "left").select(
-            "node", F.coalesce("value", F.when(F.col("hit"), F.lit(hops))).alias("value")).checkpoint()
-        state, frontier = after, after.where(F.col("value") == hops)
+    state, seen = rounds.keep(marked.select(F.col("module").alias("node"), F.col("hops").alias("value")), reached=F.count("value"))
+    hops, before = 0, 0
+    while seen["reached"] > before:
+        before, after = seen["reached"], state
+        for _ in range(STEPS):
+            hops += 1
+            frontier = after.where(F.col("value") == hops - 1).select(F.col("node").alias("a"))
+            reached = pairs.join(frontier, "a", "left_semi").select(F.col("b").alias("node")).distinct().withColumn("hit", F.lit(True))
+            after = after.join(reached, "node", "left").select(
+                "node", F.coalesce("value", F.when(F.col("hit"), F.lit(hops))).alias("value"))
+        state, seen = rounds.keep(after, reached=F.count("value"))
     return state.where(F.col("value").isNotNull()).select(F.col("node").alias("module"), F.col("value").alias("hops"))
 
 
-def _trim(pairs: DataFrame) -> DataFrame:
-    """Drop edges that cannot lie on a cycle: their start is never reached or their end leads nowhere."""
-    size = pairs.count()
-    while True:
-        heads, tails = pairs.select(F.col("a").alias("n")).distinct(), pairs.select(F.col("b").alias("n")).distinct()
-        inner = heads.intersect(tails)
-        kept = pairs.join(inner.select(F.col("n").alias("a")), "a", "left_semi").join(
-            inner.select(F.col("n").alias("b")), "b", "left_semi").select("a", "b").checkpoint()
-        left = kept.count()
-        if left == size:
-            return kept
-        pairs, size = kept, left
-
+def _trim(pairs: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Without edges that cannot lie on a cycle: their start is never reached or their end leads nowhere.
 
-def circular_dependencies(adjacency: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
+    A job peels several layers; the number of edges left tells when the last one was empty.
+    """
+    rounds = Rounds(pairs.sparkSession, name)
+    now, seen = rounds.keep(pairs, n=F.count(F.lit(1)))
+    while True:
+        size, kept = seen["n"], now
+        if not size:
+            return now, 0
+        for _ in range(STEPS):
+            inner = kept.groupBy(F.col("a").alias("n")).agg(F.lit(1).alias("out")).join(
+                kept.groupBy(F.col("b").alias("n")).agg(F.lit(1).alias("into")), "n").select("n")
+            kept = even_join(even_join(kept, inner.select(F.col("n").alias("a")), "a", "left_semi"),
+                             inner.select(F.col("n").alias("b")), "b", "left_semi").select("a", "b")
+        now, seen = rounds.keep(kept, n=F.count(F.lit(1)))
+        if seen["n"] == size:
+            return now, size
+
+
+def circular_dependencies(adjacency: DataFrame) -> DataFrame:
     """Modules that (indirectly) import themselves, each with the name of its cycle group.
 
     The set is order-free: strongly connected groups of more than one module, and modules importing
@@ -200,28 +199,23 @@ def circular_dependencies(adjacency: DataFrame, min_rows: int = HOT_ROWS) -> Dat
     colour that also reach back to that name form one group; the rest is tried again.  Work and storage stay
     linear in the edges per round.
     """
-    pairs = _pairs(adjacency)
-    selfish = pairs.where(F.col("a") == F.col("b")).select(F.col("a").alias("module"), F.col("a").alias("group"))
-    found = selfish
-    active = _trim(pairs.where(F.col("a") != F.col("b")).checkpoint())
-    while not active.isEmpty():
+    spark = adjacency.sparkSession
+    pairs, _ = Rounds(spark, "cycle-edges").keep(_pairs(adjacency), n=F.count(F.lit(1)))
+    found = pairs.where(F.col("a") == F.col("b")).select(F.col("a").alias("module"), F.col("a").alias("group"))
+    active, left = _trim(pairs.where(F.col("a") != F.col("b")), "cycle-trim")
+    while left:
         names = active.select(F.col("a").alias("node")).union(active.select("b")).distinct()
-        colours = _Propagation(active, min_rows).run(
-            names.select("node", F.col("node").alias("value")).checkpoint(), F.max)
+        colours = _spread_values(active, names.select("node", F.col("node").alias("value")), F.max, "cycle-colours")
         ca = colours.select(F.col("node").alias("a"), F.col("value").alias("ca"))
         cb = colours.select(F.col("node").alias("b"), F.col("value").alias("cb"))
-        backwards = active.join(ca, "a").join(cb, "b").where(F.col("ca") == F.col("cb")).select(
-            F.col("b").alias("a"), F.col("a").alias("b")).checkpoint()
-        start = colours.select("node", F.when(F.col("node") == F.col("value"), F.col("value")).alias("value")).checkpoint()
-        groups = _Propagation(backwards, min_rows).run(start, F.max).where(F.col("value").isNotNull())
+        backwards, _ = Rounds(spark, "cycle-back").keep(active.join(ca, "a").join(cb, "b").where(F.col("ca") == F.col("cb")).select(
+            F.col("b").alias("a"), F.col("a").alias("b")), n=F.count(F.lit(1)))
+        start = colours.select("node", F.when(F.col("node") == F.col("value"), F.col("value")).alias("value"))
+        groups = _spread_values(backwards, start, F.max, "cycle-groups").where(F.col("value").isNotNull())
         sizes = groups.groupBy("value").count().where(F.col("count") > 1).select("value")
         found = found.union(groups.join(sizes, "value", "left_semi").select("node", "value"))
         gone = groups.select("node")
         rest = active.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(
-            gone.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b").checkpoint()
-        active = _trim(rest)
+            gone.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b")
+        active, left = _trim(rest, "cycle-trim")
     return found.groupBy("module").agg(F.max("group").alias("cycle_group"))
-
-
-def parse_failures(nodes: DataFrame) -> DataFrame:
-    return nodes.where(F.col("kind") == ERROR_KIND).select("file_id")

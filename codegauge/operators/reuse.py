@@ -1,8 +1,9 @@
 """Reuse of earlier results by content hash.
 
 Copies of one text may make up a third of all files.  Texts are therefore compared by hash only: the narrow
-``(file_id, content_hash)`` table is what gets shuffled, its join with the result table is salted for hot
-hashes, and full texts move only for the files that must be scanned.
+``(file_id, digest)`` table is what gets shuffled, and its join with the result table can be split where a hash is
+hot.  Picking the texts to scan is a semi join on ``file_id``: it broadcasts the ids while they are few, and deals
+out all texts once where they are not.
 """
 
 from __future__ import annotations
@@ -14,58 +15,59 @@ from pyspark.sql import functions as F
 
 from codegauge import constants as C
 from codegauge.functions import scalars as S
-from codegauge.operators.skew import HOT_ROWS, salted_join
+from codegauge.operators.skew import even_join
 from codegauge.session import stage
 
 
 def content_hashes(files: DataFrame, config: Column | str = "") -> DataFrame:
-    """``file_id, content_hash``, staged so that texts are hashed once."""
-    return stage(files.select("file_id", S.content_hash(F.col("code"), config).alias("content_hash")), "hashes")
+    """``file_id, content_hash, digest``, staged so that texts are hashed once.
+
+    ``digest`` is the whole hash and decides what is equal; ``content_hash`` is its first 16 digits, for show.
+    """
+    digest = S.content_digest(F.col("code"), config)
+    return stage(files.select("file_id", digest.alias("digest")).select(
+        "file_id", F.substring("digest", 1, 16).alias("content_hash"), "digest"), "hashes")
 
 
 def live_entries(cache: DataFrame, as_of: Column, ttl_days: int = C.CACHE_TTL_DAYS) -> DataFrame:
     return cache.where(~S.is_expired(F.col("ts"), as_of, ttl_days))
 
 
-def cache_lookup(hashes: DataFrame, cache: DataFrame, as_of: Column, ttl_days: int = C.CACHE_TTL_DAYS,
-                 min_rows: int = HOT_ROWS) -> DataFrame:
-    """Files with a live entry, and that entry.  ``cache`` has one row per ``content_hash``."""
-    return salted_join(hashes, live_entries(cache, as_of, ttl_days), "content_hash", "inner",
-                       spread_by="file_id", min_rows=min_rows)
+def cache_lookup(hashes: DataFrame, cache: DataFrame, as_of: Column, ttl_days: int = C.CACHE_TTL_DAYS) -> DataFrame:
+    """Files with a live entry, and that entry.  ``cache`` has one row per ``digest``."""
+    return even_join(hashes, live_entries(cache, as_of, ttl_days).drop("content_hash"), "digest")
 
 
-def cache_miss(hashes: DataFrame, cache: DataFrame, as_of: Column, ttl_days: int = C.CACHE_TTL_DAYS,
-               min_rows: int = HOT_ROWS) -> DataFrame:
+def cache_miss(hashes: DataFrame, cache: DataFrame, as_of: Column, ttl_days: int = C.CACHE_TTL_DAYS) -> DataFrame:
     """Files without a live entry."""
-    live = live_entries(cache, as_of, ttl_days).select("content_hash")
-    return salted_join(hashes, live, "content_hash", "left_anti", spread_by="file_id", min_rows=min_rows)
+    live = live_entries(cache, as_of, ttl_days).select("digest")
+    return even_join(hashes, live, "digest", "left_anti")
 
 
 def representatives(hashes: DataFrame) -> DataFrame:
-    """One file per distinct content: ``file_id, content_hash``."""
-    return hashes.groupBy("content_hash").agg(F.min("file_id").alias("file_id"))
+    """One file per distinct content: ``file_id, digest``."""
+    return hashes.groupBy("digest").agg(F.min("file_id").alias("file_id"))
 
 
-def dedup_scan(files: DataFrame, scan: Callable[[DataFrame], DataFrame], hashes: DataFrame | None = None,
-               min_rows: int = HOT_ROWS) -> DataFrame:
+def dedup_scan(files: DataFrame, scan: Callable[[DataFrame], DataFrame], hashes: DataFrame | None = None) -> DataFrame:
     """``scan(files) -> one row per file_id`` run once per distinct content, results given to every copy."""
     hashes = content_hashes(files) if hashes is None else hashes
     reps = representatives(hashes)
     results = scan(files.join(reps.select("file_id"), "file_id", "left_semi"))
     by_hash = results.join(reps, "file_id").drop("file_id")
-    fanned = salted_join(hashes, by_hash, "content_hash", "inner", spread_by="file_id", min_rows=min_rows)
-    return fanned.drop("content_hash")
+    fanned = even_join(hashes, by_hash, "digest")
+    return fanned.drop("content_hash", "digest")
 
 
 def incremental_scan(files: DataFrame, cache: DataFrame, scan: Callable[[DataFrame], DataFrame], as_of: Column,
-                     columns: list[str], config: Column | str = "", min_rows: int = HOT_ROWS) -> DataFrame:
+                     columns: list[str], config: Column | str = "") -> DataFrame:
     """Cached results where there is a live entry, fresh ones elsewhere; ``from_cache`` tells which."""
     hashes = content_hashes(files, config)
-    hits = cache_lookup(hashes, cache, as_of, min_rows=min_rows).select(
+    hits = cache_lookup(hashes, cache, as_of).select(
         "file_id", *columns, F.lit(True).alias("from_cache"))
-    missed = stage(cache_miss(hashes, cache, as_of, min_rows=min_rows), "misses")
+    missed = stage(cache_miss(hashes, cache, as_of), "misses")
     todo = files.join(missed.select("file_id"), "file_id", "left_semi")
-    fresh = dedup_scan(todo, scan, missed, min_rows=min_rows).select("file_id", *columns, F.lit(False).alias("from_cache"))
+    fresh = dedup_scan(todo, scan, missed).select("file_id", *columns, F.lit(False).alias("from_cache"))
     return hits.unionByName(fresh)
 
 
@@ -75,7 +77,7 @@ def cache_entries(results: DataFrame, hashes: DataFrame, ts: Column, config: Col
     config = F.lit(config) if isinstance(config, str) else config
     duration = F.lit(None).cast("double") if duration_ms is None else duration_ms
     return representatives(hashes).join(results, "file_id").select(
-        "content_hash", config.alias("config_hash"), "trust_score", F.col("issue_count").alias("issues_count"),
+        F.substring("digest", 1, 16).alias("content_hash"), "digest", config.alias("config_hash"), "trust_score", F.col("issue_count").alias("issues_count"),
         "critical_count", ts.cast("string").alias("ts"), F.col("path").alias("file_path"), duration.alias("duration_ms"))
 
 
@@ -85,11 +87,11 @@ def cache_upsert(cache: DataFrame, entries: DataFrame) -> DataFrame:
     ``max_by`` keeps one row per hash and task before the shuffle, so a hash stored very often is no hot spot.
     """
     rows = cache.select(*entries.columns, F.lit(0).alias("gen")).union(entries.select("*", F.lit(1).alias("gen")))
-    others = [c for c in entries.columns if c != "content_hash"]
+    others = [c for c in entries.columns if c != "digest"]
     return (
-        rows.groupBy("content_hash")
+        rows.groupBy("digest")
         .agg(F.max_by(F.struct(*others), F.struct("gen", "ts", *[c for c in others if c != "ts"])).alias("e"))
-        .select("content_hash", "e.*").select(*entries.columns)
+        .select("digest", "e.*").select(*entries.columns)
     )
 
 

@@ -9,41 +9,16 @@ from pyspark.sql import functions as F
 
 from codegauge.session import shared_dir
 
-MAX_HOT_KEYS = 1000
-HOT_ROWS = 1_000_000
-SALTS = 64
+def even_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` on ``key``, in a form that adaptive execution can split at a hot key of any size.
 
-
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
-    """The most frequent keys: at most ``MAX_HOT_KEYS`` rows, so always small enough to broadcast.
-
-    Any key left out has either fewer than ``min_rows`` rows or less than 1/1000 of all rows, and takes the
-    ordinary path: the list steers the split and never decides what is in a result.
-    """
-    return (
-        df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= min_rows)
-        .orderBy(F.desc("count"), key).limit(MAX_HOT_KEYS).select(key)
-    )
-
-
-def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", *,
-                spread_by: str, min_rows: int = HOT_ROWS, salts: int = SALTS,
-                hot: DataFrame | None = None) -> DataFrame:
-    """``big`` joined with ``small`` on ``key``, hot keys of ``big`` split over ``salts`` tasks.
-
-    Rows of ``big`` with a hot key get a salt from ``spread_by``; rows of ``small`` with that key are repeated
-    once per salt.  Everything else has salt 0.  ``how`` may be inner, left, left_semi or left_anti.
-    ``hot`` is the result of ``hot_keys`` when it is already known (loops over one fixed ``big``).
+    It splits a large partition only where both sides of the join are plain shuffles.  A side that comes out of an
+    aggregate on ``key`` is none, since its partitioning is reused; a second key that follows from the first makes
+    Spark deal both sides out again.  ``small`` should have few rows to a key: they meet every part of a split.
+    ``how`` may be inner, left, left_semi or left_anti.
     """
-    hot = hot_keys(big, key, min_rows) if hot is None else hot.select(key).limit(MAX_HOT_KEYS)
-    hot = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
-    left = big.join(hot, key, "left").withColumn(
-        "salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    ).drop("is_hot")
-    right = small.join(hot, key, "left").withColumn(
-        "salt", F.explode(F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("is_hot")
-    return left.join(right, [key, "salt"], how).drop("salt")
+    half = F.pmod(F.xxhash64(F.col(key)), F.lit(2)).alias("half__")
+    return big.select("*", half).join(small.select("*", half), [key, "half__"], how).drop("half__")
 
 
 def range_chunks(df: DataFrame, order: Sequence[str]) -> DataFrame:

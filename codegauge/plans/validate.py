@@ -27,6 +27,9 @@ class Validation:
 
 
 def _enabled(packs: Sequence[R.Pack], weights: Mapping[str, float]) -> list[R.Pack]:
+    unknown = {p.category for p in packs} - set(CATEGORY_OF_KEY.values())
+    if unknown:
+        raise ValueError(f"rule packs of unknown categories: {sorted(unknown)}")
     categories = {CATEGORY_OF_KEY[k] for k in weights}
     return [p for p in packs if p.category in categories]
 

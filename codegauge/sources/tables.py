@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codegauge.operators import scoring
 
 CACHE_SCHEMA = (
-    "content_hash string, config_hash string, trust_score int, issues_count bigint, critical_count bigint, "
+    "content_hash string, digest string, config_hash string, trust_score int, issues_count bigint, critical_count bigint, "
     "ts string, file_path string, duration_ms double, result_json string"
 )
 

@@ -22,14 +22,14 @@ from codegauge.session import scratch_path
 FILES_PER_TRIGGER = 64
 
 
-def table_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet folder (or single file) as a stream of its files.
+def table_stream(spark: SparkSession, path: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """A parquet folder (or single file) as a stream of its files, so many to a micro-batch.
 
     The stream is given a pattern that matches just this path: a plain path would have to be a folder.
     """
     schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(pattern)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -64,7 +64,9 @@ def detect_changes(feed: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFra
     """Rows whose (modified_at, content_hash) differ from the path's previous snapshot, across batches.
 
     ``feed(path, ts, modified_at, content_hash, ...)``.  State per path is one small record.  The rows of one
-    path within one batch are put in time order first, then followed once.
+    path within one batch are put in time order first, then followed once.  A row older than the newest one of an
+    earlier batch comes too late: it is neither reported nor compared with, so it cannot make an unchanged file
+    look changed.
     """
     names = feed.columns
     keys = list(order)
@@ -72,6 +74,10 @@ def detect_changes(feed: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFra
     def follow(key, frames, state):
         before = state.get if state.exists else None
         rows = pd.concat(list(frames)).sort_values(keys, kind="stable")
+        if before:
+            rows = rows[rows["ts"] >= pd.Timestamp(before[2])]
+            if rows.empty:
+                return
         now = list(zip(rows["modified_at"], rows["content_hash"]))
         seen = [(pd.Timestamp(before[0]), before[1])] if before else [None]
         changed = [a != b for a, b in zip(now, seen + now[:-1])]

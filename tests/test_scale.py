@@ -19,20 +19,37 @@ def hot(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_join(spark, hot, how):
-    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("k2", 4), ("zz", 5)], "key string, v int")
-    plain = hot.join(small, "key", how)
-    salted = skew.salted_join(hot, small, "key", how, spread_by="id", min_rows=50, salts=7)
-    assert skew.hot_keys(hot, "key", 50).count() == 1
-    order = plain.columns
-    assert sorted(map(str, salted.select(order).collect())) == sorted(map(str, plain.collect()))
-
-
-def test_salted_join_splits_the_hot_key(spark, hot):
-    big = hot.join(F.broadcast(skew.hot_keys(hot, "key", 50)), "key", "left")
-    assert big.count() == hot.count()
-    salts = hot.where("key = 'hot'").select(F.pmod(F.xxhash64("id"), F.lit(7)).alias("s")).distinct().count()
-    assert salts == 7
+def test_even_join_equals_join(spark, hot, how):
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("k2", 4), ("zz", 5), (None, 6)], "key string, v int")
+    rows = hot.unionAll(spark.createDataFrame([(9_999, None)], hot.schema))
+    plain, even = rows.join(small, "key", how), skew.even_join(rows, small, "key", how)
+    assert sorted(map(str, even.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_even_join_deals_out_both_sides(spark, hot):
+    """Also behind an aggregate on the key, whose partitioning a plain join would reuse."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = skew.even_join(hot, hot.groupBy("key").agg(F.min("id").alias("first")), "key")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("half__") and sum("Exchange hashpartitioning(key" in x and "half__" in x for x in plan.splitlines()) == 2
+
+
+def test_components_of_a_long_chain(spark):
+    """Logarithmic rounds: 2,000 links in few jobs."""
+    from codegauge.operators.components import connected_components
+
+    edges = [(f"n{k:04}", f"n{k + 1:04}") for k in range(2_000)] + [("x", "y"), ("y", "x"), ("z", "z"), (None, "q")]
+    random.Random(2).shuffle(edges)
+    tracker, group = spark.sparkContext.statusTracker(), "chain"
+    spark.sparkContext.setJobGroup(group, group)
+    out = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert out == {f"n{k:04}": "n0000" for k in range(2_001)} | {"x": "x", "y": "x"}
+    assert jobs < 150
 
 
 def test_running_totals(spark, hot):
@@ -83,13 +100,13 @@ def test_graph_operators(spark, seed):
     adjacency = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(sorted(edges))], "from_module string, to_module string, ord int")
     closed = reach(edges, nodes)
 
-    got = {r.module: r.cycle_group for r in M.circular_dependencies(adjacency, min_rows=3).collect()}
+    got = {r.module: r.cycle_group for r in M.circular_dependencies(adjacency).collect()}
     want = {n: max(m for m in closed[n] if n in closed[m]) for n in nodes if n in closed[n]}
     assert got == want
 
     roots = nodes[:3]
     got = {r.module: r.hops for r in M.dependency_closure(
-        mods, adjacency, spark.createDataFrame([(r,) for r in roots], "module string"), min_rows=3).collect()}
+        mods, adjacency, spark.createDataFrame([(r,) for r in roots], "module string")).collect()}
     hops, front = {r: 0 for r in roots}, set(roots)
     for step in itertools.count(1):
         front = {b for a, b in edges if a in front} - set(hops)
@@ -99,14 +116,14 @@ def test_graph_operators(spark, seed):
     assert got == hops
 
     both = reach(edges | {(b, a) for a, b in edges}, nodes)
-    got = {r.module: r.cluster for r in M.dependency_clusters(mods, adjacency, min_rows=3).collect()}
+    got = {r.module: r.cluster for r in M.dependency_clusters(mods, adjacency).collect()}
     assert got == {n: min(both[n] | {n}) for n in nodes}
 
 
 def test_edges_to_package_members(spark):
     mods = spark.createDataFrame([(m,) for m in ("a", "a.b", "a.b.c", "ab", "x")], "module string")
     imports = spark.createDataFrame([("x", "a.b", 1), ("x", "a.b", 2), ("a", "a", 1)], "module string, imp string, ord int")
-    got = sorted(map(tuple, M.module_edges(imports, mods, min_rows=1).collect()))
+    got = sorted(map(tuple, M.module_edges(imports, mods).collect()))
     assert got == [("a", "a.b", "a"), ("a", "a.b.c", "a")] + sorted([("x", "a.b", "a.b"), ("x", "a.b.c", "a.b")] * 2)
 
 
@@ -127,14 +144,14 @@ def test_reuse_with_hot_copies(spark):
         scanned.append(todo.count())
         return todo.select("file_id", F.length("code").alias("n"))
 
-    out = reuse.dedup_scan(files, scan, min_rows=5)
+    out = reuse.dedup_scan(files, scan)
     assert {r.file_id: r.n for r in out.collect()} == {i: len(t) for i, t in rows}
     assert scanned == [41]
 
     as_of = F.lit("2024-01-31").cast("timestamp")
-    cache = files.where("file_id < 30").select(S.content_hash(F.col("code"), "c").alias("content_hash"), F.lit(-1).alias("n"),
+    cache = files.where("file_id < 30").select(S.content_digest(F.col("code"), "c").alias("digest"), F.lit("shown").alias("content_hash"), F.lit(-1).alias("n"),
                                                F.lit("2024-01-30 00:00:00").alias("ts")).distinct()
-    out = reuse.incremental_scan(files, cache, scan, as_of, ["n"], config="c", min_rows=5)
+    out = reuse.incremental_scan(files, cache, scan, as_of, ["n"], config="c")
     got = {r.file_id: (r.n, r.from_cache) for r in out.collect()}
     assert got == {i: (-1, True) if i % 3 == 0 or i < 30 else (len(t), False) for i, t in rows}
 
@@ -188,7 +205,7 @@ def test_history_filter_prunes_days(spark, tmp_path):
 
 
 def test_upsert_replaces_whatever_was_there(spark):
-    cols = "content_hash string, ts string, n int"
+    cols = "digest string, ts string, n int"
     cache = spark.createDataFrame([("a", "unknown", 1), ("b", "2024-01-01", 2)], cols)
     entries = spark.createDataFrame([("a", "2024-01-05", 3), ("c", "2024-01-05", 4), ("c", "2024-01-06", 5)], cols)
     assert sorted(map(tuple, reuse.cache_upsert(cache, entries).collect())) == [

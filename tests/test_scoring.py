@@ -119,7 +119,8 @@ def test_batch_defaults(spark):
     bodies = spark.createDataFrame([("a", '{"files":[{"code":"x"},{"name":"n"}],"min_score":10}'), ("b", "not json"), ("c", "{}")],
                                    "id string, body string")
     rows = sorted(map(tuple, src.batch_files(bodies).collect()))
-    assert rows == [("a", 0, "unnamed", "x", 10, False), ("a", 1, "n", "", 10, False)]
+    assert rows == [("a", 0, "unnamed", "x", 10, False, None), ("a", 1, "n", "", 10, False, None),
+                    ("b", None, None, None, 70, False, "malformed body"), ("c", None, None, None, 70, False, "no files")]
 
 
 def test_scan_files(spark, tmp_path):

@@ -35,6 +35,16 @@ def test_changes_across_batches(spark, feed_dir, per_trigger):
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_late_rows_change_nothing(spark, tmp_path):
+    """A row that comes after a newer one is not reported, and the file it belongs to is not reported again."""
+    for batch, rows in enumerate([[(20, "b")], [(10, "a"), (30, "b")], [(40, "c")]]):
+        spark.createDataFrame([("p", ts, 0, h) for ts, h in rows], "path string, ts long, modified_at long, content_hash string").select(
+            "path", F.timestamp_seconds("ts").alias("ts"), F.timestamp_seconds("modified_at").alias("modified_at"), "content_hash"
+        ).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    got = stream.run_available(stream.detect_changes(as_stream(spark, str(tmp_path), 1)), "t-late")
+    assert sorted(r.ts.timestamp() for r in got.collect()) == [20, 40]
+
+
 def test_latest_table_across_batches(spark, feed_dir):
     got = watch.watch_summary(stream.running_latest(as_stream(spark, feed_dir, 2), "t-latest"))
     want = watch.watch_summary(watch.latest_per_file(spark.read.parquet(feed_dir), ["ts"]))
