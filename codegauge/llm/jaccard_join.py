@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from codegauge.llm.common import by_key, shuffle_partitions, slices
 from codegauge.llm.words import U, mix, shingles, split_words
 from codegauge.operators.components import connected_components
+from codegauge.operators.skew import even_join
 from codegauge.session import stage
 
 WORDS = 5
@@ -159,20 +160,20 @@ def _verify(threshold: float, tolerance: float):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches, "meeting"):
-            nodes = group.column("node").to_numpy()
-            order = np.argsort(nodes, kind="stable")
-            nodes = nodes[order]
-            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint32).reshape(len(nodes), -1)[order]
+            nodes, order = np.unique(group.column("node").to_numpy(), return_index=True)    # repeated rows count once
+            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint32).reshape(group.num_rows, -1)[order]
             raw = group.column("bag").to_pylist()
             bags = [np.frombuffer(raw[k], dtype=U) for k in order.tolist()]
             block = group.column("block").to_numpy()[order]
-            cross = group.column("low")[0].as_py() != group.column("high")[0].as_py()
-            i, j = similar_pairs(sig, bags, block == group.column("high")[0].as_py() if cross else None, threshold, needed)
+            high, blocks = group.column("high")[0].as_py(), group.column("blocks")[0].as_py()
+            cross = group.column("low")[0].as_py() != high
+            i, j = similar_pairs(sig, bags, block == high if cross else None, threshold, needed)
             links = np.bincount(i, minlength=len(nodes)) + np.bincount(j, minlength=len(nodes))
             some = links > 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[some]), pa.array(links[some].astype(np.int64)), pa.array(nodes[_roots(len(nodes), i, j)][some])],
-                names=["node", "links", "root"])
+                [pa.array(nodes[some]), pa.array(links[some].astype(np.int64)), pa.array(nodes[_roots(len(nodes), i, j)][some]),
+                 pa.array(np.full(some.sum(), blocks == 1))],
+                names=["node", "links", "root", "last"])
     return run
 
 
@@ -195,36 +196,39 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
     signed = stage(known.where("doc_id is not null").select("doc_id", "text", digest).mapInArrow(
         _sign, "doc_id long, digest binary, n_shingles long, sig binary, bands array<long>"), "signatures")
+    # one text per id, one id per text
     member = signed.groupBy("doc_id").agg(F.min("digest").alias("digest"))
     classes = member.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    heads = signed.join(classes, (signed.doc_id == classes.node) & (signed.digest == classes.digest), "left_semi")
-
-    keys = heads.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key")).distinct()
-    firsts = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    edges = keys.join(firsts, "key").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    parted = stage(connected_components(edges), "candidates")
-
-    sized = parted.join(heads.select(F.col("doc_id").alias("node"), "digest", "n_shingles").dropDuplicates(["node"]), "node")
+    classed = stage(even_join(member, classes, "digest").select("doc_id", "digest", "node"), "classes")
+    heads = stage(signed.join(classed.where("doc_id = node").select("doc_id", "digest"), ["doc_id", "digest"]).select(
+        F.col("doc_id").alias("node"), "digest", "n_shingles", "bands"), "heads")
+
+    keys = heads.select("node", F.explode("bands").alias("key"))
+    firsts = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    edges = even_join(keys, firsts.select("key", "first"), "key").where("node <> first").select(
+        F.col("first").alias("a"), F.col("node").alias("b"))
+    sized = stage(connected_components(edges).join(heads.select("node", "digest", "n_shingles").distinct(), "node"), "candidates")
     blocks = sized.groupBy("component").agg(F.greatest(
         F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
-    wanted = sized.join(blocks, "component").select("node", "component", "blocks", "digest")
-    texts = known.select(F.col("doc_id").alias("node"), "text").where("node is not null").join(wanted, "node").where(
-        F.unhex(F.sha2("text", 256)) == F.col("digest")).dropDuplicates(["node"]).select("node", "component", "blocks", "text")
+    wanted = sized.join(blocks, "component").select(F.col("node").alias("doc_id"), "component", "blocks", "digest")
+    texts = known.join(wanted, "doc_id").where(F.unhex(F.sha2("text", 256)) == F.col("digest")).select(
+        F.col("doc_id").alias("node"), "component", "blocks", "text")
     sets = texts.mapInArrow(_sets, "node long, component long, blocks int, sig binary, bag binary")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     meet = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meet = meet.select("node", "sig", "bag", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+    meet = meet.select("node", "sig", "bag", "block", "blocks", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
                        F.concat_ws(".", "component", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"))
     found = stage(meet.repartition(parts, "meeting").sortWithinPartitions("meeting").mapInArrow(
-        _verify(threshold, tolerance), "node long, links long, root long"), "links")
-
-    links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
-    groups = connected_components(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
-    linked = links.join(groups, "node", "left").select("node", "n_links", F.coalesce("component", "node").alias("class_id"))
-    per_class = classes.join(linked, "node", "left")
-    with_words = member.join(per_class, "digest").select(
+        _verify(threshold, tolerance), "node long, links long, root long, last boolean"), "links")
+
+    # where all of a candidate group met in one task its roots are final; roots of the others are links to follow
+    links = found.groupBy("node").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"), F.min("last").alias("last"))
+    groups = connected_components(found.where("not last").select(F.col("root").alias("a"), F.col("node").alias("b")))
+    linked = links.join(groups, "node", "left").select(
+        "node", "n_links", F.when(F.col("last"), F.col("root")).otherwise(F.coalesce("component", "node")).alias("class_id"))
+    with_words = classed.join(linked, "node", "left").select(
         "doc_id", F.coalesce("class_id", "node").alias("class_id"), F.col("node").alias("copy_of"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    alone = known.select("doc_id").distinct().join(member, "doc_id", "left_anti").select(
+    alone = known.select("doc_id").distinct().join(classed, "doc_id", "left_anti").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
     return with_words.unionAll(alone)
