@@ -122,12 +122,12 @@ def brute_lines(rows, rare=1_000):
             heads[t], lines[i] = i, parts
     first, count = {}, collections.Counter()
     for i, parts in lines.items():
-        for line in set(filter(long_line, parts)):
+        for line in filter(long_line, parts):
             first.setdefault(line, i)
             count[line] += 1
     for i, parts in lines.items():
         gone = {n for n, x in enumerate(parts) if long_line(x) and count[x] > rare and first[x] < i}
-        for head in {first[x] for x in parts if long_line(x) and 1 < count[x] <= rare} - {i}:
+        for head in {first[x] for x in parts if long_line(x) and count[x] <= rare} - {i}:
             blocks, last = [], None
             for a, b in patience(lines[head], parts):
                 if last == (a - 1, b - 1):
@@ -162,7 +162,7 @@ def test_lines_planted(spark):
     rng = H.seeded(7)
     pool = [H.gibberish(rng, rng.choice([2, 3, 9, 14])) for _ in range(40)]
     rows = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.3 else H.gibberish(rng, 8) for _ in range(rng.randint(1, 12)))) for k in range(150)]
-    rows += [(200 + k, rows[3][1]) for k in range(5)] + [(300, "\n\n"), (301, pool[0] + "\n\n" + pool[1])]
+    rows += [(200 + k, rows[3][1]) for k in range(5)] + [(210, "a\tb c d e"), (211, "a b\tc d e\r"), (212, "a b c d e"), (213, "a\tb c d e"), (300, "\n\n"), (301, pool[0] + "\n\n" + pool[1])]
     for rare in (1_000, 4):
         out = {r["doc_id"]: r["text"] for r in dedup_lines(H.docs(spark, rows), rare).collect()}
         assert out == brute_lines(rows, rare)
