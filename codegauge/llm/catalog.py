@@ -22,9 +22,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(function):
-    QUERIES[function.__name__] = function
-    return function
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+#: Distinct five-word shingles of ``ws``; a shorter list of words is one shingle.
+_SHINGLES = ("list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] "
+             "ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)")
+
+
+def query(function=None, *, sql: str | None = None):
+    """Register a query, with the SQL that gives the same rows where SQL can say it."""
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+    return keep if function is None else keep(function)
 
 
 @query
@@ -43,7 +54,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-@query
+@query(sql=f"""WITH i AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark)),
+    n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY 1),
+    d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS} AS ws FROM documents))
+    SELECT doc_id, item_id, count(*) AS n_shared, n_shingles, count(*) / n_shingles AS containment
+    FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING count(*) / n_shingles >= 0.8""")
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +68,15 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query
+@query(sql=f"""WITH RECURSIVE rep AS (SELECT coalesce(text, '') AS text, min(doc_id) AS node FROM documents GROUP BY 1),
+    s AS (SELECT node, unnest({_SHINGLES}) AS s FROM (SELECT node, {_WORDS} AS ws FROM rep)),
+    n AS (SELECT node, count(*) AS n FROM s GROUP BY 1),
+    shared AS (SELECT a.node AS x, b.node AS y, count(*) AS n FROM s a JOIN s b ON a.s = b.s AND a.node <> b.node GROUP BY 1, 2),
+    link AS (SELECT x, y FROM shared h JOIN n a ON a.node = x JOIN n b ON b.node = y WHERE h.n / (a.n + b.n - h.n) >= 0.8),
+    reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+    class AS (SELECT n.node, least(n.node, (SELECT min(y) FROM reach WHERE x = n.node)) AS class_id, (SELECT count(*) FROM link WHERE x = n.node) AS n_links FROM n)
+    SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, CASE WHEN c.node IS NULL THEN d.doc_id ELSE c.node END AS copy_of, coalesce(c.n_links, 0) AS n_links
+    FROM documents d JOIN rep r ON r.text = coalesce(d.text, '') LEFT JOIN class c ON c.node = r.node""")
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -73,6 +96,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query
+@query(sql=f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+    win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+    first AS (SELECT k, min(doc_id) AS f FROM win GROUP BY 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN first USING (k) WHERE f < doc_id),
+    tok AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+    kept AS (SELECT doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (g.p IS NULL) AS left_over
+             FROM tok LEFT JOIN gone g USING (doc_id, p) GROUP BY 1)
+    SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id)""")
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
