@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from codegauge.session import scratch_path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder below the shared one, in whatever store it is."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+from codegauge.session import drop_path, scratch_path
 
 
 class Rounds:

@@ -182,8 +182,9 @@ def _trim(pairs: DataFrame, name: str) -> tuple[DataFrame, int]:
         if not size:
             return now, 0
         for _ in range(STEPS):
-            inner = kept.groupBy(F.col("a").alias("n")).agg(F.lit(1).alias("out")).join(
-                kept.groupBy(F.col("b").alias("n")).agg(F.lit(1).alias("into")), "n").select("n")
+            ends = kept.select(F.col("a").alias("n"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(
+                kept.select("b", F.lit(0), F.lit(1)))
+            inner = ends.groupBy("n").agg(F.max("o").alias("o"), F.max("i").alias("i")).where("o + i = 2").select("n")
             kept = even_join(even_join(kept, inner.select(F.col("n").alias("a")), "a", "left_semi"),
                              inner.select(F.col("n").alias("b")), "b", "left_semi").select("a", "b")
         now, seen = rounds.keep(kept, n=F.count(F.lit(1)))

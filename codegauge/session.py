@@ -46,8 +46,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one run below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/codegauge/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one run below this application's part of the shared folder."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/codegauge/{spark.sparkContext.applicationId}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has staged: call it when the results that read from it are stored."""
+    drop_path(spark, _own_dir(spark))
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

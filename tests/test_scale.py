@@ -210,3 +210,16 @@ def test_upsert_replaces_whatever_was_there(spark):
     entries = spark.createDataFrame([("a", "2024-01-05", 3), ("c", "2024-01-05", 4), ("c", "2024-01-06", 5)], cols)
     assert sorted(map(tuple, reuse.cache_upsert(cache, entries).collect())) == [
         ("a", "2024-01-05", 3), ("b", "2024-01-01", 2), ("c", "2024-01-06", 5)]
+
+
+def test_scratch_is_cleared_by_application(spark):
+    import os
+
+    from codegauge.session import clear_scratch, scratch_path, stage
+
+    rows = stage(spark.range(5), "probe")
+    assert rows.count() == 5
+    own = os.path.dirname(scratch_path(spark, "x")).removeprefix("file:")
+    assert os.path.isdir(own)
+    clear_scratch(spark)
+    assert not os.path.isdir(own)
