@@ -19,7 +19,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _RANDOM = np.random.Generator(np.random.PCG64(20_240_501))
 _BYTE_CODES = _RANDOM.integers(1, 2**63, size=PLACES * 256, dtype=np.int64).astype(U) * U(2) + U(1)
 BASE = U(0x9E3779B97F4A7C15)
-_INVERSE = U(pow(int(BASE), -1, 2**64))
+INVERSE = U(pow(int(BASE), -1, 2**64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,7 +109,7 @@ def windows(hashes: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndar
         return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
     at = np.arange(total, dtype=np.int64) + np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(each)[:-1])), each)
     n = len(hashes)
-    down = np.full(n, _INVERSE, dtype=U)
+    down = np.full(n, INVERSE, dtype=U)
     down[0] = U(1)
     np.multiply.accumulate(down, out=down)
     prefix = np.zeros(n + 1, dtype=U)

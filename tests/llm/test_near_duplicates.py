@@ -189,3 +189,47 @@ def test_lines_of_the_table(spark):
     table = spark.read.parquet(f"{SMALL}/documents.parquet")
     out = {r["doc_id"]: r["text"] for r in dedup_lines(table).collect()}
     assert out == brute_lines([(r["doc_id"], r["text"]) for r in table.collect()])
+
+
+def brute_blocks(rows):
+    """(doc_id, text left) by the rule of whole blocks, each run of lines looked up in all earlier documents."""
+    heads, runs, out = {}, set(), {}
+    for i, t in sorted(rows):
+        parts = t.split("\n")
+        if t in heads:
+            out[i] = ""
+            continue
+        heads[t] = i
+        spans = [(a, b) for a in range(len(parts)) for b in range(a + 1, len(parts) + 1) if len(H.words(" ".join(parts[a:b]))) >= LEAST_WORDS]
+        gone = {n for a, b in spans if tuple(parts[a:b]) in runs for n in range(a, b)}
+        runs |= {tuple(parts[a:b]) for a, b in spans}
+        out[i] = "\n".join(x for n, x in enumerate(parts) if n not in gone)
+    return out
+
+
+def test_lines_meet_every_earlier_holder(spark):
+    one, two, more = "a b c d e", "f g h i j", "k l m n o"
+    rows = [(1, f"{one}\n{two}"), (2, f"{two}\n{one}"), (3, f"{two}\n{one}\n{more}")]
+    out = {r["doc_id"]: r["text"] for r in dedup_lines(H.docs(spark, rows), rare=None).collect()}
+    assert out == {1: rows[0][1], 2: "", 3: more}
+
+
+def test_blocks_equal_brute_force(spark):
+    rng = H.seeded(13)
+    pool = ["", " ", *(H.gibberish(rng, rng.choice([1, 2, 3, 7])) for _ in range(12))]
+    rows = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.8 else H.gibberish(rng, 4) for _ in range(rng.randint(1, 14)))) for k in range(200)]
+    rows = [r for r in rows if r[1]]
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(H.docs(spark, rows), rare=None).collect()} == brute_blocks(rows)
+
+
+def test_blocks_of_awkward_cases(spark):
+    rows = H.awkward_rows()
+    frame = H.docs(spark, rows)
+    done = dedup_lines(frame, rare=None)
+    assert done.columns == frame.columns
+    out = done.collect()
+    assert len(out) == len(rows)
+    assert sorted((r["text"] for r in out if r["doc_id"] is None), key=str) == sorted((r[1] for r in rows if r[0] is None), key=str)
+    left = {r["doc_id"]: r["text"] for r in out}
+    assert (left[2], left[3], left[4], left[5], left[10]) == ("", None, "", "   \n\t ", "")
+    assert dedup_lines(H.docs(spark, []), rare=None).collect() == []
