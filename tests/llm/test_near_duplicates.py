@@ -214,6 +214,13 @@ def test_lines_meet_every_earlier_holder(spark):
     assert out == {1: rows[0][1], 2: "", 3: more}
 
 
+def test_lines_go_by_one_rule_at_every_count(spark):
+    block = "a short one\na longer line of six words\nend"
+    rows = [(k, f"own{k} text of document number {k}\n{block}") for k in range(1_300)]
+    out = {r["doc_id"]: r["text"] for r in dedup_lines(H.docs(spark, rows), rare=None).collect()}
+    assert out == {k: t if k == 0 else t.split("\n")[0] for k, t in rows}
+
+
 def test_blocks_equal_brute_force(spark):
     rng = H.seeded(13)
     pool = ["", " ", *(H.gibberish(rng, rng.choice([1, 2, 3, 7])) for _ in range(12))]
