@@ -221,6 +221,14 @@ def test_lines_go_by_one_rule_at_every_count(spark):
     assert out == {k: t if k == 0 else t.split("\n")[0] for k, t in rows}
 
 
+def test_blocks_of_short_lines(spark):
+    rng = H.seeded(12)
+    verse = "\n".join(H.gibberish(rng, 3) for _ in range(20))
+    rows = [(1, "x\ny z"), (2, "x\ny z"), (3, f"first\n{verse}\nlast"), (4, f"other\n\n{verse}"), (5, "x"), (6, "x\ny")]
+    out = {r["doc_id"]: (r["text"], r["n_removed"]) for r in dedup_lines(H.docs(spark, rows), rare=None, counts=True).collect()}
+    assert out == {1: ("x\ny z", 0), 2: ("", 2), 3: (rows[2][1], 0), 4: ("other\n", 20), 5: ("x", 0), 6: ("x\ny", 0)}
+
+
 def test_blocks_equal_brute_force(spark):
     rng = H.seeded(13)
     pool = ["", " ", *(H.gibberish(rng, rng.choice([1, 2, 3, 7])) for _ in range(12))]
