@@ -39,9 +39,14 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4}"
                       r"|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ONE_UNICODE = re.compile(r"(?:\\u\{|\\u|\\U|\\x|%u|&#[xX])([0-9A-Fa-f]+)[};]?|&#([0-9]+);")
+#: Runs over several lines, of any width and with any indent.
+_BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+")
+_WORD = re.compile(r"[A-Za-z0-9+/_-]+")
 _STANDARD = str.maketrans("-_", "+/")
-#: A decompressed stream is read up to this many bytes; a longer one is counted in ``n_cut``.
-MAX_STREAM_BYTES = 64 << 20
+#: Decompressed content is scanned in pieces of this many bytes, each with the end of the one before it.
+PIECE_BYTES, OVERLAP = 8 << 20, 2 << 20
+_INPUT_BYTES = 64 << 10
+_BROKEN = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError)
 
 
 @dataclass
@@ -78,41 +83,106 @@ def _runs(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _RUN.finditer(text)]
 
 
-def inflate(data: bytes, most: int) -> tuple[bytes, bool] | None:
-    """(content, cut short) of a compressed stream, or None if it is none."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            machine = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            machine = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            machine = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            machine = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(most + 1)
-            return out[:most], len(out) > most
-        else:
+def opened(data: bytes):
+    """A decompressor for the stream that begins here, or None."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+def _member(machine, data: bytes, more: Iterator[bytes]) -> Iterator[bytes]:
+    """Content of one stream; returns the bytes behind it, or None if it breaks off."""
+    is_zlib, is_zstd = hasattr(machine, "copy"), not hasattr(machine, "copy") and not hasattr(machine, "needs_input")
+    while True:
+        try:
+            if is_zstd:     # knows no bound of its output, but a few bytes of input hold few blocks
+                out, data = machine.decompress(data[:256]), data[256:]
+            else:
+                out = machine.decompress(data, PIECE_BYTES)
+                data = machine.unconsumed_tail if is_zlib else b""
+        except _BROKEN:
             return None
-        out = machine.decompress(data, most)
-        return (out, not machine.eof and len(out) >= most) if out else None
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
+        if out:
+            yield out
+        if machine.eof:
+            return machine.unused_data + data
+        if not data and (is_zstd or not out):
+            data = next(more, b"")
+            if not data:
+                return None
+
+
+class Content:
+    """Content of the streams that ``pieces`` hold one after another, in bounded pieces; ``whole`` if they are all."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.whole = pieces, True
+
+    def __iter__(self) -> Iterator[bytes]:
+        more = (piece[k:k + _INPUT_BYTES] for piece in self.pieces for k in range(0, len(piece), _INPUT_BYTES))
+        data, members = next(more, b""), 0
+        while True:
+            while len(data := data.lstrip(b"\0") if members else data) < 6 and (piece := next(more, b"")):
+                data += piece
+            machine = opened(data)
+            if machine is None:
+                break
+            data = yield from _member(machine, data, more)
+            if data is None:
+                self.whole = False
+                return
+            members += 1
+        if members and data:     # scanned as part of the layer itself
+            self.whole = False
+
+
+def _pieces(content: Iterable[bytes]) -> Iterator[bytes]:
+    held, size = [], 0
+    for part in content:
+        held.append(part)
+        size += len(part)
+        if size >= PIECE_BYTES:
+            yield b"".join(held)
+            held, size = [], 0
+    if held:
+        yield b"".join(held)
 
 
 def _readable(data: bytes) -> str | None:
     try:
-        text = data.decode("utf-8")
+        return data.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    return text if text.replace("\n", " ").replace("\r", " ").replace("\t", " ").isprintable() else None
+
+
+def _decoded(raw: str) -> bytes | None:
+    if len(raw) % 4 == 1:
+        raw = raw[:-1]
+    try:
+        return base64.b64decode(raw.translate(_STANDARD) + "=" * (-len(raw) % 4))
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _promising(text: str) -> bool:
+    """Whether unprintable text can hold a secret or a further layer."""
+    folded = text.lower()
+    return ("%" in text or "\\" in text or "&#" in text or "\n" in text or "AKIA" in text
+            or any(name in folded for name in _NAMES) or _RUN.search(text) is not None)
 
 
 class Unwrapper:
     """The layers of one text."""
 
-    def __init__(self, text: str, most: int):
+    def __init__(self, text: str, most: int | None):
         self.most, self.cut, self.layers = most, 0, 0
         self.runs = _runs(text)
         self.base = find(text, self.runs)
@@ -141,17 +211,45 @@ class Unwrapper:
         if "\\" in text or "&#" in text or "%u" in text:
             self._escapes(text, layer, _UNICODE, self._unicode)
         runs = self.runs if layer is None else _runs(text)
-        whole = 0
-        for k, (a, b) in enumerate(runs):
-            last = k
-            while (b - a >= 40 and last + 1 < len(runs) and text[runs[last][1]:runs[last + 1][0]] in ("\n", "\r\n")):
-                last += 1
-            if last > k and k >= whole and self._base64(text, layer, a, runs[last][1]):
-                whole = last + 1
-            if k >= whole and not self._base64(text, layer, a, b):
+        done = 0
+        blocks = [m.span() for m in _BLOCK.finditer(text) if m.end() - m.start() >= 16] if "\n" in text else []
+        read = [span for span in blocks if self._lines(text, layer, *span)]
+        for a, b in runs:
+            while done < len(read) and read[done][1] <= a:
+                done += 1
+            if done < len(read) and read[done][0] <= a:
+                continue
+            if not self._base64(text, layer, np.arange(a, b), text[a:b]):
                 for m in re.finditer(r"[A-Za-z0-9]{16,}", text[a:b]):
                     if m.end() - m.start() < b - a:
-                        self._base64(text, layer, a + m.start(), a + m.end())
+                        self._base64(text, layer, np.arange(a + m.start(), a + m.end()), m[0])
+
+    def _lines(self, text: str, layer: Layer | None, a: int, b: int) -> bool:
+        """Read a block of lines as one run, from its first line to its end; true if that gives text or a stream.
+
+        Otherwise it may begin at a later line or end before the last one: each place of a line in a group of four
+        characters is tried once, and every line where a stream begins.
+        """
+        words = list(_WORD.finditer(text, a, b))
+        raw = "".join(m[0] for m in words)
+        if len(raw) < 16 or layer is not None and not layer.touches(a, b):
+            return False
+        places = np.concatenate([np.arange(m.start(), m.end()) for m in words])
+        if self._base64(text, layer, places, raw):
+            return True
+        tried, at = {0}, 0
+        last = len(raw) - len(words[-1][0])
+        if last >= 16:
+            self._base64(text, layer, places[:last], raw[:last])
+        for m in words:
+            fits = at % 4 not in tried
+            tried.add(at % 4)
+            if at and (fits or opened(_decoded(raw[at:at + 8]) or b"")):
+                self._base64(text, layer, places[at:], raw[at:])
+                if last - at >= 16:
+                    self._base64(text, layer, places[at:last], raw[at:last])
+            at += len(m[0])
+        return False
 
     def _inside(self, layer: Layer | None, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         if layer is None:
@@ -159,19 +257,11 @@ class Unwrapper:
             return places, places + 1
         return layer.start[a:b], layer.end[a:b]
 
-    def _base64(self, text: str, layer: Layer | None, a: int, b: int) -> bool:
-        if layer is not None and not layer.touches(a, b):
+    def _base64(self, text: str, layer: Layer | None, places: np.ndarray, raw: str) -> bool:
+        if len(raw) < 16 or layer is not None and not layer.touches(int(places[0]), int(places[-1]) + 1):
             return False
-        raw = text[a:b]
-        places = np.arange(a, b, dtype=np.int64)
-        if "\n" in raw:
-            places = places[[c not in "\r\n" for c in raw]]
-            raw = raw.replace("\r", "").replace("\n", "")
-        if len(raw) % 4 == 1:
-            raw, places = raw[:-1], places[:-1]
-        try:
-            data = base64.b64decode(raw.translate(_STANDARD) + "=" * (-len(raw) % 4))
-        except (binascii.Error, ValueError):
+        data = _decoded(raw)
+        if data is None:
             return False
         if layer is None:
             start, end = places, places + 1
@@ -182,28 +272,51 @@ class Unwrapper:
         return self._bytes(data, start[at // 6], end[(at + 7) // 6])
 
     def _bytes(self, data: bytes, start: np.ndarray, end: np.ndarray) -> bool:
-        """Take in bytes as a layer; true if they are text or a compressed stream."""
-        squeezed = False
-        while (content := inflate(data, self.most)) is not None:
-            data, cut = content
-            self.cut += cut
-            squeezed = True
-            key = hashlib.blake2b(data, digest_size=16).digest()
-            if key in self.seen:
-                return True
-            self.seen.add(key)
+        """Take in bytes as a layer; true if they are printable text or whole compressed streams."""
+        if opened(data) is not None and self._streams(data, int(start.min()), int(end.max())):
+            return True
         text = _readable(data)
-        if text is None and not squeezed:
+        printable = text is not None and text.replace("\n", " ").replace("\r", " ").replace("\t", " ").isprintable()
+        if text is None:
+            text = data.decode("latin-1")
+        if not printable and not _promising(text):
             return False
-        text = data.decode("latin-1") if text is None else text
-        if squeezed:
-            n = len(text)
-            self._push(text, np.full(n, start.min()), np.full(n, end.max()), None)
+        if len(text) == len(data):
+            self._push(text, start, end, None)
         else:
             widths = _utf8_widths(data)
             heads = np.concatenate(([0], np.cumsum(widths)[:-1]))
             self._push(text, start[heads], end[heads + widths - 1], None)
-        return True
+        return printable
+
+    def _streams(self, data: bytes, low: int, high: int) -> bool:
+        """Take in what compressed streams hold, and streams directly inside them; true if all could be read."""
+        source, chain, whole = (lambda: iter((data,))), set(), True
+        while True:
+            content, digest = Content(source()), hashlib.blake2b(digest_size=16)
+            n, size, head, carry = 0, 0, b"", ""
+            for piece in _pieces(content):
+                if self.most is not None and size + len(piece) > self.most:
+                    self.cut += 1
+                    piece = piece[:self.most - size]
+                    content.pieces = None
+                digest.update(piece)
+                size += len(piece)
+                text = _readable(piece) if not n else None
+                text = carry + (piece.decode("latin-1") if text is None else text)
+                self._push(text, np.broadcast_to(np.int64(low), len(text)), np.broadcast_to(np.int64(high), len(text)), None)
+                head = head or piece
+                n += 1
+                if content.pieces is None:
+                    break
+                # any number of spaces means the same to a rule
+                carry = re.sub("  +", "  ", text)[-OVERLAP:] if len(piece) >= PIECE_BYTES else ""
+            whole = whole and content.whole and n > 0
+            key = digest.digest()
+            if not n or key in chain or opened(head) is None:
+                return whole
+            chain.add(key)
+            source = (lambda held=head: iter((held,))) if n == 1 else (lambda outer=source: iter(Content(outer())))
 
     def _escapes(self, text: str, layer: Layer | None, pattern: re.Pattern, decode) -> None:
         """A layer that is this one with every escape replaced."""
@@ -257,7 +370,7 @@ class Unwrapper:
         return "".join(map(chr, codes)), low, high
 
     def _looks_squeezed(self, data: bytes) -> bool:
-        return inflate(data, 1 << 10) is not None
+        return opened(data) is not None
 
 
 def _utf8_widths(data: bytes) -> np.ndarray:
@@ -277,7 +390,7 @@ def spans_text(spans: Iterable[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{a}:{b}" for a, kind, b in sorted(spans))
 
 
-def _scan(most: int):
+def _scan(most: int | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = []
@@ -294,15 +407,17 @@ def _scan(most: int):
     return run
 
 
-def scan_secrets(docs: DataFrame, max_stream_bytes: int = MAX_STREAM_BYTES) -> DataFrame:
+def scan_secrets(docs: DataFrame, max_stream_bytes: int | None = None) -> DataFrame:
     """The secrets of every row of ``docs`` (doc_id, text; more columns are ignored), one row each.
 
     n_assign, n_access, n_hex and base_sha256 speak of the text as given; ``spans`` lists those and what the decoded
     layers add, as ``kind:start:end`` in code points of the original text, by start, kind and end.  A secret of a
     decoded layer is listed if at least one of its characters was decoded; one inside a compressed stream has the
-    span of the whole stream.  Bytes out of base64 count as a layer if they are printable UTF-8 or a compressed
-    stream.  A null text is empty; a row with a null or repeated ``doc_id`` is scanned like any other.  A
-    compressed stream is read up to ``max_stream_bytes`` (against bombs); ``n_cut`` counts those that are longer.
+    span of the whole stream.  Bytes out of base64 are scanned whatever they are, as UTF-8 or else Latin-1; runs join
+    over line ends and indents.  A null text is empty; a row with a null or repeated ``doc_id`` is scanned like any
+    other.  Compressed streams are read to their end, with those that follow, in pieces of 8 MB that overlap by 2 MB,
+    so an encoded run of more than 2 MB can fall apart at the edge of a piece; its parts are scanned.  A number for
+    ``max_stream_bytes`` bounds the content of each stream, and ``n_cut`` counts those that are longer.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return known.mapInArrow(_scan(max_stream_bytes), (

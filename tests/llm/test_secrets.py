@@ -111,3 +111,11 @@ def test_whole_table(spark):
         base = plain(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(spans_text(base).encode()).hexdigest()
         assert [sum(k == n for _, k, _ in base) for n in range(3)] == [r["n_assign"], r["n_access"], r["n_hex"]]
+
+
+def test_one_payload_at_two_places():
+    for squeeze in (gzip.compress, bz2.compress, lambda d: gzip.compress(gzip.compress(d))):
+        hidden = b64(squeeze(SECRET.encode()))
+        text = f"log {hidden} and again {hidden} end"
+        spans = sorted(Unwrapper(text, None).found)
+        assert [k for _, k, _ in spans] == [0, 0] and spans[0][2] < spans[1][0]
