@@ -119,3 +119,20 @@ def test_one_payload_at_two_places():
         text = f"log {hidden} and again {hidden} end"
         spans = sorted(Unwrapper(text, None).found)
         assert [k for _, k, _ in spans] == [0, 0] and spans[0][2] < spans[1][0]
+
+
+@pytest.mark.parametrize("odd", ["\xa0", "\ufeff", "\u200d", "\xad", "\0", "\f"])
+def test_unprintable_characters_hide_nothing(odd):
+    assert len(Unwrapper(b64(f"a{odd}b {SECRET}"), None).found) == 1
+    assert len(Unwrapper(b64(b"\xff\xfe\x80 " + SECRET.encode()), None).found) == 1
+
+
+@pytest.mark.parametrize("width,indent", [(76, ""), (64, "    "), (32, ""), (32, "\t"), (12, "  ")])
+@pytest.mark.parametrize("squeeze", [lambda d: d, gzip.compress, bz2.compress, lzma.compress])
+def test_wrapped_blocks(width, indent, squeeze):
+    rng = H.seeded(21)
+    for pad in range(0, 12):
+        hidden = b64(squeeze((H.gibberish(rng, 30) + " " * pad + SECRET).encode()))
+        block = f"\n{indent}".join(hidden[k:k + width] for k in range(0, len(hidden), width))
+        for text in (f"key: |\n{indent}{block}\n", f"head line\n{indent}{block}\nword after", f"a/b-c\n{indent}{block}\n"):
+            assert any(k == 0 for _, k, _ in Unwrapper(text, None).found), text
