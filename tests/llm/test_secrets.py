@@ -136,3 +136,11 @@ def test_wrapped_blocks(width, indent, squeeze):
         block = f"\n{indent}".join(hidden[k:k + width] for k in range(0, len(hidden), width))
         for text in (f"key: |\n{indent}{block}\n", f"head line\n{indent}{block}\nword after", f"a/b-c\n{indent}{block}\n"):
             assert any(k == 0 for _, k, _ in Unwrapper(text, None).found), text
+
+
+@pytest.mark.parametrize("squeeze", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_streams_are_read_to_the_last_member(squeeze):
+    for data in (squeeze(b"first part") + squeeze(SECRET.encode()), squeeze(b"first") + b"\n" + SECRET.encode(),
+                 squeeze(b"\0" * 70_000_000 + SECRET.encode()), squeeze(b"x " * 4_194_300 + b"password" + b" " * 9_000_000 + b"= hunter2hunter2")):
+        one = Unwrapper(b64(data), None)
+        assert [k for _, k, _ in one.found] == [0] and one.cut == 0
