@@ -16,6 +16,8 @@ GROUPS = max(TAG_GROUPS.values()) + 1
 _BLOCK = set(TAG_GROUPS) - {"#text"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "template", "svg", "math", "object", "xmp", "noframes", "canvas", "audio", "video"}
+_IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template"}
+_HTML_SPACE = " \t\n\f\r"
 # an opening tag closes these, up to the nearest of those
 _CLOSES = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -107,8 +109,9 @@ def parse(page: str, known: dict[str, int]) -> Tree:
         link_chars = 0
 
     def say(raw: str) -> None:
-        nonlocal link_chars
-        if raw and not in_head:
+        nonlocal link_chars, in_head
+        if raw and (not in_head or raw.strip(_HTML_SPACE)):
+            in_head = False
             text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             if anchors:
@@ -137,8 +140,9 @@ def parse(page: str, known: dict[str, int]) -> Tree:
         tag = m[2].lower()
         if m[1]:
             if tag == "head":
+                if in_head:
+                    pieces.clear()
                 in_head = False
-                pieces.clear()
             elif tag in _BLOCK:
                 flush()
                 for k in range(len(stack) - 1, -1, -1):
@@ -154,20 +158,22 @@ def parse(page: str, known: dict[str, int]) -> Tree:
                         del stack[k]
                         break
             continue
+        if in_head and tag not in _IN_HEAD:     # both the end of the head and the body tag may be left out
+            in_head = False
+            pieces.clear()
         if tag in _RAW:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
             continue
         if tag == "head":
-            in_head = True
+            in_head = not stack and len(tree.parent) == 1 and not "".join(pieces).strip()
             continue
         if tag in ("br", "wbr", "img", "input") or tag in _VOID and tag != "hr":
             if tag == "br":
                 pieces.append(" ")
             continue
         if tag in _BLOCK:
-            in_head = in_head and tag not in ("body",)
             flush()
             if tag not in ("option", "button", "label", "select"):
                 for k in range(len(stack) - 1, -1, -1):

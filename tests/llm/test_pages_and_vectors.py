@@ -29,6 +29,16 @@ def test_page_in_full():
         "Title & more", "First para with bold text éé.", "Second line one two three.", "item one", "item two"]
 
 
+def test_head_without_end_and_body_tags():
+    def said(page):
+        return [t for t in parse(page, {}).text if t]
+    assert said("<html><head><title>t</title><meta charset=x><article><p>one<p>two</article>") == ["one", "two"]
+    assert said("<head><style>a{}</style>\n <link rel=x>\nplain text <b>bold</b>") == ["plain text bold"]
+    assert said("<head><title>t</title><a href=x>link</a> and</head> more") == ["link and more"]
+    assert said("<head><title>t</title>\n<script>x</script></head><body>text") == ["text"]
+    assert said("<p>before<head><title>t</title></head>after") == ["beforeafter"]
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(1)
     weights = Weights(rng.normal(size=NODE_FEATURES), rng.normal(size=(EDGE_FEATURES, 2, 2)))
