@@ -13,10 +13,13 @@ from codegauge.llm.jaccard_join import jaccard_groups
 from codegauge.llm.line_dedup import dedup_lines
 from codegauge.llm.mixing import mix_slots
 from codegauge.llm.nearest import nearest
+from codegauge.llm.periodic_runs import periodic_runs
 from codegauge.llm.quality import score_quality
 from codegauge.llm.repeated_windows import remove_repeated_windows
 from codegauge.llm.secret_scan import scan_secrets
+from codegauge.llm.spelling_groups import spelling_groups
 from codegauge.llm.toxicity import score_toxicity
+from codegauge.llm.vector_dedup import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +110,68 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM w LEFT JOIN kept USING (doc_id)""")
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
+#: CRC-32 in SQL: its table from its polynomial, and the checksum of a list of bytes.
+_CRC_TABLE = """crc AS (SELECT list(v ORDER BY k) AS tab FROM (SELECT k, list_reduce(list_concat([k], range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(k)))"""
+
+
+def _crc(text: str) -> str:
+    size = f"CAST(len(hex(encode({text}))) // 2 AS BIGINT)"
+    octets = f"list_transform(range({size}), lambda k: CAST('0x' || substr(hex(encode({text})), 2 * k + 1, 2) AS BIGINT))"
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), "
+            "lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT)")
+
+
+@query(sql=f"""WITH {_CRC_TABLE},
+    d AS (SELECT doc_id, {_WORDS} AS ws, {_crc("CAST(doc_id AS VARCHAR)")} AS h FROM documents, crc),
+    g AS (SELECT *, len(ws) AS n, h // 10 AS g FROM d),
+    a AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM g),
+    s AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+        ws[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END]) ELSE ws END AS ws FROM a),
+    w AS (SELECT doc_id, n, unnest(ws) AS word, unnest(range(n)) AS i FROM s),
+    eq AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+    stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+        FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM eq) GROUP BY doc_id, q, island),
+    run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch WHERE length >= greatest(6, 4 * q) GROUP BY ALL),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS left_over FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+    r AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+        min({{'m': -length, 's': start, 'p': period}}) AS best FROM run GROUP BY 1)
+    SELECT s.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.m AS length, best.p AS period,
+        1000 * -best.m // best.p AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(left_over, '')) AS collapsed_sha256
+    FROM s LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), planted=True, details=False)
+    return found.drop("starts", "lengths", "periods", "collapsed_text")
+
+
+@query(sql=f"""WITH RECURSIVE {_CRC_TABLE},
+    t AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+    u AS (SELECT doc_id, run, count(*) AS n FROM t GROUP BY 1, 2),
+    h AS (SELECT run, n, {_crc("doc_id || ':' || run")} AS h FROM u, crc),
+    v AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+    c AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+    x AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM c)),
+    one AS (SELECT a.word, b.word AS near FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT x.word, c.word FROM x JOIN c ON x.rest = c.word UNION SELECT c.word, x.word FROM x JOIN c ON x.rest = c.word),
+    b AS (SELECT one.word, count(*) AS n_near, min({{'m': -c.n, 'w': near}}) AS best FROM one JOIN c ON c.word = near GROUP BY 1),
+    f AS (SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * c.n THEN best.w END AS form, CASE WHEN -best.m >= 2 * c.n THEN -best.m END AS form_n
+        FROM c LEFT JOIN b USING (word)),
+    way(word, here) AS (SELECT word, word FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.here WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, way.here AS root, f.n, f.n_near, f.form_n FROM f JOIN way ON way.word = f.word JOIN f last ON last.word = way.here WHERE last.form IS NULL""")
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"), slips=True)
+
+
+@query(sql="""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        AND list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+    n AS (SELECT x, count(*) AS n_links FROM link GROUP BY 1), low AS (SELECT x, min(y) AS y FROM reach GROUP BY 1)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low.y, vec_id)) AS component_id, vec_id <= coalesce(low.y, vec_id) AS kept
+    FROM v LEFT JOIN n ON n.x = vec_id LEFT JOIN low ON low.x = vec_id""")
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))

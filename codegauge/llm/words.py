@@ -83,11 +83,14 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def split_words(texts: pa.Array, between: np.ndarray = _SPACE) -> Words:
     """Words are runs of bytes that ``between`` does not mark (white space by default)."""
     buffer, offsets = text_buffer(texts)
-    space = between[buffer]
+    return marked_words(buffer, offsets, ~between[buffer])
+
+
+def marked_words(buffer: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> Words:
+    """Words are runs of bytes that ``word`` marks."""
     size = len(buffer)
     cut = np.zeros(size + 1, dtype=bool)   # a text begins or ends here
     cut[offsets] = True
-    word = ~space
     before = np.zeros(size, dtype=bool)
     before[1:] = word[:-1]
     starts = np.flatnonzero(word & (~before | cut[:-1]))
