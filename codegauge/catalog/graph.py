@@ -91,11 +91,24 @@ def import_bases(spark, sf_dir):
     return M.import_bases(graph(spark, sf_dir)[1])
 
 
-@query("module_edges", f"WITH {GRAPH} SELECT i.module AS from_module, m.module AS to_module, i.imp FROM imports i JOIN mods m "
-       "ON (m.module = i.imp OR starts_with(m.module, i.imp || '.')) AND m.module <> i.module")
+_RANKS = "n AS (SELECT module, row_number() OVER (ORDER BY string_split(module, '.')) - 1 AS rank FROM (SELECT DISTINCT module FROM mods))"
+
+
+@query("module_edges", f"WITH {GRAPH}, {_RANKS} SELECT i.module AS from_module, i.imp, min(rank) AS first, max(rank) AS last, count(*) FILTER (n.module <> i.module) AS n_targets "
+       "FROM imports i JOIN n ON n.module = i.imp OR starts_with(n.module, i.imp || '.') GROUP BY i.module, i.imp, i.ord HAVING count(*) FILTER (n.module <> i.module) > 0")
 def module_edges(spark, sf_dir):
+    """Edges as intervals of the name tree: one row per import."""
+    mods, imports = graph(spark, sf_dir)
+    return M.module_edges(imports, stage(M.name_ranks(mods), "name-ranks"))
+
+
+@query("module_edge_pairs", f"WITH {GRAPH} SELECT i.module AS from_module, m.module AS to_module, i.imp FROM imports i JOIN mods m "
+       "ON (m.module = i.imp OR starts_with(m.module, i.imp || '.')) AND m.module <> i.module")
+def module_edge_pairs(spark, sf_dir):
+    """The same edges, each with every member it leads to."""
     mods, imports = graph(spark, sf_dir)
-    return M.module_edges(imports, mods)
+    ranks = stage(M.name_ranks(mods), "name-ranks")
+    return M.edge_pairs(M.module_edges(imports, ranks), ranks)
 
 
 @query("module_adjacency", f"WITH {GRAPH} SELECT from_module, to_module FROM adj")
@@ -155,8 +168,8 @@ def circular_dependencies(spark, sf_dir):
 
 
 @query("dependency_closure", f"WITH RECURSIVE {GRAPH}, roots AS (SELECT module FROM mods WHERE string_split(module, '.')[1] NOT IN (SELECT string_split(imp, '.')[1] FROM imports)), "
-       "walk(module, hops) AS (SELECT module, 0 FROM roots UNION SELECT e.to_module, w.hops + 1 FROM walk w JOIN adj e ON e.from_module = w.module WHERE w.hops < 12) "
-       "SELECT module, min(hops) AS hops FROM walk GROUP BY 1")
+       "walk(module, hops) USING KEY (module) AS (SELECT module, 0 FROM roots UNION SELECT e.to_module, min(w.hops + 1) FROM walk w JOIN adj e ON e.from_module = w.module "
+       "LEFT JOIN recurring.walk seen ON seen.module = e.to_module WHERE seen.module IS NULL GROUP BY 1) SELECT module, hops FROM walk")
 def dependency_closure(spark, sf_dir):
     """Everything reachable from the modules nobody imports."""
     mods, imports = graph(spark, sf_dir)

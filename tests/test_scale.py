@@ -122,11 +122,69 @@ def test_graph_operators(spark, seed):
 
 def test_edges_to_package_members(spark):
     mods = spark.createDataFrame([(m,) for m in ("a", "a.b", "a.b.c", "ab", "x")], "module string")
-    imports = spark.createDataFrame([("x", "a.b", 1), ("x", "a.b", 2), ("a", "a", 1)], "module string, imp string, ord int")
-    got = sorted(map(tuple, M.module_edges(imports, mods).collect()))
+    imports = spark.createDataFrame([("x", "a.b", 1), ("x", "a.b", 2), ("a", "a", 1), ("ab", "ab", 1), ("x", "zz", 3)], "module string, imp string, ord int")
+    ranks = M.name_ranks(mods)
+    assert [r.module for r in ranks.orderBy("rank").collect()] == ["a", "a.b", "a.b.c", "ab", "x"]
+    edges = M.module_edges(imports, ranks)
+    assert sorted(map(tuple, edges.collect())) == [("a", "a", 0, 2, 2)] + [("x", "a.b", 1, 2, 2)] * 2
+    got = sorted(map(tuple, M.edge_pairs(edges, ranks).collect()))
     assert got == [("a", "a.b", "a"), ("a", "a.b.c", "a")] + sorted([("x", "a.b", "a.b"), ("x", "a.b.c", "a.b")] * 2)
 
 
+def test_edges_to_a_package_with_a_third_of_all_modules(spark, monkeypatch):
+    """Rows follow the imports, not importers times members; pairs come from equality joins."""
+    names = [f"big.m{k}" for k in range(400)] + ["big"] + [f"o{k}" for k in range(800)]
+    mods = spark.createDataFrame([(n,) for n in names], "module string")
+    imports = spark.createDataFrame([(n, "big", 0) for n in names[::2]], "module string, imp string, ord int")
+    ranks = M.name_ranks(mods)
+    edges = M.module_edges(imports, ranks)
+    rows = edges.collect()
+    assert len(rows) == len(names[::2]) and {r.last - r.first + 1 for r in rows} == {401}
+    assert {r.n_targets for r in rows} == {400, 401}
+    monkeypatch.setattr(M, "RANKS_PER_BLOCK", 64)
+    pairs = M.edge_pairs(edges, ranks)
+    assert "NestedLoop" not in plan(pairs) and "Cartesian" not in plan(pairs)
+    assert pairs.count() == sum(r.n_targets for r in rows)
+    assert {r.to_module for r in pairs.where("from_module = 'o1'").collect()} == set(names[:401])
+
+
+def test_long_chain_and_ring_in_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(M, "Rounds", type("Counted", (M.Rounds,), {"keep": lambda self, *a, **k: (written.append(self.base), M.Rounds.__mro__[1].keep(self, *a, **k))[1]}))
+    for ring in (False, True):
+        written.clear()
+        edges = [(f"n{k:04d}", f"n{k + 1:04d}", 0) for k in range(2_000)] + ([("n2000", "n0007", 0), ("n0500", "zz", 0), ("zz", "zzz", 0)] if ring else [])
+        random.Random(3).shuffle(edges)
+        out = {r.module: r.cycle_group for r in M.circular_dependencies(spark.createDataFrame(edges, "from_module string, to_module string, ord int")).collect()}
+        assert out == ({f"n{k:04d}": "n2000" for k in range(7, 2_001)} if ring else {})
+        assert len(written) < (40 if ring else 30)
+
+
+def test_rings_of_single_imports_and_their_tails(spark):
+    rng = random.Random(4)
+    for _ in range(3):
+        nodes = [f"n{k:02d}" for k in range(40)]
+        edges = {(n, rng.choice(nodes)) for n in nodes if rng.random() < 0.9} | {(rng.choice(nodes), rng.choice(nodes)) for _ in range(6)}
+        closed = reach(edges, nodes)
+        frame = spark.createDataFrame([(*e, 0) for e in edges], "from_module string, to_module string, ord int")
+        got = {r.module: r.cycle_group for r in M.circular_dependencies(frame).collect()}
+        assert got == {n: max(m for m in closed[n] if n in closed[m]) for n in nodes if n in closed[n]}
+
+
+def test_closure_of_a_long_chain_writes_what_it_reaches(spark, monkeypatch):
+    monkeypatch.setattr(M, "FAN_IN", 4)
+    edges = [(f"n{k:03d}", f"n{k + 1:03d}", 0) for k in range(100)] + [("n050", "n010", 1), ("m1", "m2", 0)]
+    names = sorted({x for a, b, _ in edges for x in (a, b)} | {f"x{k}" for k in range(50)})
+    sizes = []
+    plain = M.Deltas._write
+    monkeypatch.setattr(M.Deltas, "_write", lambda self, df: (lambda out: (sizes.append(out[1]), out)[1])(plain(self, df)))
+    closed = M.dependency_closure(spark.createDataFrame([(n,) for n in names], "module string"),
+                                  spark.createDataFrame(edges, "from_module string, to_module string, ord int"),
+                                  spark.createDataFrame([("n000",), ("gone",)], "module string"))
+    assert {r.module: r.hops for r in closed.collect()} == {f"n{k:03d}": k for k in range(101)}
+    assert sum(sizes) < 5 * 101      # once, and once per merge of four
+
+
 def test_module_names(spark):
     paths = ["a.py", "p/b.py", "p/__init__.py", "__init__.py", "p/q/c.py.py"]
     rows = spark.createDataFrame([(p,) for p in paths], "path string").select(S.module_name(F.col("path"))).collect()
