@@ -11,10 +11,11 @@ from codegauge.catalog.common import (
 from codegauge import rules as R
 from codegauge.functions import scalars as S
 from codegauge.operators import accuracy, history as H, lines as L, reuse, skew, watch
+from codegauge.operators.sketch import Wanted, pick
 from codegauge.plans.validate import validate_texts
 from codegauge.session import scratch_path, stage
 from codegauge.sources import files as src, tables
-from codegauge.streaming import watch as stream
+from codegauge.streaming import panes, watch as stream
 
 SINCE_14 = f"ts < TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY"
 SINCE_30 = f"ts < TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY"
@@ -27,7 +28,7 @@ SINCE_7 = f"ts < TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7
 def validations_scan(spark, sf_dir):
     """The history written by day and read back; the time filter prunes whole days."""
     path = scratch_path(spark, "history")
-    tables.history_append(history(spark, sf_dir), path)
+    tables.history_append(history(spark, sf_dir), path, "events")
     rows = H.history_filter(tables.read_history(spark, path), AS_OF, 14)
     return rows.select("id", "file_path", "trust_score", "passed", "user", "project")
 
@@ -38,10 +39,12 @@ def validations_scan(spark, sf_dir):
        "SELECT path AS file_path, trust_score, passed, coalesce(h.h, 0) AS high_count, coalesce(h.l, 0) AS low_count, p.s AS security_score, "
        "p.a AS hallucination_score, p.b AS best_practices_score, 'anonymous' AS \"user\", 'main' AS branch FROM results JOIN p USING (file_id) LEFT JOIN h USING (file_id)")
 def history_append(spark, sf_dir):
-    """Scores of all documents appended to a history table and read back."""
+    """Scores of all documents appended to a history table, twice under one run, and read back."""
     path = scratch_path(spark, "appended")
     results = validate_texts(doc_files(spark, sf_dir))
-    tables.history_append(tables.history_rows(results, F.lit(AS_OF).cast("timestamp")), path)
+    rows = stage(tables.history_rows(results, F.lit(AS_OF).cast("timestamp")), "history-rows")
+    for _ in range(2):
+        tables.history_append(rows, path, "documents")
     return tables.read_history(spark, path).select(
         "file_path", "trust_score", "passed", "high_count", "low_count", "security_score", "hallucination_score",
         "best_practices_score", "user", "branch")
@@ -378,10 +381,12 @@ def cache_upsert(spark, sf_dir):
     """Files without a live entry are scanned and stored; their entries replace the expired ones."""
     files, cache = doc_files(spark, sf_dir), _cache(spark, sf_dir)
     missed = stage(reuse.cache_miss(_hashes(spark, sf_dir), cache, _as_of()), "misses")
-    todo = files.join(missed.select("file_id"), "file_id", "left_semi")
+    todo = pick(files, Wanted(reuse.representatives(missed), "file_id"))
     entries = reuse.cache_entries(validate_texts(todo), missed, F.lit(AS_OF), "cfg")
-    out = reuse.cache_upsert(cache, entries)
-    return out.select("content_hash", "trust_score", "issues_count", "ts", "file_path")
+    stored = reuse.cache_table(spark, scratch_path(spark, "cache-table"))
+    stored.merge(cache)
+    stored.merge(entries.withColumn("result_json", F.lit(None).cast("string")))
+    return stored.read().select("content_hash", "trust_score", "issues_count", "ts", "file_path")
 
 
 @query("cache_cleanup", f"WITH {_CACHE} SELECT content_hash, CAST(NULL AS BIGINT) AS removed FROM live "
@@ -442,32 +447,32 @@ def _event_stream(spark, sf_dir):
 @query("watch_source", f"WITH {FEED} SELECT path, id, content_hash FROM feed")
 def watch_source(spark, sf_dir):
     feed = change_feed_of(_event_stream(spark, sf_dir))
-    return stream.run_available(feed.select("path", "id", "content_hash"), "watch-source")
+    return stream.run_available(feed.select("path", "id", "content_hash"), "watch-source")[0]
 
 
 @query("stream_change_detection", _CHANGES)
 def stream_change_detection(spark, sf_dir):
     feed = change_feed_of(_event_stream(spark, sf_dir))
-    return stream.run_available(stream.detect_changes(feed, ("ts", "id")), "changes").select("path", "id", "content_hash")
+    return stream.changes_so_far(feed, "changes", ("ts", "id")).select("path", "id", "content_hash")
 
 
 @query("stream_line_scan", f"WITH {DOC_ISSUES} SELECT file_id, rule_id, severity, line, message FROM issues")
 def stream_line_scan(spark, sf_dir):
     docs = stream.table_stream(spark, f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("file_id"), F.col("text").alias("code"))
     found = stream.line_scan(docs, R.PYTHON_PACKS).select("file_id", "rule_id", "severity", "line", "message")
-    return stream.run_available(found, "line-scan")
+    return stream.run_available(found, "line-scan")[0]
 
 
 @query("stream_daily_trend", f"WITH {HISTORY} SELECT CAST(ts AS DATE) AS day, round(sum(trust_score) / count(*), 1) AS avg_score, count(*) AS validations FROM history GROUP BY 1")
 def stream_daily_trend(spark, sf_dir):
-    return stream.run_available(stream.daily_trend(history_of(_event_stream(spark, sf_dir))), "daily-trend", "complete")
+    return panes.trend_of_panes(stream.panes_so_far(history_of(_event_stream(spark, sf_dir)), "daily-trend"))
 
 
 @query("stream_weekly_users", f"WITH {HISTORY}, w AS (SELECT *, CAST(ts AS DATE) - CAST(unnest(range(0, 7)) AS INTEGER) AS week_start FROM history) "
        "SELECT week_start, \"user\", count(*) AS validations, round(sum(trust_score) / count(*), 1) AS avg_score, round(count(*) FILTER (passed) / count(*) * 100, 1) AS pass_rate "
        "FROM w GROUP BY 1, 2")
 def stream_weekly_users(spark, sf_dir):
-    return stream.run_available(stream.weekly_users(history_of(_event_stream(spark, sf_dir))), "weekly-users", "complete")
+    return panes.weeks_of_panes(stream.panes_so_far(history_of(_event_stream(spark, sf_dir)), "weekly-users", ["user"]))
 
 
 @query("stream_dedup", "SELECT DISTINCT md5(user_id || ':' || event_type) AS content_hash FROM events")
@@ -475,7 +480,7 @@ def stream_dedup(spark, sf_dir):
     """Content is the pair of user and event type; in one batch this is the set of distinct contents."""
     content = F.md5(F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
     rows = _event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), content.alias("content_hash"))
-    return stream.run_available(stream.distinct_content(rows), "dedup").select("content_hash")
+    return stream.run_available(stream.distinct_content(rows), "dedup")[0].select("content_hash")
 
 
 @query("stream_watch_summary", f"WITH c AS (SELECT * FROM ({_CHANGES.replace('SELECT path, id, content_hash FROM', 'SELECT * FROM')})), "
@@ -484,5 +489,9 @@ def stream_dedup(spark, sf_dir):
        "count(*) FILTER (score >= 60 AND score < 80) AS good, count(*) FILTER (score < 60) AS poor FROM latest")
 def stream_watch_summary(spark, sf_dir):
     """Changed snapshots merged into a latest-per-path table, then summed up: an unchanged file keeps its score."""
-    changes = stream.detect_changes(change_feed_of(_event_stream(spark, sf_dir)), ("ts", "id"))
-    return watch.watch_summary(stream.running_latest(changes, "latest"))
+    feed, base = change_feed_of(_event_stream(spark, sf_dir)), scratch_path(spark, "latest")
+    stream.running_latest(stream.detect_changes(feed, ("ts", "id")), "latest", base, **stream.STATE_STORE)
+    table = stream.latest_table(spark, f"{base}/table", feed.schema)
+    with stream.settings(spark, stream.STATE_STORE):
+        table.merge(stage(stream.changes_held_back(spark, f"{base}/state", ("ts", "id")), "held-back"))
+    return watch.watch_summary(table.read())

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from codegauge import constants as C
 from codegauge.operators.lines import code_lines, regex, search
+from codegauge.operators.sketch import Wanted
+from codegauge.session import stage
 
 
 def issue_lines(issues: DataFrame, lines: DataFrame) -> DataFrame:
@@ -95,17 +97,19 @@ def apply_fixes(files: DataFrame, fixes: DataFrame) -> DataFrame:
     """Texts with fixed lines put in place: ``fixes(file_id, line, suggested)``.
 
     Each fix replaces its whole line, so of several fixes of one line the last in report order stays.
-    Only texts that have a fix are split and rebuilt; the others keep their text.  A text's lines are
-    rewritten inside its own row from a map of its fixes, so no line is shuffled.
+    Only texts that have a fix are split and rebuilt; the others pass by, told apart by a sketch of the fixed ids, and are
+    not shuffled.  A text's lines are rewritten inside its own row from a map of its fixes.
     """
     edits = fixes.where(F.col("line").isNotNull()).groupBy("file_id", "line").agg(
         (F.max_by("suggested", "seq") if "seq" in fixes.columns else F.max("suggested")).alias("suggested"))
-    per_file = edits.groupBy("file_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("line", "suggested"))).alias("edit_of"))
+    per_file = stage(edits.groupBy("file_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("line", "suggested"))).alias("edit_of")), "edits")
     rebuilt = F.array_join(F.transform(
         F.split("code", "\n", -1), lambda text, i: F.coalesce(F.try_element_at("edit_of", (i + 1)), text)), "\n")
-    return files.join(per_file, "file_id", "left").select(
+    fixed = Wanted(per_file, "file_id")
+    changed = files.where(fixed.maybe()).join(per_file, "file_id", "left").select(
         "file_id", F.when(F.col("edit_of").isNotNull(), rebuilt).otherwise(F.col("code")).alias("code"))
+    return changed.unionAll(files.where(~fixed.maybe()).select("file_id", "code"))
 
 
 def alternative_name(module: Column) -> Column:

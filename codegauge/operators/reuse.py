@@ -2,21 +2,25 @@
 
 Copies of one text may make up a third of all files.  Texts are therefore compared by hash only: the narrow
 ``(file_id, digest)`` table is what gets shuffled, and its join with the result table can be split where a hash is
-hot.  Picking the texts to scan is a semi join on ``file_id``: it broadcasts the ids while they are few, and deals
-out all texts once where they are not.
+hot.  The texts to scan are picked by ``file_id`` behind a sketch of the wanted ids, so texts that are not scanned are
+never dealt out, however many ids there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codegauge import constants as C
 from codegauge.functions import scalars as S
+from codegauge.operators.sketch import Wanted, pick
 from codegauge.operators.skew import even_join
 from codegauge.session import stage
+from codegauge.sources.keyed import BUCKETS, KeyedTable, newest
+from codegauge.sources.tables import CACHE_SCHEMA
 
 
 def content_hashes(files: DataFrame, config: Column | str = "") -> DataFrame:
@@ -52,8 +56,8 @@ def representatives(hashes: DataFrame) -> DataFrame:
 def dedup_scan(files: DataFrame, scan: Callable[[DataFrame], DataFrame], hashes: DataFrame | None = None) -> DataFrame:
     """``scan(files) -> one row per file_id`` run once per distinct content, results given to every copy."""
     hashes = content_hashes(files) if hashes is None else hashes
-    reps = representatives(hashes)
-    results = scan(files.join(reps.select("file_id"), "file_id", "left_semi"))
+    reps = stage(representatives(hashes), "representatives")
+    results = scan(pick(files, Wanted(reps, "file_id")))
     by_hash = results.join(reps, "file_id").drop("file_id")
     fanned = even_join(hashes, by_hash, "digest")
     return fanned.drop("content_hash", "digest")
@@ -66,8 +70,7 @@ def incremental_scan(files: DataFrame, cache: DataFrame, scan: Callable[[DataFra
     hits = cache_lookup(hashes, cache, as_of).select(
         "file_id", *columns, F.lit(True).alias("from_cache"))
     missed = stage(cache_miss(hashes, cache, as_of), "misses")
-    todo = files.join(missed.select("file_id"), "file_id", "left_semi")
-    fresh = dedup_scan(todo, scan, missed).select("file_id", *columns, F.lit(False).alias("from_cache"))
+    fresh = dedup_scan(files, scan, missed).select("file_id", *columns, F.lit(False).alias("from_cache"))
     return hits.unionByName(fresh)
 
 
@@ -95,6 +98,15 @@ def cache_upsert(cache: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
+def cache_table(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeyedTable:
+    """The cache as a stored table with one entry per digest; ``merge(entries)`` stores new ones, ``read()`` is the cache.
+
+    A new entry replaces an old one whatever their times, the newest of several new ones stays.
+    """
+    schema = T._parse_datatype_string(CACHE_SCHEMA)
+    return KeyedTable(spark, path, schema, "digest", newest("digest", ["gen__", "ts"], schema.names), buckets)
+
+
 def cache_cleanup(cache: DataFrame, as_of: Column, ttl_days: int = C.CACHE_TTL_DAYS) -> tuple[DataFrame, DataFrame]:
     """(entries that stay, one row with the number removed)."""
     expired = S.is_expired(F.col("ts"), as_of, ttl_days)

@@ -27,9 +27,14 @@ def history_rows(results: DataFrame, ts: Column, user: str = "anonymous", projec
         F.lit(commit).cast("string").alias("commit"))
 
 
-def history_append(rows: DataFrame, path: str) -> None:
-    """Append to the history, partitioned by day so that time filters prune whole folders."""
-    rows.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+def history_append(rows: DataFrame, path: str, run: str) -> None:
+    """Append the rows of one run to the history, partitioned by day so that time filters prune whole folders.
+
+    Rows lie in folders of their day and run, and writing a run again replaces its folders: a job that is repeated after a failure leaves the
+    table as one that succeeded at once.  Days are dealt out in tasks of even size, so a day has few files.
+    """
+    dated = rows.withColumn("day", F.to_date("ts")).withColumn("run", F.lit(run)).hint("rebalance", "day")
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -44,10 +49,6 @@ def history_export(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("timestampFormat", TIME_FORMAT).json(path)
 
 
-def cache_write(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").json(path)
-
-
 def cache_scan(spark: SparkSession, path: str) -> DataFrame:
     """Cache entries from JSON lines; rows that are not valid JSON are skipped."""
     return spark.read.schema(CACHE_SCHEMA).option("mode", "DROPMALFORMED").json(path)

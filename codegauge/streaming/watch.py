@@ -2,22 +2,23 @@
 
 A watched tree arrives as snapshot rows ``path, ts, modified_at, code`` (one row per file and poll): files
 changed in place are new rows, since a file source reads each path once.  Micro-batches are bounded by
-``maxFilesPerTrigger``, which also bounds what one path can bring into one batch.
+``maxFilesPerTrigger``.  Every run names a folder for its state and output; a run with the same folder goes on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pyspark import cloudpickle
-
 from codegauge import rules as R
 from codegauge.operators import lines as L
-from codegauge.session import scratch_path
+from codegauge.session import scratch_path, stage
+from codegauge.sources.keyed import KeyedTable, newest
+from codegauge.streaming.changes import STATE_STORE, changes_held_back, detect_changes
+from codegauge.streaming.panes import daily_panes, open_panes
 
 FILES_PER_TRIGGER = 64
 
@@ -32,61 +33,44 @@ def table_stream(spark: SparkSession, path: str, files_per_trigger: int = FILES_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return what it wrote.
+def run_available(stream: DataFrame, name: str, at: str | None = None, **conf: str) -> tuple[DataFrame, str]:
+    """Run a stream over what is there now: all it has written in append mode, and the folder of its state.
 
-    Append output goes to a file sink.  Complete output replaces the table with every batch, each batch in
-    its own folder, and the last folder is the answer.  State and output live in the shared folder.
+    Both lie below ``at``, where a later run with the same folder goes on, or below a fresh folder of this application.
+    ``conf`` holds for this query only.
     """
     spark = stream.sparkSession
-    base = scratch_path(spark, name)
-    writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    if mode == "append":
-        writer.outputMode("append").format("parquet").option("path", f"{base}/out").start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{base}/out")
-    last: list[str] = []
-
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        target = f"{base}/out/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(target)
-        last[:] = [target]
+    base = at or scratch_path(spark, name)
+    with settings(spark, conf):
+        stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode("append").format(
+            "parquet").option("path", f"{base}/out").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out"), f"{base}/state"
 
-    writer.outputMode(mode).foreachBatch(replace).start().awaitTermination()
-    if not last:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(last[0])
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-_STATE = "modified_at timestamp, content_hash string, ts timestamp"
 
+def changes_so_far(feed: DataFrame, name: str, order: Sequence[str] = ("ts",), delay: str = "1 hour", at: str | None = None) -> DataFrame:
+    """Run change detection over what is there: the changes emitted, and those among the rows the stream still holds back."""
+    spark = feed.sparkSession
+    emitted, state = run_available(detect_changes(feed, order, delay), name, at, **STATE_STORE)
+    with settings(spark, STATE_STORE):
+        return stage(emitted.unionByName(changes_held_back(spark, state, order)), name)
 
-def detect_changes(feed: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """Rows whose (modified_at, content_hash) differ from the path's previous snapshot, across batches.
 
-    ``feed(path, ts, modified_at, content_hash, ...)``.  State per path is one small record.  The rows of one
-    path within one batch are put in time order first, then followed once.  A row older than the newest one of an
-    earlier batch comes too late: it is neither reported nor compared with, so it cannot make an unchanged file
-    look changed.
-    """
-    names = feed.columns
-    keys = list(order)
-
-    def follow(key, frames, state):
-        before = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(keys, kind="stable")
-        if before:
-            rows = rows[rows["ts"] >= pd.Timestamp(before[2])]
-            if rows.empty:
-                return
-        now = list(zip(rows["modified_at"], rows["content_hash"]))
-        seen = [(pd.Timestamp(before[0]), before[1])] if before else [None]
-        changed = [a != b for a, b in zip(now, seen + now[:-1])]
-        last = rows.iloc[-1]
-        state.update((last["modified_at"].to_pydatetime(), last["content_hash"], last["ts"].to_pydatetime()))
-        yield rows[changed][names]
-
-    return feed.groupBy("path").applyInPandasWithState(
-        follow, feed.schema, T._parse_datatype_string(_STATE), "append", "NoTimeout")
+def panes_so_far(history: DataFrame, name: str, keys: Sequence[str] = (), delay: str = "1 day", at: str | None = None) -> DataFrame:
+    """Run daily panes over what is there: those of closed days as emitted, those of open days from the state."""
+    emitted, state = run_available(daily_panes(history, keys, delay), name, at)
+    return emitted.unionByName(open_panes(history.sparkSession, state, keys))
 
 
 def line_scan(stream: DataFrame, packs=R.PYTHON_PACKS) -> DataFrame:
@@ -99,66 +83,20 @@ def distinct_content(stream: DataFrame, ttl: str = "7 days") -> DataFrame:
     return stream.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def daily_trend(history: DataFrame) -> DataFrame:
-    """Daily mean score and count on a stream (one-day windows)."""
-    day = F.window("ts", "1 day")
-    out = history.withWatermark("ts", "1 day").groupBy(day).agg(
-        F.sum("trust_score").alias("s"), F.count(F.lit(1)).alias("validations"))
-    return out.select(F.to_date("window.start").alias("day"),
-                      F.round(F.col("s") / F.col("validations"), 1).alias("avg_score"), "validations")
-
-
-def weekly_users(history: DataFrame) -> DataFrame:
-    """Per user, seven-day windows sliding by a day: the leaderboard's input at every day."""
-    week = F.window("ts", "7 days", "1 day")
-    out = history.withWatermark("ts", "1 day").groupBy(week, "user").agg(
-        F.sum("trust_score").alias("s"), F.count(F.lit(1)).alias("validations"), F.count_if("passed").alias("passes"))
-    return out.select(
-        F.to_date("window.start").alias("week_start"), "user", "validations",
-        F.round(F.col("s") / F.col("validations"), 1).alias("avg_score"),
-        F.round(F.col("passes") / F.col("validations") * 100, 1).alias("pass_rate"))
-
-
-class LatestTable:
-    """Latest row per path, kept as folders in the shared folder: a micro-batch writes the next version."""
-
-    def __init__(self, spark: SparkSession, schema: T.StructType, name: str):
-        self.spark, self.schema, self.base = spark, schema, scratch_path(spark, name)
-        self.versions: dict[int, str] = {}
-
-    def read(self, before: int | None = None) -> DataFrame:
-        known = [i for i in self.versions if before is None or i < before]
-        if not known:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.versions[max(known)])
-
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        """Newest of old and new per path.  A repeated batch starts from the version before it."""
-        others = [c for c in self.schema.names if c != "path"]
-        rows = self.read(batch_id).unionByName(batch.select(*self.schema.names))
-        merged = rows.groupBy("path").agg(
-            F.max_by(F.struct(*others), F.struct("ts", *others)).alias("s")).select("path", "s.*")
-        target = f"{self.base}/v{batch_id}"
-        merged.select(*self.schema.names).write.mode("overwrite").parquet(target)
-        self.versions[batch_id] = target
-
-
-def running_latest(stream: DataFrame, name: str) -> DataFrame:
-    """Run a change stream into a latest-per-path table and return the table."""
-    spark = stream.sparkSession
-    table = LatestTable(spark, stream.schema, name)
-    query = (
-        stream.writeStream.option("checkpointLocation", scratch_path(spark, f"{name}-state"))
-        .trigger(availableNow=True).outputMode("append").foreachBatch(table.merge).start()
-    )
-    query.awaitTermination()
-    return table.read()
-
-
-def _ship_by_value() -> None:
-    import codegauge.streaming.watch as module
+def latest_table(spark: SparkSession, path: str, schema: T.StructType) -> KeyedTable:
+    """The latest row per path as a table of buckets."""
+    return KeyedTable(spark, path, schema, "path", newest("path", ["ts"], schema.names))
 
-    cloudpickle.register_pickle_by_value(module)
 
+def running_latest(stream: DataFrame, name: str, at: str | None = None, **conf: str) -> DataFrame:
+    """Run a stream into a latest-per-path table and return the table.
 
-_ship_by_value()
+    Table and state lie below ``at``, so that a later run goes on; a batch rewrites the buckets of its paths only.
+    """
+    spark = stream.sparkSession
+    base = at or scratch_path(spark, name)
+    table = latest_table(spark, f"{base}/table", stream.schema)
+    with settings(spark, conf):
+        stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode("append").foreachBatch(
+            table.merge).start().awaitTermination()
+    return table.read()
