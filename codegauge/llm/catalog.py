@@ -49,7 +49,7 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, rare=None, counts=True)
+    return dedup_lines(docs, counts=("n_lines", "n_removed"))
 
 
 @query

@@ -1,22 +1,23 @@
 """Line dedup by pairwise alignment.
 
-Copies of a whole text collapse first.  Each remaining text is aligned with every earlier one by local alignment
-without gaps: a block of consecutive lines that both hold, with at least five words, goes from the later text.  No
-pair is formed for that.  A block is covered by its shortest stretches of lines that reach five words, so each line
-gives at most two keys, the shortest stretch that begins and the one that ends with it, and a stretch goes if its
-first holder is an earlier document.  Rows grow with the lines, whatever the number of holders.
-
-A number for ``rare`` asks for the narrower rule of global alignment with first holders only: a rare line that
-several documents share pairs each of them with the first document that holds it, patience diff aligns the pair, and
-a line too frequent to pair by forms a one-line block with its first document.  The pipeline still uses it.
-
-A stretch is known by one 64-bit hash; in the narrower rule pairs are found by one line hash and aligned by another.
+Copies of a whole text collapse first.  Two texts overlap where a run of lines with enough words stands in both; such a
+run is covered by its shortest stretches of lines that reach five words, so each line gives at most two keys, the
+shortest stretch that begins and the one that ends with it.  A key's first holder is paired with every later text
+that holds it: each stretch of a text that any earlier document holds is thus in the pair with one that holds it, and a
+text has no more pairs than stretches, whatever the number of holders.
+
+Each pair is aligned by patience diff over the lines they share: equal heads and tails, then the longest ascending run of lines unique in
+both, then what lies between; a longest common subsequence where no line is unique.  Aligned blocks with at least five
+words go from the later text; what moved is aligned again with what is left, and what no order reaches is aligned at
+the stretch that paired the two.
+
+A line and a stretch are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +31,17 @@ from codegauge.operators.skew import even_join
 from codegauge.session import stage
 
 LEAST_WORDS = 5        # a block with fewer words is never common
-RARE = 1_000           # of the narrower rule: most places of a rare line, over all distinct texts
+PASSES = 3             # alignments of one pair, each over what the ones before left
+LCS_CELLS = 20_000     # larger stretches without unique lines are left to the stretches that paired the texts
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x09, 0x0B, 0x0C, 0x0D]] = True
 _OWN = "__line_dedup_"
 
 
-def text_lines(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines of texts (as ``Words``, empty lines included), two hashes of each, and their numbers of words.
+def text_lines(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Lines of texts (as ``Words``, empty lines included), a hash of each, and their numbers of words.
 
-    A hash sums the words with their places in the line and the white space other than spaces with its own, so equal
+    The hash sums the words with their places in the line and the white space other than spaces with its own, so equal
     hashes stand for equal lines.
     """
     buffer, offsets = text_buffer(texts)
@@ -64,32 +66,12 @@ def text_lines(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarr
     blank_line = np.searchsorted(starts, blanks, side="right") - 1
     odd = (blanks - starts[blank_line]).astype(U) * U(256) + buffer[blanks]
     size = (stops - starts).astype(U)
-    out = []
-    for turn in (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)):
-        total = size * turn
-        some = n_words > 0
-        if len(hashes):
-            total[some] += np.add.reduceat(mix(hashes + place * turn), bounds[some])
-        np.add.at(total, blank_line, mix(odd * turn))
-        out.append(mix(total))
-    return Words(buffer, offsets, starts, stops, first), out[0], out[1], n_words
-
-
-def _outline(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: hash and number of each longer line, and the sequence of all lines (lowest bit: a longer line)."""
-    for batch in slices(batches, "text"):
-        lines, key, again, n_words = text_lines(batch.column("text"))
-        long_line = n_words >= LEAST_WORDS
-        marked = (again & ~U(1)) | long_line.astype(U)
-        first = lines.first
-        number = np.arange(first[-1]) - np.repeat(first[:-1], lines.counts)
-        sums = pa.array(np.concatenate(([0], np.cumsum(long_line)))[first].astype(np.int32))
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), batch.column("digest"),
-            pa.ListArray.from_arrays(sums, pa.array(key[long_line].view(np.int64))),
-            pa.ListArray.from_arrays(sums, pa.array(number[long_line].astype(np.int32))),
-            pa.array([marked[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())],
-            names=["doc_id", "digest", "keys", "numbers", "sequence"])
+    total = size * BASE
+    some = n_words > 0
+    if len(hashes):
+        total[some] += np.add.reduceat(mix(hashes + place * BASE), bounds[some])
+    np.add.at(total, blank_line, mix(odd * BASE))
+    return Words(buffer, offsets, starts, stops, first), mix(total), n_words
 
 
 def stretches(first: np.ndarray, hashes: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,23 +98,48 @@ def stretches(first: np.ndarray, hashes: np.ndarray, n_words: np.ndarray) -> tup
 
 
 def _stretch_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: hash, first and last line of each shortest stretch."""
+    """Per text: hash, first and last line of each shortest stretch; hash and words (five at most) of every line."""
     for batch in slices(batches, "text"):
-        lines, hashes, _, n_words = text_lines(batch.column("text"))
+        lines, hashes, n_words = text_lines(batch.column("text"))
+        few = np.minimum(n_words, LEAST_WORDS).astype(np.uint8)
+        spans = list(zip(lines.first[:-1].tolist(), lines.first[1:].tolist()))
         start, last, key = stretches(lines.first, hashes, n_words)
         sums = pa.array(np.searchsorted(start, lines.first).astype(np.int32))
         base = np.repeat(lines.first[:-1], np.diff(sums.to_numpy()))
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), batch.column("digest"), *(pa.ListArray.from_arrays(sums, pa.array(values)) for values in (
-                key.view(np.int64), (start - base).astype(np.int32), (last - base).astype(np.int32)))],
-            names=["doc_id", "digest", "keys", "starts", "ends"])
+                key.view(np.int64), (start - base).astype(np.int32), (last - base).astype(np.int32))),
+            pa.array([hashes[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([few[a:b].tobytes() for a, b in spans], pa.binary())],
+            names=["doc_id", "digest", "keys", "starts", "ends", "sequence", "words"])
+
+
+def _subsequence(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence, as places."""
+    n = len(b)
+    best = [[0] * (n + 1)]
+    for x in reversed(a):
+        row = [0] * (n + 1)
+        for j in range(n - 1, -1, -1):
+            row[j] = best[-1][j + 1] + 1 if x == b[j] else max(best[-1][j], row[j + 1])
+        best.append(row)
+    best.reverse()
+    out, i, j = [], 0, 0
+    while i < len(a) and j < n:
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places (i of a, j of b), ascending in both.
 
     A stretch gives its equal head and tail, then the longest ascending run of lines that are unique in both
-    stretches, and continues between those; a stretch without such lines ends there.
+    stretches, and continues between those; one without such lines gives a longest common subsequence, if it is not too long.
     """
     out, work = [], [(0, len(a), 0, len(b))]
     while work:
@@ -152,6 +159,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             right[b[k]] = -1 if b[k] in right else k
         both = [(left[x], k) for x, k in right.items() if k >= 0 and left.get(x, -1) >= 0]
         if not both:
+            if (ie - i) * (je - j) <= LCS_CELLS and not set(a[i:ie]).isdisjoint(b[j:je]):
+                out += [(i + p, j + q) for p, q in _subsequence(a[i:ie], b[j:je])]
             continue
         both.sort(key=lambda p: p[1])
         tails, ends, back = [], [], [-1] * len(both)
@@ -174,86 +183,91 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_places(a: list[int], b: list[int]) -> list[int]:
-    """Places of ``b`` in aligned blocks that hold at least one longer line."""
-    out, block, last = [], [], None
-    for i, j in [*patience(a, b), (-9, -9)]:
-        if last is not None and (i, j) != (last[0] + 1, last[1] + 1):
-            if any(b[k] & 1 for k in block):
-                out += block
-            block = []
-        block.append(j)
-        last = (i, j)
-    return out
+def aligned_lines(sequence: list[int], words: bytes, shared: list[tuple[int, int, int]]) -> set[int]:
+    """Lines of the later text of a pair that go.
+
+    ``sequence`` and ``words`` are hashes and words of its lines; ``shared`` are the stretches that pair it with the earlier
+    text: first and last line here, first line there.
+    """
+    earlier = {at + k: sequence[start + k] for start, end, at in shared for k in range(end - start + 1)}
+    places = sorted(earlier)
+    first = [earlier[i] for i in places]
+    own = sorted({k for start, end, _ in shared for k in range(start, end + 1)})
+    inside, gone = set(own), set()
+    for _ in range(PASSES):
+        left = [j for j in own if j not in gone]
+        if not left:
+            return gone
+        before = len(gone)
+        for p, q in patience(first, [sequence[j] for j in left]):
+            i, j = places[p], left[q]
+            if j in gone:
+                continue
+            low = high = 0          # the block that this pair of lines lies in
+            while j + low - 1 in inside and earlier.get(i + low - 1) == sequence[j + low - 1]:
+                low -= 1
+            while j + high + 1 in inside and earlier.get(i + high + 1) == sequence[j + high + 1]:
+                high += 1
+            if sum(words[j + low:j + high + 1]) >= LEAST_WORDS:
+                gone.update(range(j + low, j + high + 1))
+        if len(gone) == before:
+            break
+    for start, end, _ in shared:
+        gone.update(range(start, end + 1))
+    return gone
 
 
 def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per later text the blocks that its alignments with earlier ones take away."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        gone = []
-        for a, b in zip(batch.column("earlier").to_pylist(), batch.column("sequence").to_pylist()):
-            gone.append(common_places(np.frombuffer(a, dtype=U).tolist(), np.frombuffer(b, dtype=U).tolist()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "places"])
-
-
-def _distinct_texts(docs: DataFrame, outline, columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, digest) of each document; later copies and whether they have keys; outlines of the others, one each."""
+        blocks = []
+        columns = (batch.column(n).to_pylist() for n in ("sequence", "words", "shared"))
+        for sequence, words, shared in zip(*columns):
+            sequence = np.frombuffer(sequence, dtype=U).tolist()
+            pairs: dict[int, list[tuple[int, int, int]]] = {}
+            for s in shared:
+                pairs.setdefault(s["first"], []).append((s["start"], s["end"], s["at"]))
+            lines = np.array(sorted(set().union(*(aligned_lines(sequence, words, p) for p in pairs.values()))), dtype=np.int32)
+            cuts = np.flatnonzero(np.diff(lines) != 1) + 1
+            blocks.append([{"start": int(x[0]), "end": int(x[-1])} for x in np.split(lines, cuts)])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(blocks, kind)], names=["doc_id", "digest", "blocks"])
+
+
+def _distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) of later copies, and the lines of the other texts, one document each."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.sha2("text", 256)).alias("digest"))
     outlines = stage(known.where("doc_id is not null and text <> ''").mapInArrow(
-        outline, f"doc_id long, digest binary, {columns}"), "outlines")
+        _stretch_rows, "doc_id long, digest binary, keys array<long>, starts array<int>, ends array<int>, sequence binary, words binary"), "outlines")
     # one text per id, one id per text
-    member = outlines.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max(F.size("keys") > 0).alias("keyed"))
+    member = outlines.groupBy("doc_id").agg(F.min("digest").alias("digest"))
     heads = member.groupBy("digest").agg(F.min("doc_id").alias("head"))
     named = stage(even_join(member, heads, "digest"), "named")
     own = stage(outlines.join(named.where("doc_id = head").select("doc_id", "digest"), ["doc_id", "digest"], "left_semi"
                               ).dropDuplicates(["doc_id"]), "heads")
-    return named.select("doc_id", "digest"), named.where("doc_id <> head").select("doc_id", "digest", "keyed"), own
+    return named.where("doc_id <> head").select("doc_id", "digest"), own
 
 
-def _blocks_of_any(own: DataFrame) -> DataFrame:
-    """(doc_id, block): stretches that an earlier document holds."""
-    held = own.select("doc_id", F.explode(F.arrays_zip("keys", "starts", "ends")).alias("s")).select(
-        "doc_id", F.col("s.keys").alias("key"), F.col("s.starts").alias("start"), F.col("s.ends").alias("end"))
-    shared = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return even_join(held, shared.select("key", "first"), "key").where("doc_id <> first").select(
-        "doc_id", F.struct("start", "end").alias("block"))
-
-
-def _blocks_of_first(own: DataFrame, rare: int) -> DataFrame:
-    """(doc_id, block) of the narrower rule."""
-    held = own.select("doc_id", F.explode(F.arrays_zip("keys", "numbers")).alias("line")).select(
-        "doc_id", F.col("line.keys").alias("key"), F.col("line.numbers").alias("number"))
-    shared = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
-    met = stage(even_join(held, shared.select("key", "first", "n"), "key").where("doc_id <> first").select(
-        "doc_id", "number", "first", (F.col("n") <= rare).alias("rare")), "shared_lines")
-    pairs = met.where("rare").select("first", "doc_id").distinct()
-    sequences = own.select("doc_id", "sequence")
-    aligned = pairs.join(sequences, "doc_id").join(
-        sequences.select(F.col("doc_id").alias("first"), F.col("sequence").alias("earlier")), "first").select(
-        "doc_id", "sequence", "earlier").mapInArrow(_align, "doc_id long, places array<int>")
-    places = aligned.select("doc_id", F.explode("places").alias("start")).unionAll(
-        met.where("not rare").select("doc_id", F.col("number").alias("start")))
-    return places.select("doc_id", F.struct("start", F.col("start").alias("end")).alias("block"))
-
-
-def line_removals(docs: DataFrame, rare: int | None) -> DataFrame:
+def line_removals(docs: DataFrame) -> DataFrame:
     """What goes from each document that loses lines: (doc_id, digest, whole, blocks).
 
-    ``whole``: all of it, as a copy of an earlier document; ``blocks``: first and last line numbers, from 0, which may
-    overlap.  ``digest`` is the SHA-256 of the text meant.
+    ``whole``: all of it, as a copy of an earlier document; ``blocks``: first and last line numbers, from 0.  ``digest``
+    is the SHA-256 of the text meant.
     """
-    if rare is None:
-        named, copies, own = _distinct_texts(docs, _stretch_rows, "keys array<long>, starts array<int>, ends array<int>")
-        blocks = _blocks_of_any(own)
-    else:
-        named, copies, own = _distinct_texts(docs, _outline, "keys array<long>, numbers array<int>, sequence binary")
-        blocks, copies = _blocks_of_first(own, rare), copies.where("keyed")
-    # the lists are bounded by the lines of their one document
-    gone = blocks.groupBy("doc_id").agg(F.collect_set("block").alias("blocks"))
-    some = gone.join(named, "doc_id").select("doc_id", "digest", F.lit(False).alias("whole"), "blocks")
-    return some.unionAll(copies.select("doc_id", "digest", F.lit(True), F.lit(None).cast("array<struct<start:int,end:int>>")))
-
-
-def _rebuild(names: list[str], counts: bool):
+    copies, own = _distinct_texts(docs)
+    held = own.select("doc_id", F.explode(F.arrays_zip("keys", "starts", "ends")).alias("s")).select(
+        "doc_id", F.col("s.keys").alias("key"), F.col("s.starts").alias("start"), F.col("s.ends").alias("end"))
+    shared = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.min_by("start", "doc_id").alias("at"), F.max("doc_id").alias("last")).where("first < last")
+    met = even_join(held, shared.select("key", "first", "at"), "key").where("doc_id <> first")
+    # a text's pairs: no longer than its own lines
+    pairs = met.groupBy("doc_id").agg(F.collect_list(F.struct("first", "start", "end", "at")).alias("shared"))
+    aligned = pairs.join(own.select("doc_id", "digest", "sequence", "words"), "doc_id").mapInArrow(
+        _align, "doc_id long, digest binary, blocks array<struct<start: int, end: int>>")
+    blocks = aligned.select("doc_id", "digest", F.lit(False).alias("whole"), "blocks")
+    return blocks.unionAll(copies.select("doc_id", "digest", F.lit(True), F.lit(None).cast("array<struct<start:int,end:int>>")))
+
+
+def _rebuild(names: list[str], counts: Sequence[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = batch.column("text")
@@ -274,32 +288,31 @@ def _rebuild(names: list[str], counts: bool):
             columns = {n: batch.column(n) for n in names}
             columns["text"] = pa.compute.replace_with_mask(texts, touched, pa.array(left, texts.type))
             if counts:
-                columns["n_lines"] = pa.compute.add(
+                columns[counts[0]] = pa.compute.add(
                     pa.compute.cast(pa.compute.fill_null(pa.compute.count_substring(texts, "\n"), 0), pa.int64()),
                     pa.compute.cast(pa.compute.greater(pa.compute.fill_null(pa.compute.binary_length(texts), 0), 0), pa.int64()))
-                columns["n_removed"] = pa.array(removed)
+                columns[counts[1]] = pa.array(removed)
             yield pa.RecordBatch.from_pydict(columns)
     return run
 
 
-def dedup_lines(docs: DataFrame, rare: int | None = RARE, counts: bool = False) -> DataFrame:
-    """``docs`` without the lines that align with an earlier document; with ``counts`` also n_lines and n_removed.
+def dedup_lines(docs: DataFrame, counts: Sequence[str] = ()) -> DataFrame:
+    """``docs`` without the lines that align with an earlier document.
 
-    Earlier means a smaller ``doc_id``.  A line is what stands between line feeds.  With ``rare`` as None, a block of
-    consecutive lines with at least five words in all goes if any earlier document holds it too, so single short lines that recur by chance
+    Earlier means a smaller ``doc_id``.  A line is what stands between line feeds.  A block of consecutive lines with at
+    least five words in all goes if any earlier document holds it too, so single short lines that recur by chance
     stay.  How many documents hold it makes no difference.  A later copy of a whole text loses all of it, however
-    short its lines, and keeps its row with an empty text.
-
-    With a number for ``rare``, lines go only as patience diff aligns them with the first holders of lines of five or more words,
-    and a block needs such a line; one of those with more than ``rare`` places, over all distinct texts, goes from
-    every text but the first that holds it, and whole copies without such a line stay.
+    short its lines, and keeps its row with an empty text.  ``counts`` names two columns for the numbers of lines and
+    of lines removed; names that ``docs`` has raise an error.
 
     Null and empty texts stay as they are.  A row with a null ``doc_id`` has no place in the order: it loses nothing
     and costs others nothing.  Rows that repeat a ``doc_id`` are one document, with the text of the smallest digest;
     a row with that id and another text stays whole.  An empty table gives no rows; all other columns pass through.
     """
-    gone = line_removals(docs, rare).select(*(F.col(c).alias(_OWN + c) for c in ("doc_id", "digest", "whole", "blocks")))
+    if set(counts) & set(docs.columns):
+        raise ValueError(f"columns {sorted(set(counts) & set(docs.columns))} are there already")
+    gone = line_removals(docs).select(*(F.col(c).alias(_OWN + c) for c in ("doc_id", "digest", "whole", "blocks")))
     joined = docs.join(gone, (docs["doc_id"].cast("long") == gone[_OWN + "doc_id"])
                        & (F.unhex(F.sha2(docs["text"], 256)) == gone[_OWN + "digest"]), "left").drop(_OWN + "doc_id", _OWN + "digest")
-    schema = T.StructType([*docs.schema.fields, *([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())] if counts else [])])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
     return joined.mapInArrow(_rebuild(docs.columns, counts), schema)

@@ -24,9 +24,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that align with an earlier document go, and with them documents of which nothing is left."""
-    out = dedup_lines(docs, counts=True)
-    out = out.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")).drop("n_lines", "n_removed")
+    """Lines that align with an earlier document go, and with them documents of which nothing is left.
+
+    Null and empty texts, and rows without an id, go on as they are.  ``n_chars``, if there is one, follows the text.
+    """
+    lines, removed = (f"{'_' * (1 + max(map(len, docs.columns)))}{name}" for name in ("lines", "removed"))
+    out = dedup_lines(docs, counts=(lines, removed))
+    out = out.where((F.col(removed) == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")).drop(lines, removed)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

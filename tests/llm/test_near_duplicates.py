@@ -1,9 +1,12 @@
 import collections
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from codegauge.llm.jaccard_join import BLOCK_CLASSES, band_keys, jaccard_groups, matches_needed, signatures, similar_pairs
-from codegauge.llm.line_dedup import LEAST_WORDS, dedup_lines, patience
+from codegauge.llm.line_dedup import LEAST_WORDS, aligned_lines, dedup_lines, patience
+from corpus_pipeline import line_dedup
 from tests.conftest import SMALL
 from tests.llm import helpers as H
 
@@ -110,35 +113,35 @@ def test_groups_of_the_table(spark):
 
 # --- lines ------------------------------------------------------------------------------------------------------
 
-def brute_lines(rows, rare=1_000):
-    """(doc_id, text left) where every doc_id and its text come once."""
-    heads, lines, out = {}, {}, {}
-    long_line = lambda t: len(H.words(t)) >= LEAST_WORDS
+def brute_lines(rows):
+    """(doc_id, text left) where every doc_id and its text come once: each run of lines is looked up in all earlier documents."""
+    heads, runs, out = {}, set(), {}
     for i, t in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
         parts = t.split("\n")
         if t in heads:
-            out[i] = "" if any(map(long_line, parts)) else t
-        else:
-            heads[t], lines[i] = i, parts
-    first, count = {}, collections.Counter()
-    for i, parts in lines.items():
-        for line in filter(long_line, parts):
-            first.setdefault(line, i)
-            count[line] += 1
-    for i, parts in lines.items():
-        gone = {n for n, x in enumerate(parts) if long_line(x) and count[x] > rare and first[x] < i}
-        for head in {first[x] for x in parts if long_line(x) and count[x] <= rare} - {i}:
-            blocks, last = [], None
-            for a, b in patience(lines[head], parts):
-                if last == (a - 1, b - 1):
-                    blocks[-1].append(b)
-                else:
-                    blocks.append([b])
-                last = (a, b)
-            for block in blocks:
-                if any(long_line(parts[b]) for b in block):
-                    gone.update(block)
-        out[i] = "\n".join(x for n, x in enumerate(parts) if n not in gone)
+            out[i] = ""
+            continue
+        heads[t] = i
+        n = [len(H.words(x)) for x in parts]
+        # the shortest runs that reach enough words, from each start: longer ones are made of them
+        spans = []
+        for a in range(len(parts)):
+            b, total = a, 0
+            while b < len(parts) and total < LEAST_WORDS:
+                total += n[b]
+                b += 1
+            if total >= LEAST_WORDS:
+                spans.append((a, b))
+        for b in range(1, len(parts) + 1):
+            a, total = b, 0
+            while a > 0 and total < LEAST_WORDS:
+                a -= 1
+                total += n[a]
+            if total >= LEAST_WORDS:
+                spans.append((a, b))
+        gone = {k for a, b in spans if tuple(parts[a:b]) in runs for k in range(a, b)}
+        runs |= {tuple(parts[a:b]) for a, b in spans}
+        out[i] = "\n".join(x for k, x in enumerate(parts) if k not in gone)
     for i, t in rows:
         if i is None or not t:
             out[i] = t
@@ -149,6 +152,7 @@ def test_patience_aligns_unique_lines_in_order():
     assert patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert patience([5, 1, 2, 5], [5, 2, 1, 5])[0] == (0, 0)
     assert patience([1, 1, 2], [2, 1, 1]) == [(2, 0)]
+    assert patience([0, 1, 1, 2, 2, 9], [8, 2, 1, 1, 2, 7]) == [(1, 2), (2, 3), (3, 4)]      # no line is unique on both sides
     assert patience([], [1]) == [] and patience([1], [2]) == []
     rng = H.seeded(6)
     for _ in range(200):
@@ -163,9 +167,8 @@ def test_lines_planted(spark):
     pool = [H.gibberish(rng, rng.choice([2, 3, 9, 14])) for _ in range(40)]
     rows = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.3 else H.gibberish(rng, 8) for _ in range(rng.randint(1, 12)))) for k in range(150)]
     rows += [(200 + k, rows[3][1]) for k in range(5)] + [(210, "a\tb c d e"), (211, "a b\tc d e\r"), (212, "a b c d e"), (213, "a\tb c d e"), (300, "\n\n"), (301, pool[0] + "\n\n" + pool[1])]
-    for rare in (1_000, 4):
-        out = {r["doc_id"]: r["text"] for r in dedup_lines(H.docs(spark, rows), rare).collect()}
-        assert out == brute_lines(rows, rare)
+    out = {r["doc_id"]: r["text"] for r in dedup_lines(H.docs(spark, rows)).collect()}
+    assert out == brute_lines(rows)
 
 
 def test_lines_awkward_cases(spark):
@@ -207,17 +210,36 @@ def brute_blocks(rows):
     return out
 
 
+def test_pairs_are_aligned_in_passes():
+    words = bytes([5] * 6)
+    same = [(0, 0, 10), (1, 1, 11), (2, 2, 12)]
+    assert aligned_lines([1, 2, 3], words, same) == {0, 1, 2}
+    moved = [(0, 0, 12), (1, 1, 11), (2, 2, 10), (3, 3, 30), (4, 4, 20)]
+    assert aligned_lines([1, 2, 3, 4, 5], words, moved) == {0, 1, 2, 3, 4}
+    # the middle line is too short by itself and goes as part of two blocks
+    assert aligned_lines([1, 2, 1, 7, 8, 9], bytes([3, 2, 3, 1, 1, 1]), [(0, 1, 5), (1, 2, 6)]) == {0, 1, 2}
+
+
+def test_a_table_with_the_names_of_the_counts(spark):
+    rows = [(1, "a b c d e\nf"), (2, "a b c d e\ng")]
+    frame = H.docs(spark, rows).withColumn("n_removed", F.lit(1)).withColumn("n_lines", F.lit(2))
+    with pytest.raises(ValueError):
+        dedup_lines(frame, counts=("n_lines", "n_removed"))
+    out = line_dedup(spark, frame, SMALL)
+    assert out.columns == frame.columns and {r["doc_id"]: (r["text"], r["n_removed"]) for r in out.collect()} == {1: (rows[0][1], 1), 2: ("g", 1)}
+
+
 def test_lines_meet_every_earlier_holder(spark):
     one, two, more = "a b c d e", "f g h i j", "k l m n o"
     rows = [(1, f"{one}\n{two}"), (2, f"{two}\n{one}"), (3, f"{two}\n{one}\n{more}")]
-    out = {r["doc_id"]: r["text"] for r in dedup_lines(H.docs(spark, rows), rare=None).collect()}
+    out = {r["doc_id"]: r["text"] for r in dedup_lines(H.docs(spark, rows)).collect()}
     assert out == {1: rows[0][1], 2: "", 3: more}
 
 
 def test_lines_go_by_one_rule_at_every_count(spark):
     block = "a short one\na longer line of six words\nend"
     rows = [(k, f"own{k} text of document number {k}\n{block}") for k in range(1_300)]
-    out = {r["doc_id"]: r["text"] for r in dedup_lines(H.docs(spark, rows), rare=None).collect()}
+    out = {r["doc_id"]: r["text"] for r in dedup_lines(H.docs(spark, rows)).collect()}
     assert out == {k: t if k == 0 else t.split("\n")[0] for k, t in rows}
 
 
@@ -225,7 +247,7 @@ def test_blocks_of_short_lines(spark):
     rng = H.seeded(12)
     verse = "\n".join(H.gibberish(rng, 3) for _ in range(20))
     rows = [(1, "x\ny z"), (2, "x\ny z"), (3, f"first\n{verse}\nlast"), (4, f"other\n\n{verse}"), (5, "x"), (6, "x\ny")]
-    out = {r["doc_id"]: (r["text"], r["n_removed"]) for r in dedup_lines(H.docs(spark, rows), rare=None, counts=True).collect()}
+    out = {r["doc_id"]: (r["text"], r["n_removed"]) for r in dedup_lines(H.docs(spark, rows).drop("n_removed"), counts=("n_lines", "n_removed")).collect()}
     assert out == {1: ("x\ny z", 0), 2: ("", 2), 3: (rows[2][1], 0), 4: ("other\n", 20), 5: ("x", 0), 6: ("x\ny", 0)}
 
 
@@ -234,17 +256,17 @@ def test_blocks_equal_brute_force(spark):
     pool = ["", " ", *(H.gibberish(rng, rng.choice([1, 2, 3, 7])) for _ in range(12))]
     rows = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.8 else H.gibberish(rng, 4) for _ in range(rng.randint(1, 14)))) for k in range(200)]
     rows = [r for r in rows if r[1]]
-    assert {r["doc_id"]: r["text"] for r in dedup_lines(H.docs(spark, rows), rare=None).collect()} == brute_blocks(rows)
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(H.docs(spark, rows)).collect()} == brute_blocks(rows)
 
 
 def test_blocks_of_awkward_cases(spark):
     rows = H.awkward_rows()
     frame = H.docs(spark, rows)
-    done = dedup_lines(frame, rare=None)
+    done = dedup_lines(frame)
     assert done.columns == frame.columns
     out = done.collect()
     assert len(out) == len(rows)
     assert sorted((r["text"] for r in out if r["doc_id"] is None), key=str) == sorted((r[1] for r in rows if r[0] is None), key=str)
     left = {r["doc_id"]: r["text"] for r in out}
     assert (left[2], left[3], left[4], left[5], left[10]) == ("", None, "", "   \n\t ", "")
-    assert dedup_lines(H.docs(spark, []), rare=None).collect() == []
+    assert dedup_lines(H.docs(spark, [])).collect() == []

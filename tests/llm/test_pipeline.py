@@ -57,4 +57,4 @@ def test_run_and_registration(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
     known = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(known)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
