@@ -11,9 +11,9 @@ from codegauge.catalog.common import (
 )
 from codegauge.catalog.line_rules import TEXT_PACKS
 from codegauge.functions import scalars as S
-from codegauge.operators import accuracy, issues as I, lines as L, scoring
+from codegauge.operators import accuracy, issues as I, lines as L, literals, scoring
 from codegauge.plans.validate import validate_texts
-from codegauge.session import scratch_path
+from codegauge.session import scratch_path, stage
 from codegauge.sinks import reports
 from codegauge.sources import files as src
 
@@ -209,9 +209,25 @@ def line_sql_strings(spark, sf_dir):
 @query("rule_line_join", f"WITH {DOC_LINES}, {rules_sql('r', *TEXT_PACKS)} SELECT file_id, rule_id, severity, "
        "line_no AS line FROM doc_lines JOIN r ON regexp_matches(line, pattern)")
 def rule_line_join(spark, sf_dir):
-    """Every rule against every line: the rules are literals of one pass, so nothing is joined at run time."""
-    packs = [p for p in R.PYTHON_PACKS if p is not R.LONG_LINES]
-    return L.scan_lines(L.code_lines(doc_files(spark, sf_dir)), packs).select("file_id", "rule_id", "severity", "line")
+    """A table of rules, read back as any caller's would be, joined with the lines that hold what a rule requires."""
+    rows = [(rule.rule_id, rule.severity, rule.pattern) for pack in R.PYTHON_PACKS if pack is not R.LONG_LINES for rule in pack.rules]
+    rules = stage(spark.createDataFrame(rows, "rule_id string, severity string, pattern string"), "rule-table")
+    found = literals.pattern_matches(L.code_lines(doc_files(spark, sf_dir)), rules)
+    return found.select("file_id", "rule_id", "severity", F.col("line_no").alias("line"))
+
+
+_ITEM_RULES = ("rules AS (SELECT item_id, '(?i)' || ws[1] || '\W+' || ws[2] || '\W+' || ws[3] AS pattern FROM "
+               "(SELECT item_id, regexp_extract_all(text, '[A-Za-z]{2,}') AS ws FROM benchmark) WHERE len(ws) >= 3)")
+
+
+@query("rule_table_join", f"WITH {DOC_LINES}, {_ITEM_RULES} SELECT file_id, line_no AS line, item_id FROM doc_lines JOIN rules ON regexp_matches(line, pattern)")
+def rule_table_join(spark, sf_dir):
+    """Rules made of the first words of every benchmark item, against every line of every document."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("ws")
+    items = table(spark, sf_dir, "benchmark").select("item_id", words).where(F.size("ws") >= 3)
+    rules = items.select("item_id", F.concat(F.lit("(?i)"), F.array_join(F.slice("ws", 1, 3), "[^A-Za-z]+")).alias("pattern"))
+    found = literals.pattern_matches(L.code_lines(doc_files(spark, sf_dir)), rules)
+    return found.select("file_id", F.col("line_no").alias("line"), "item_id")
 
 
 @query("js_symbols",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codegauge import constants as C
 from codegauge.operators.lines import code_lines, regex, search
+from codegauge.operators.literals import holding
 from codegauge.operators.sketch import Wanted
 from codegauge.session import stage
 
@@ -124,12 +125,12 @@ def alternative_name(module: Column) -> Column:
 def alternative_modules(names: DataFrame, alternatives: DataFrame | None = None) -> DataFrame:
     """The same lookup as a join, for a table of alternatives: ``names(module)`` -> ``module, alternative``.
 
-    ``alternatives(part, alternative, ord)`` is the fixed list unless given; it is joined on "contains", so it
-    must be a short table, which the planner sees from its size.
+    ``alternatives(part, alternative, ord)`` is the fixed list unless given, and may be of any size: names meet parts by
+    runs of letters, and of the parts a name holds the first by ``ord`` counts (ties: the smaller alternative).
     """
     if alternatives is None:
         rows = [(part, real, i) for i, (part, real) in enumerate(C.MODULE_ALTERNATIVES)]
-        alternatives = F.broadcast(names.sparkSession.createDataFrame(rows, "part string, alternative string, ord int"))
-    distinct = names.select("module").distinct()
-    return distinct.join(alternatives, F.lower("module").contains(F.col("part"))).groupBy("module").agg(
-        F.min_by("alternative", "ord").alias("alternative"))
+        alternatives = names.sparkSession.createDataFrame(rows, "part string, alternative string, ord int")
+    distinct = names.select("module", F.lower("module").alias("lowered")).distinct()
+    met = holding(distinct, "lowered", alternatives.select("part", "alternative", "ord"), "part")
+    return met.groupBy("module").agg(F.min(F.struct("ord", "alternative")).alias("first")).select("module", "first.alternative")

@@ -36,6 +36,11 @@ def regex(pattern: str) -> str:
     return "(?dU)" + pattern.replace(r"\s", r"[\s\x1c-\x1f]")
 
 
+def whole_pattern(pattern: Column) -> Column:
+    """The same for patterns that are a column."""
+    return F.concat(F.lit("(?dU)"), F.replace(pattern, F.lit(r"\s"), F.lit(r"[\s\x1c-\x1f]")))
+
+
 def search(column: Column, pattern: str) -> Column:
     return column.rlike(regex(pattern))
 
