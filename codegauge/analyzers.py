@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from pyspark import cloudpickle
 
-from codegauge.operators.lines import CHECK_STEP, MAJOR_STEP, code_lines
+from codegauge.operators.lines import CHECK_STEP, MAJOR_STEP
 
 CUSTOM_BASE = 100  # custom checks are listed after the built-in ones
 
@@ -130,7 +130,8 @@ class Registry:
         kind = files.schema["file_id"].dataType.simpleString()
         schema = T._parse_datatype_string(f"file_id {kind}, {_ISSUE}")
         ordered = list(enumerate(self.in_order()))
-        parts = [_line_issues(files, a, _base(i)) for i, a in ordered if a.by_line]
+        by_line = [(i, a) for i, a in ordered if a.by_line]
+        parts = [_line_issues(files, by_line)] if by_line else []
         trees = [(i, a) for i, a in ordered if not a.by_line]
         if trees:
             wants = [a.when if a.when is not None else F.lit(True) for _, a in trees]
@@ -149,16 +150,21 @@ def _base(position: int) -> int:
     return (CUSTOM_BASE + position) * CHECK_STEP
 
 
-def _line_issues(files: DataFrame, analyzer: Analyzer, base: int) -> DataFrame:
-    chosen = files if analyzer.when is None else files.where(analyzer.when)
-    hits = code_lines(chosen).where(analyzer.run(F.col("line")))
+def _line_issues(files: DataFrame, analyzers: list[tuple[int, Analyzer]]) -> DataFrame:
+    """Issues of all line analyzers in one pass: texts are split once, and a line yields the analyzers that fire on it."""
+    wants = [F.coalesce(a.when, F.lit(False)) if a.when is not None else F.lit(True) for _, a in analyzers]
+    lines = files.where(reduce(lambda x, y: x | y, wants)).select(
+        "file_id", F.array(*wants).alias("wants"), F.posexplode(F.split("code", "\n", -1)).alias("pos", "line"))
+    fired = F.array_compact(F.array(*[
+        F.when(F.col("wants")[k] & a.run(F.col("line")), F.lit(k)) for k, (_, a) in enumerate(analyzers)]))
+    about = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in (
+        ("rule_id", a.name), ("severity", a.severity), ("category", a.category), ("message", a.message), ("base", _base(i)))]) for i, a in analyzers])
+    hits = lines.select("file_id", (F.col("pos") + 1).alias("line"), F.explode(fired).alias("k"))
+    m = about[F.col("k")]
     return hits.select(
-        "file_id", F.lit(analyzer.name).alias("rule_id"), F.lit(analyzer.severity).alias("severity"),
-        F.lit(analyzer.category).alias("category"), F.lit(analyzer.message).alias("message"),
-        F.col("line_no").alias("line"), F.lit(None).cast("int").alias("column"),
-        F.lit(None).cast("string").alias("suggestion"),
-        (F.lit(base) + F.col("line_no").cast("long") * F.lit(MAJOR_STEP)).alias("seq"),
-        F.lit(None).cast("string").alias("error"))
+        "file_id", *[m[n].alias(n) for n in ("rule_id", "severity", "category", "message")],
+        "line", F.lit(None).cast("int").alias("column"), F.lit(None).cast("string").alias("suggestion"),
+        (m["base"] + F.col("line").cast("long") * F.lit(MAJOR_STEP)).alias("seq"), F.lit(None).cast("string").alias("error"))
 
 
 def _ship_by_value() -> None:

@@ -1,6 +1,6 @@
 """Shared inputs of the registered queries, on the Spark side and as SQL common table expressions.
 
-Stand-ins: ``documents`` are code files without a tree, ``pages`` are script texts, ``events`` is the
+Stand-ins: ``documents`` are text files, which take the line rules and have no tree, ``pages`` are script texts, ``events`` is the
 validation history and the change feed, ``part`` grows the template corpus and the module graph.
 """
 
@@ -47,8 +47,8 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     return docs.select(
         F.col("doc_id").alias("file_id"),
-        F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".py"))).alias("path"),
-        F.lit("python").alias("language"), F.col("text").alias("code"))
+        F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
+        F.lit("text").alias("language"), F.col("text").alias("code"))
 
 
 def doc_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("javascript").alias("language"), F.col("html").alias("code"))
 
 
-DOC_FILES = ("doc_files AS (SELECT doc_id AS file_id, source || '/' || doc_id || '.py' AS path, text AS code FROM documents)")
+DOC_FILES = ("doc_files AS (SELECT doc_id AS file_id, source || '/' || doc_id || '.txt' AS path, text AS code FROM documents)")
 DOC_LINES = (
     "doc_split AS (SELECT doc_id AS file_id, string_split(text, chr(10)) AS parts FROM documents), "
     "doc_lines AS (SELECT file_id, unnest(parts) AS line, CAST(unnest(range(1, len(parts) + 1)) AS INTEGER) AS line_no FROM doc_split)"

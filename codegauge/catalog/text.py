@@ -216,7 +216,7 @@ def rule_line_join(spark, sf_dir):
     return found.select("file_id", "rule_id", "severity", F.col("line_no").alias("line"))
 
 
-_ITEM_RULES = ("rules AS (SELECT item_id, '(?i)' || ws[1] || '\W+' || ws[2] || '\W+' || ws[3] AS pattern FROM "
+_ITEM_RULES = ("rules AS (SELECT item_id, '(?i)' || ws[1] || '[^A-Za-z]+' || ws[2] || '[^A-Za-z]+' || ws[3] AS pattern FROM "
                "(SELECT item_id, regexp_extract_all(text, '[A-Za-z]{2,}') AS ws FROM benchmark) WHERE len(ws) >= 3)")
 
 

@@ -50,9 +50,13 @@ for _rule in ("ast_dangerous_call", "ast_sql_injection", "ast_shell_true", "ast_
     _local(_rule)
 
 
-@query("syntax_errors", expected("syntax_error", columns="file_id, rule_id, severity, line"))
+_PARSER_SAYS = f"said(template, text) AS (VALUES (33, 'invalid syntax'), (34, {sql_text("'(' was never closed")}))"
+
+
+@query("syntax_errors", f"WITH {expected_sql('syntax_error')}, {_PARSER_SAYS} "
+       "SELECT e.file_id, e.rule_id, e.severity, e.line, 'Syntax error: ' || text AS message FROM expected e JOIN code_files USING (file_id) JOIN said USING (template)")
 def syntax_errors(spark, sf_dir):
-    return N.syntax_error_issues(corpus_nodes(spark, sf_dir)).select("file_id", "rule_id", "severity", "line")
+    return shown(N.syntax_error_issues(corpus_nodes(spark, sf_dir)))
 
 
 def _bindings_sql():
@@ -118,7 +122,7 @@ def ast_redundant_compare(spark, sf_dir):
 
 def _listed(columns, rows):
     values = ", ".join("(" + ", ".join([str(r[0])] + [v if isinstance(v, str) and v.startswith("=") else
-                                                     (str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else sql_text(v))
+                                                     ("NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else sql_text(v))
                                                      for v in r[1:]]) + ")" for r in rows)
     return f"WITH {template_files_sql()}, b(template, {columns}) AS (VALUES {values}) SELECT file_id, {columns} FROM code_files JOIN b USING (template)"
 
@@ -132,16 +136,24 @@ def descendant_join(spark, sf_dir):
     return N.descendant_exits(corpus_nodes(spark, sf_dir)).select("file_id", "line", "has_exit", "endless")
 
 
-# Blocks with a jump: template, block owner's line of the first statement, and what the first jump is.
-@query("first_terminator", _listed("first_line, stop_idx, stop_kind", [
-    (15, 5, 1, "Return"), (15, 14, 0, "Raise"), (15, 17, 0, "Return"), (16, 3, 0, "Continue"), (16, 8, 0, "Break"),
-    (16, 11, 0, "Raise"), (16, 14, 0, "Raise"), (17, 5, 2, "Return"), (19, 8, 1, "Return"),
-    (13, 8, 1, "Return"), (25, 16, 1, "Return"), (31, 5, 1, "Return"), (31, 10, 1, "Return"), (36, 7, 1, "Return"), (37, 10, 1, "Return"), (37, 18, 1, "Return")]))
+# Statements of checked blocks: template, line, place in the block, place and kind of the block's first jump.  One function of
+# template 27 has 53 statements and no jump.
+_IN_BLOCKS = [
+    (13, 8, 0, 1, "Return"), (13, 9, 1, 1, "Return"), (15, 5, 0, 1, "Return"), (15, 6, 1, 1, "Return"), (15, 7, 2, 1, "Return"), (15, 8, 3, 1, "Return"),
+    (15, 12, 0, None, None), (15, 13, 1, None, None), (15, 14, 0, 0, "Raise"), (15, 15, 1, 0, "Raise"), (15, 17, 0, 0, "Return"), (15, 18, 1, 0, "Return"),
+    (16, 3, 0, 0, "Continue"), (16, 4, 1, 0, "Continue"), (16, 8, 0, 0, "Break"), (16, 9, 1, 0, "Break"), (16, 11, 0, 0, "Raise"), (16, 12, 1, 0, "Raise"),
+    (16, 14, 0, 0, "Raise"), (16, 15, 1, 0, "Raise"), (17, 5, 0, 2, "Return"), (17, 6, 1, 2, "Return"), (17, 8, 2, 2, "Return"),
+    (19, 5, 0, None, None), (19, 6, 1, None, None), (19, 10, 2, None, None), (19, 8, 0, 1, "Return"), (19, 9, 1, 1, "Return"),
+    (22, 11, 0, None, None), (22, 12, 1, None, None), (25, 16, 0, 1, "Return"), (25, 17, 1, 1, "Return"), (28, 6, 0, None, None), (28, 8, 1, None, None),
+    (31, 5, 0, 1, "Return"), (31, 6, 1, 1, "Return"), (31, 10, 0, 1, "Return"), (31, 11, 1, 1, "Return"), (36, 7, 0, 1, "Return"), (36, 8, 1, 1, "Return"),
+    (37, 10, 0, 1, "Return"), (37, 11, 1, 1, "Return"), (37, 18, 0, 1, "Return"), (37, 19, 1, 1, "Return")] + [(27, 5 + k, k, None, None) for k in range(53)]
+
+
+@query("first_terminator", _listed("line, idx, stop_idx, stop_kind", _IN_BLOCKS))
 def first_terminator(spark, sf_dir):
-    rows = N.first_terminator(corpus_nodes(spark, sf_dir)).where(F.col("stop").isNotNull())
-    return rows.groupBy("file_id", "parent_id", "field").agg(
-        F.min("line").alias("first_line"), F.first("stop").alias("stop")).select(
-        "file_id", "first_line", F.col("stop.idx").alias("stop_idx"), F.col("stop.kind").alias("stop_kind"))
+    """Every statement of a block with more than one, with the block's first jump if it has any."""
+    return N.first_terminator(corpus_nodes(spark, sf_dir)).select(
+        "file_id", "line", "idx", F.col("stop.idx").alias("stop_idx"), F.col("stop.kind").alias("stop_kind"))
 
 
 # Names bound more than once or never used: template, name, line of the last assignment, used.
@@ -166,16 +178,21 @@ def name_difference(spark, sf_dir):
     return N.called_but_unbound(corpus_nodes(spark, sf_dir))
 
 
-@query("module_symbols", _listed("imports, exports, classes, functions", [
-    (13, "kit.easy_get,base64", "fast_hash", "", "fast_hash"),
-    (25, "os", "public,Thing,method", "Thing", "public,method"),
-    (26, "", "getUserName,HTTPServer2,my_class,Good1", "my_class,Good1", "getUserName,HTTPServer2"),
-    (36, "", "Ünit,größe", "Ünit", "größe"),
-    (37, "os.path,os.path,sys", "Store,total,load", "Store", "total,load")]))
+# Templates that name something; the others that parse have four empty lists.
+_SYMBOLS = {
+    3: ("subprocess", "", "", ""), 4: ("os", "", "", ""),
+    10: ("ai_helper_kit,fast_parser_v3,lib77.x,my_utils_pack.sub,json,numpy,pathlib.Path,django_extra,leftpadlib", "", "", ""),
+    11: ("smart_one,json,os,quick_one", "", "", ""), 13: ("kit.easy_get,base64", "fast_hash", "", "fast_hash"), 15: ("", "done,fail", "", "done,fail"),
+    17: ("", "pick", "", "pick"), 19: ("", "outer,inner", "", "outer,inner"), 25: ("os", "public,Thing,method", "Thing", "public,method"),
+    26: ("", "getUserName,HTTPServer2,my_class,Good1", "my_class,Good1", "getUserName,HTTPServer2"), 27: ("", "busy", "", "busy"),
+    31: ("", "add,keep", "", "add,keep"), 36: ("", "Ünit,größe", "Ünit", "größe"), 37: ("os.path,os.path,sys", "Store,total,load", "Store", "total,load")}
+_PARSED = [i for i, t in enumerate(TEMPLATES) if t.language == "python" and not any(issue[0] == "syntax_error" for issue in t.issues)]
+
+
+@query("module_symbols", _listed("imports, exports, classes, functions", [(i, *_SYMBOLS.get(i, ("", "", "", ""))) for i in _PARSED]))
 def module_symbols(spark, sf_dir):
     rows = N.module_symbols(corpus_nodes(spark, sf_dir))
-    kept = rows.where((F.size("imports") > 0) & (F.size("exports") > 0) | (F.size("classes") > 0))
-    return kept.select("file_id", *[F.array_join(c, ",").alias(c) for c in ("imports", "exports", "classes", "functions")])
+    return rows.select("file_id", *[F.array_join(c, ",").alias(c) for c in ("imports", "exports", "classes", "functions")])
 
 
 @query("function_signatures", _listed("name, line, params, returns", [

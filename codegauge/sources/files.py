@@ -35,10 +35,9 @@ def scan_files(spark: SparkSession, directory: str, pattern: str = "*.py") -> Da
 
 
 def scan_files_multilang(spark: SparkSession, directory: str) -> DataFrame:
-    """Files with one of the known extensions, in any letter case."""
-    names = "|".join(e[1:] for e in C.LANGUAGE_OF_EXTENSION)
-    files = scan_files(spark, directory, "*.*")
-    return files.where(F.lower("path").rlike(rf"[^/]\.(?:{names})$"))
+    """Files with one of the known extensions, in any letter case; others are left out while the directory is listed."""
+    names = ",".join("".join(f"[{c}{c.upper()}]" for c in e[1:]) for e in C.LANGUAGE_OF_EXTENSION)
+    return scan_files(spark, directory, f"?*.{{{names}}}")
 
 
 def scan_code_table(df: DataFrame, file_id: str, code: str, language: str = C.DEFAULT_LANGUAGE) -> DataFrame:
