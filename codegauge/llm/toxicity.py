@@ -108,25 +108,28 @@ class ToxicModel:
     def segments(self, places: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, float]]:
         """Every maximal-scoring segment (first token, behind last token, score), in order (Ruzzo and Tompa).
 
-        Runs of other tokens only lower the running total, so the scan steps from one positive token to the next.
+        Runs of other tokens only lower the running total, so the scan steps from one positive token to the next.  Each
+        candidate links to the nearest one before it whose total before is smaller; the search for a place to join
+        follows those links, which keeps the scan linear.
         """
-        stack: list[tuple[int, int, float, float]] = []    # start, end, total before, total behind
+        stack: list[tuple[int, int, float, float, int]] = []    # start, end, total before, total behind, link
         total, last = 0.0, None
         for place, score in zip(places.tolist(), scores.tolist()):
             if last is not None:
                 total += self.rest * (place - last - 1)
             low, total, last = total, total + score, place
             start, high = place, total
+            k = len(stack) - 1
             while True:
-                k = len(stack) - 1
                 while k >= 0 and stack[k][2] >= low:
-                    k -= 1
+                    k = stack[k][4]
                 if k < 0 or stack[k][3] >= high:
                     break
-                start, low = stack[k][0], stack[k][2]
+                start, _, low, _, before = stack[k]
                 del stack[k:]
-            stack.append((start, place + 1, low, high))
-        return [(s, e, high - low) for s, e, low, high in stack]
+                k = before
+            stack.append((start, place + 1, low, high, k))
+        return [(s, e, high - low) for s, e, low, high, _ in stack]
 
     def evidence(self, segments: list[tuple[int, int, float]], length: int) -> float:
         """Sum of -ln(expected chance segments of this score or more) over the significant segments."""

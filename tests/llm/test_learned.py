@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -100,6 +101,16 @@ def test_segments_are_all_maximal_ones():
         assert np.allclose([s for *_, s in found], [s for *_, s in expected])
 
 
+def test_segments_of_many_single_hits_are_found_in_linear_time():
+    model = ToxicModel([], [], -0.7, 1.0, 1.0, 0.0, 1.0)
+    n = 1_000_000
+    begun = time.process_time()
+    apart = model.segments(np.arange(n, dtype=np.int64) * 10, np.full(n, 1.0))
+    rising = model.segments(np.arange(n, dtype=np.int64) * 2, np.full(n, 1.0))
+    assert time.process_time() - begun < 20
+    assert len(apart) == n and [(a, b) for a, b, _ in rising] == [(0, 2 * n - 1)]
+
+
 def labels(spark, rows):
     return spark.createDataFrame([(i, q, t, "clash") for i, q, t in rows], LABELS)
 
