@@ -15,7 +15,7 @@ TAG_GROUPS = {name: n for n, names in enumerate((
 GROUPS = max(TAG_GROUPS.values()) + 1
 _BLOCK = set(TAG_GROUPS) - {"#text"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "template", "svg", "math", "object", "xmp", "noframes", "canvas", "audio", "video"}
+_RAW = {"script", "style", "title", "textarea", "iframe", "template", "svg", "xmp", "noframes"}
 _IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template"}
 _HTML_SPACE = " \t\n\f\r"
 # an opening tag closes these, up to the nearest of those
@@ -27,8 +27,9 @@ _CLOSES = {
 }
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+    # a quote opens a value only right behind an equals sign; an unquoted value ends at white space or the tag's end
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)*+)(?:>|\Z)", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _NAMES = {"class", "id", "role", "aria-label", "itemprop", "data-testid", "data-component", "data-role"}
 
@@ -49,7 +50,7 @@ CUES = (
     ("article", "content", "post", "entry", "main", "story", "text", "prose", "articlebody", "body", "page", "maincontent"),
     ("meta", "byline", "author", "date", "tags", "tag", "categories", "bio", "timestamp", "info"),
 )
-CONTENT_CUE = 10
+NOTICE_CUE, CONTENT_CUE = 5, 10
 _CUE_OF = {word: n for n, words in enumerate(CUES) for word in words}
 
 
@@ -143,7 +144,7 @@ def parse(page: str, known: dict[str, int]) -> Tree:
                 if in_head:
                     pieces.clear()
                 in_head = False
-            elif tag in _BLOCK:
+            elif tag in _BLOCK or (tag, owner) in stack:
                 flush()
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
@@ -196,6 +197,10 @@ def parse(page: str, known: dict[str, int]) -> Tree:
                 continue
             owner = tree.add(owner, TAG_GROUPS[tag], attribute_cues(m[3], known))
             stack.append((tag, owner))
+        elif tag == "noscript" and owner == root and not in_head:      # what a whole page says to those without scripts
+            flush()
+            owner = tree.add(owner, TAG_GROUPS["details"], attribute_cues(m[3], known) | 1 << NOTICE_CUE)
+            stack.append((tag, owner))
         else:
             anchors += tag == "a"
             stack.append((tag, -1))

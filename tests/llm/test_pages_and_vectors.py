@@ -39,6 +39,26 @@ def test_head_without_end_and_body_tags():
     assert said("<p>before<head><title>t</title></head>after") == ["beforeafter"]
 
 
+def test_attributes_end_where_they_end():
+    def said(page):
+        return [t for t in parse(page, {}).text if t]
+    assert said("<article><p data-x=it's>Hello one two three.</p><p>It's me and text</p></article>") == ["Hello one two three.", "It's me and text"]
+    assert said('<p title="a"">first words</p><p>more</p>') == ["first words", "more"]
+    assert said("<p title='a>b' x = \"c>d\" y=a\"b>one</p>") == ["one"]
+    assert said('<p "quoted" \'name\'>two</p><p class=>three</p>') == ["two", "three"]
+    assert said("<p>four <a href=x title=\"open > to the end") == ["four"]
+
+
+def test_content_of_embedded_elements_stays():
+    def said(page):
+        return [t for t in parse(page, {}).text if t]
+    assert said("<p>b <object>fall back</object> and <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>") == ["b fall back and x=1"]
+    assert said("<p>see <video src=x>no video</video>, <canvas>a chart</canvas>, <noscript>plain</noscript>.</p>") == ["see no video, a chart, plain."]
+    assert said("<noscript>Switch scripts on</noscript><p>text</p>") == ["Switch scripts on", "text"]
+    page = "<body><noscript>Please switch scripts on.</noscript><article><h1>A title of words</h1><p>Text with a <math><mi>y</mi></math> in it, and some more words.</p></article></body>"
+    assert page_texts([page], trained(), {})[0] == "A title of words\nText with a y in it, and some more words."
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(1)
     weights = Weights(rng.normal(size=NODE_FEATURES), rng.normal(size=(EDGE_FEATURES, 2, 2)))
