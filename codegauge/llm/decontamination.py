@@ -178,7 +178,12 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; all columns as they are."""
+    """The rows of ``docs`` (doc_id, text, ...) that hold no benchmark item at ``threshold``; all columns as they are.
+
+    Rows are judged one by one: rows with a null or repeated ``doc_id`` like any other.  Null, empty and wordless texts hold
+    nothing and stay, as everything does if the benchmark is empty or wordless; an empty table gives no rows.  A text of
+    any length is judged whole.  Each block of the benchmark is a pass of its own over what the one before kept, so one block is held at a time.
+    """
     kinds: T.StructType = docs.schema
 
     def clean(block: Block):
@@ -194,6 +199,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                         bad.add(text)
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
         return run
-    for block in blocks(benchmark):
-        docs = docs.mapInArrow(clean(block), kinds)
+    for number, block in enumerate(blocks(benchmark)):
+        docs = (stage(docs, "clean") if number else docs).mapInArrow(clean(block), kinds)
     return docs

@@ -1,5 +1,6 @@
 import collections
 
+import codegauge.llm.decontamination as D
 from codegauge.llm.decontamination import Block, blocks, contained_items, drop_contaminated
 from tests.conftest import SMALL
 from tests.llm import helpers as H
@@ -65,6 +66,16 @@ def test_blocks_hold_every_item_and_agree_with_one(spark):
     assert Block.build([1], [""]).keys.tolist() == []
 
 
+def test_rows_are_cleaned_block_by_block(spark, monkeypatch):
+    rng = H.seeded(10)
+    bench = [(k, H.gibberish(rng, 20)) for k in range(12)]
+    docs = [(k, H.gibberish(rng, 50) + (" " + bench[k % 12][1] if k % 3 else "")) for k in range(40)]
+    whole = D.blocks
+    monkeypatch.setattr(D, "blocks", lambda benchmark: whole(benchmark, 60))
+    assert len(list(D.blocks(items(spark, bench)))) > 2
+    assert {r["doc_id"] for r in drop_contaminated(H.docs(spark, docs), items(spark, bench)).collect()} == {k for k in range(40) if k % 3 == 0}
+
+
 def test_whole_table(spark):
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     expected = brute([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in bench.collect()])
