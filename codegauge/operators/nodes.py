@@ -21,6 +21,7 @@ from codegauge import constants as C
 from codegauge.functions import scalars as S
 from codegauge.functions.syntax import ERROR_KIND
 from codegauge.operators.lines import CHECK_STEP, MAJOR_STEP, constant_table, one_of, search
+from codegauge.session import scratch_path
 
 JUMPS = ["Return", "Raise", "Break", "Continue"]
 EXITS = ["Break", "Return", "Raise"]
@@ -210,7 +211,7 @@ def local_issues(nodes: DataFrame, only: Sequence[str] | None = None) -> DataFra
     constant table and filled in for those rows alone, which keeps the code run for every node small.
     """
     rules = [r for r in _local_rules() if only is None or r.rule_id in only]
-    numbers = F.explode(_rule_numbers(rules)).alias("rule_no")
+    numbers = F.explode("rule_nos" if "rule_nos" in nodes.columns else _rule_numbers(rules)).alias("rule_no")
     kept = ["file_id", "node_id", "parent_id", "gp_id", "pre", "idx", "line", "p_line", "gp_line", "end_line", "kind", "name",
             "gp_name", "nest"]
     meta = constant_table([
@@ -246,7 +247,7 @@ def local_issues(nodes: DataFrame, only: Sequence[str] | None = None) -> DataFra
 # --- parse errors -------------------------------------------------------------------------------------------
 
 def parse_errors(nodes: DataFrame) -> DataFrame:
-    return nodes.where(c("kind") == ERROR_KIND).select("file_id", c("name").alias("msg"), "line")
+    return _for(nodes, "error").where(c("kind") == ERROR_KIND).select("file_id", c("name").alias("msg"), "line")
 
 
 def syntax_error_issues(nodes: DataFrame) -> DataFrame:
@@ -302,6 +303,16 @@ def import_issues(bindings: DataFrame, known: DataFrame | None = None) -> DataFr
     return unknown.select("file_id", issue.alias("i")).where(c("i").isNotNull()).select("file_id", "i.*")
 
 
+def _invented_call() -> Column:
+    return (c("kind") == "Call") & c("func_is_name") & search(F.lower("name"), "|".join(C.SUSPICIOUS_CALL_PATTERNS))
+
+
+def _names() -> Column:
+    """Rows that bind, use or suspiciously call a name."""
+    return (_assigned_name() | ((c("kind") == "Name") & (c("ctx") == "Load")) | c("kind").isin("FunctionDef", "ClassDef", "alias")
+            | F.coalesce(_invented_call(), F.lit(False)))
+
+
 def symbols(nodes: DataFrame) -> DataFrame:
     """One row per (file, name): how the name is bound, used and called.
 
@@ -313,8 +324,7 @@ def symbols(nodes: DataFrame) -> DataFrame:
     loaded = (kind == "Name") & (c("ctx") == "Load")
     defined = kind.isin("FunctionDef", "ClassDef")
     imported = kind == "alias"
-    invented = search(F.lower("name"), "|".join(C.SUSPICIOUS_CALL_PATTERNS))
-    call = (kind == "Call") & c("func_is_name") & invented
+    call = _invented_call()
     full = F.when(c("module").isNotNull(), F.concat_ws(".", "module", "name")).otherwise(c("name"))
     facts = nodes.where(assigned | loaded | defined | imported | call).select(
         "file_id",
@@ -405,6 +415,11 @@ def unreachable_issues(nodes: DataFrame) -> DataFrame:
         "file_id", issue.alias("i")).select("file_id", "i.*")
 
 
+def _true_test() -> Column:
+    return ((c("kind") == "Constant") & (c("field") == "test") & (c("p_kind") == "While")
+            & (c("const_type") == "bool") & c("const_truthy"))
+
+
 def descendant_exits(nodes: DataFrame) -> DataFrame:
     """For every ``while`` loop: is there a Break/Return/Raise anywhere below it, and is its test ``True``.
 
@@ -414,8 +429,7 @@ def descendant_exits(nodes: DataFrame) -> DataFrame:
     after = Window.partitionBy("file_id").orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
     is_loop = c("kind") == "While"
     is_exit = c("kind").isin(EXITS)
-    true_test = ((c("kind") == "Constant") & (c("field") == "test") & (c("p_kind") == "While")
-                 & (c("const_type") == "bool") & c("const_truthy"))
+    true_test = _true_test()
     marks = nodes.where(is_loop | is_exit | true_test).select(
         "file_id", "node_id", "pre", "post", "line", is_loop.alias("is_loop"),
         F.when(is_exit, c("pre")).alias("exit_pre"),
@@ -439,11 +453,17 @@ def infinite_loop_issues(nodes: DataFrame) -> DataFrame:
         "file_id", issue.alias("i")).select("file_id", "i.*")
 
 
-def redundant_compare_issues(nodes: DataFrame) -> DataFrame:
-    """``x == x`` and ``x != x``: a comparison and its two name operands meet on the comparison's id."""
+def _compared() -> tuple[Column, Column]:
+    """A comparison that may be redundant, and a name that is a side of a comparison."""
     compare = (c("kind") == "Compare") & (c("n_ops") == 1) & c("op").isin("Eq", "NotEq")
     operand = (c("kind") == "Name") & (c("p_kind") == "Compare") & (
         (c("field") == "left") | ((c("field") == "comparators") & (c("idx") == 0)))
+    return compare, operand
+
+
+def redundant_compare_issues(nodes: DataFrame) -> DataFrame:
+    """``x == x`` and ``x != x``: a comparison and its two name operands meet on the comparison's id."""
+    compare, operand = _compared()
     sides = nodes.where(compare | operand).select(
         "file_id", F.when(operand, c("parent_id")).otherwise(c("node_id")).alias("at"),
         F.when(compare, c("op")).alias("op"), F.when(compare, c("line")).alias("line"),
@@ -498,24 +518,73 @@ def function_signatures(nodes: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list("param")), lambda p: p["v"]).alias("params"))
 
 
-# --- everything ---------------------------------------------------------------------------------------------
+# --- one parse, one narrow table ----------------------------------------------------------------------------
+
+def _uses() -> dict[str, tuple[Column, list[str]]]:
+    """Which rows each group of rules reads, and of them which columns."""
+    kind = c("kind")
+    compare, operand = _compared()
+    return {
+        "hit": (F.size("rule_nos") > 0, ["rule_nos", "node_id", "parent_id", "gp_id", "pre", "idx", "line", "p_line", "gp_line", "end_line",
+                                         "kind", "name", "gp_name", "nest"]),
+        "name": (_names(), ["node_id", "kind", "field", "p_kind", "ctx", "func_is_name", "name", "asname", "module", "p_line", "line"]),
+        "block": (_checked_block() & (c("n_siblings") > 1), [
+            "node_id", "parent_id", "gp_id", "field", "idx", "n_siblings", "kind", "p_kind", "gp_kind", "line"]),
+        "loop": ((kind == "While") | kind.isin(EXITS) | _true_test(), [
+            "node_id", "kind", "field", "p_kind", "const_type", "const_truthy", "pre", "post", "line"]),
+        "compare": (compare | operand, ["node_id", "parent_id", "kind", "p_kind", "field", "idx", "n_ops", "op", "name", "line"]),
+        "error": (kind == ERROR_KIND, ["kind", "name", "line"]),
+    }
+
+
+def staged_facts(nodes: DataFrame) -> DataFrame:
+    """What the syntax rules read of ``nodes``, worked out in the pass that parses and written by use.
+
+    Rules that one row decides are decided here, so of those rows only the few with an issue are kept; the other rules keep the
+    rows and columns they read.  ``use`` is the folder, so a rule reads its own rows alone; columns of other uses are
+    null.  The result stands for the node table in ``syntax_issues`` and ``parse_errors``.
+    """
+    spark = nodes.sparkSession
+    rules = _rule_numbers(_local_rules())
+    numbered = nodes.withColumn("rule_nos", F.array_compact(F.coalesce(rules, F.array().cast("array<int>"))))
+    uses = _uses()
+    # a load counts once for its file and name anyway: its place is left out, so equal rows pack well
+    load = (c("kind") == "Name") & (c("ctx") == "Load")
+    tagged = numbered.withColumn("use", F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(use)) for use, (cond, _) in uses.items()]))))
+    columns = list(dict.fromkeys(x for _, names in uses.values() for x in names))
+
+    def slim(name: str) -> Column:
+        keep = c("use").isin(*[use for use, (_, names) in uses.items() if name in names])
+        if name in ("node_id", "p_line", "line", "field", "p_kind"):
+            keep = keep & ~((c("use") == "name") & load)
+        return F.when(keep, c(name)).alias(name)
+
+    facts = tagged.select("file_id", *[slim(n) for n in columns], "use")
+    path = scratch_path(spark, "facts")
+    facts.write.partitionBy("use").parquet(path)
+    return spark.read.schema(facts.schema).parquet(path)
+
+
+def _for(nodes: DataFrame, use: str) -> DataFrame:
+    return nodes.where(c("use") == use) if "use" in nodes.columns else nodes
+
 
 def syntax_issues(nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Issues of every syntax rule.
 
-    ``nodes`` feeds five branches; pass a staged table (see ``codegauge.session.stage``) so that texts are
-    parsed once and each branch reads only the columns it needs.
+    ``nodes`` feeds six branches; pass ``staged_facts`` of the node table, or the staged table itself, so that texts
+    are parsed once and each branch reads only the columns it needs.
     """
-    table = symbols(nodes)
+    table = symbols(_for(nodes, "name"))
     parts = [
-        local_issues(nodes),
+        local_issues(_for(nodes, "hit")),
         syntax_error_issues(nodes),
         import_issues(symbol_import_bindings(table), known),
         undefined_call_issues(table),
         unused_variable_issues(table),
-        unreachable_issues(nodes),
-        infinite_loop_issues(nodes),
-        redundant_compare_issues(nodes),
+        unreachable_issues(_for(nodes, "block")),
+        infinite_loop_issues(_for(nodes, "loop")),
+        redundant_compare_issues(_for(nodes, "compare")),
     ]
     out = parts[0]
     for part in parts[1:]:

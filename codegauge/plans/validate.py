@@ -65,8 +65,8 @@ def validate(files: DataFrame, overrides: Mapping[str, Mapping] | None = None, *
              staged: bool = True) -> Validation:
     """Score ``files(file_id, path, language, code)``.
 
-    Python texts are parsed once into the node table (``nodes`` if the caller has it already), TypeScript and
-    JavaScript take the line rules.  With ``staged`` the node table and the issues are written to the shared
+    Python texts are parsed once (``nodes`` if the caller has the node table already), TypeScript and
+    JavaScript take the line rules.  With ``staged`` what the rules need of the parse, and the issues, are written to the shared
     folder, so their several readers do not repeat the parse or the scan.
     """
     weights = scoring.effective_config(overrides)
@@ -74,7 +74,7 @@ def validate(files: DataFrame, overrides: Mapping[str, Mapping] | None = None, *
     python = files.where(F.col("language") == "python")
     script = files.where(F.col("language").isin("javascript", "typescript"))
     if nodes is None:
-        nodes = keep(ast_nodes(python), "nodes")
+        nodes = N.staged_facts(ast_nodes(python)) if staged else ast_nodes(python)
     issues = python_issues(python, nodes, weights, extra_packs, known).unionByName(javascript_issues(script))
     if extra_issues is not None:
         issues = issues.unionByName(extra_issues)

@@ -1,7 +1,9 @@
 """Line and syntax rules against plain Python on small fixtures."""
 
 import ast
+import os
 import re
+import urllib.parse
 
 import pytest
 from hypothesis import given, settings
@@ -195,3 +197,16 @@ print("SCORE", validate(files).results.first()["trust_score"])
 """
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "SCORE" in out.stdout, out.stderr[-2000:]
+
+
+def test_staged_facts_hold_what_the_rules_read(spark):
+    """The narrow table gives the issues of the whole node table, in fewer bytes than the sources."""
+    files = corpus.code_files(spark.range(0, 2_000, 1, 1).select(F.col("id").alias("p_partkey"))).where("language = 'python'")
+    nodes = ast_nodes(files)
+    facts = N.staged_facts(nodes)
+    order = ["file_id", "rule_id", "line", "message", "seq"]
+    want = sorted(map(str, N.syntax_issues(nodes).select(*order).collect()))
+    assert sorted(map(str, N.syntax_issues(facts).select(*order).collect())) == want and len(want) > 500
+    assert {r.use for r in facts.select("use").distinct().collect()} == {"hit", "name", "block", "loop", "compare", "error"}
+    staged = sum(os.path.getsize(urllib.parse.urlparse(path).path) for path in facts.inputFiles())
+    assert staged < files.agg(F.sum(F.octet_length("code"))).first()[0]
