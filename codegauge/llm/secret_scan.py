@@ -1,7 +1,7 @@
 """Secret scans through nested encodings.
 
 Each text starts a worklist with itself as the only layer.  A layer is scanned, then unwrapped in every way that
-applies: URL escapes, Unicode escapes, base64, and compressed streams inside any of these.  Whatever comes out and
+applies: URL escapes, Unicode escapes, two-byte characters, base64, and compressed streams inside any of these.  Whatever comes out and
 was not seen before in this text joins the worklist, until nothing new appears; so cycles end, and the depth has
 no limit.  Every layer knows for each of its characters the span of the original text it came from, and a secret
 found in a layer is reported at the original span of its characters.
@@ -42,10 +42,15 @@ _ONE_UNICODE = re.compile(r"(?:\\u\{|\\u|\\U|\\x|%u|&#[xX])([0-9A-Fa-f]+)[};]?|&
 #: Runs over several lines, of any width and with any indent.
 _BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+")
 _WORD = re.compile(r"[A-Za-z0-9+/_-]+")
+#: ASCII text in two-byte characters, either byte first; the zero bytes stand in the layer as characters.
+_WIDE = re.compile(r"(?:[\t\n\r -~]\0){8,}|(?:\0[\t\n\r -~]){8,}")
+_SEPARATOR = re.compile(r"[+/_-]")
 _STANDARD = str.maketrans("-_", "+/")
 #: Decompressed content is scanned in pieces of this many bytes, each with the end of the one before it.
 PIECE_BYTES, OVERLAP = 8 << 20, 2 << 20
 _INPUT_BYTES = 64 << 10
+#: Characters by which a stream behind a separator is known.
+_HEAD_CHARS = 128
 _BROKEN = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError)
 
 
@@ -176,7 +181,20 @@ def _promising(text: str) -> bool:
     """Whether unprintable text can hold a secret or a further layer."""
     folded = text.lower()
     return ("%" in text or "\\" in text or "&#" in text or "\n" in text or "AKIA" in text
-            or any(name in folded for name in _NAMES) or _RUN.search(text) is not None)
+            or any(name in folded for name in _NAMES) or _RUN.search(text) is not None
+            or "\0" in text and _WIDE.search(text) is not None)
+
+
+def _begins_stream(raw: str) -> bool:
+    """Whether these first characters of a base64 run open a compressed stream that does not break off at once."""
+    if opened(_decoded(raw[:8]) or b"") is None:
+        return False
+    data = _decoded(raw[:_HEAD_CHARS])
+    try:
+        opened(data).decompress(data)
+    except _BROKEN:
+        return False
+    return True
 
 
 class Unwrapper:
@@ -210,6 +228,10 @@ class Unwrapper:
             self._escapes(text, layer, _URL, self._url)
         if "\\" in text or "&#" in text or "%u" in text:
             self._escapes(text, layer, _UNICODE, self._unicode)
+        if "\0" in text:
+            for m in _WIDE.finditer(text):
+                start, end = self._inside(layer, m.start(), m.end())
+                self._push(m[0].replace("\0", ""), start[0::2], end[1::2], None)
         runs = self.runs if layer is None else _runs(text)
         done = 0
         blocks = [m.span() for m in _BLOCK.finditer(text) if m.end() - m.start() >= 16] if "\n" in text else []
@@ -223,6 +245,22 @@ class Unwrapper:
                 for m in re.finditer(r"[A-Za-z0-9]{16,}", text[a:b]):
                     if m.end() - m.start() < b - a:
                         self._base64(text, layer, np.arange(a + m.start(), a + m.end()), m[0])
+                self._behind_prefix(text, layer, a, b)
+
+    def _behind_prefix(self, text: str, layer: Layer | None, a: int, b: int) -> None:
+        """Read a run again without what stands before its code.
+
+        Bytes that start at any separator are among those of the first separator at the same place of a group of
+        four, so each place is tried once; a compressed stream must begin where the bytes do, so all separators
+        are looked at for one.
+        """
+        tried = {0}
+        for m in _SEPARATOR.finditer(text, a, b - 16):
+            at = m.end()
+            fits = (at - a) % 4 not in tried
+            if fits or _begins_stream(text[at:min(b, at + _HEAD_CHARS)]):
+                tried.add((at - a) % 4)
+                self._base64(text, layer, np.arange(at, b), text[at:b])
 
     def _lines(self, text: str, layer: Layer | None, a: int, b: int) -> bool:
         """Read a block of lines as one run, from its first line to its end; true if that gives text or a stream.
@@ -413,8 +451,9 @@ def scan_secrets(docs: DataFrame, max_stream_bytes: int | None = None) -> DataFr
     n_assign, n_access, n_hex and base_sha256 speak of the text as given; ``spans`` lists those and what the decoded
     layers add, as ``kind:start:end`` in code points of the original text, by start, kind and end.  A secret of a
     decoded layer is listed if at least one of its characters was decoded; one inside a compressed stream has the
-    span of the whole stream.  Bytes out of base64 are scanned whatever they are, as UTF-8 or else Latin-1; runs join
-    over line ends and indents.  A null text is empty; a row with a null or repeated ``doc_id`` is scanned like any
+    span of the whole stream.  Bytes out of base64 are scanned whatever they are, as UTF-8 or else Latin-1, and eight or more
+    ASCII characters of two bytes each (UTF-16) as what they spell; runs join over line ends and indents, and are read
+    again from behind a prefix that ends in one of ``+/_-``.  A null text is empty; a row with a null or repeated ``doc_id`` is scanned like any
     other.  Compressed streams are read to their end, with those that follow, in pieces of 8 MB that overlap by 2 MB,
     so an encoded run of more than 2 MB can fall apart at the edge of a piece; its parts are scanned.  A number for
     ``max_stream_bytes`` bounds the content of each stream, and ``n_cut`` counts those that are longer.

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import lzma
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -144,3 +145,36 @@ def test_streams_are_read_to_the_last_member(squeeze):
                  squeeze(b"\0" * 70_000_000 + SECRET.encode()), squeeze(b"x " * 4_194_300 + b"password" + b" " * 9_000_000 + b"= hunter2hunter2")):
         one = Unwrapper(b64(data), None)
         assert [k for _, k, _ in one.found] == [0] and one.cut == 0
+
+
+@pytest.mark.parametrize("prefix", ["id-", "key_", "a/b/", "x+", "some-id_", "f/"])
+@pytest.mark.parametrize("inside", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, bytes])
+@pytest.mark.parametrize("filler", range(4))
+def test_code_behind_a_prefix(prefix, inside, filler):
+    code = b64(inside(("~?>" * 9 + "y" * filler + SECRET).encode()))
+    text = f"see {prefix}{code.rstrip('=')} there"
+    found = Unwrapper(text, MOST).found
+    start = len(f"see {prefix}")
+    assert found and all(kind == 0 and a >= start and b <= start + len(code) for a, kind, b in found)
+
+
+@pytest.mark.parametrize("code", ["utf-16", "utf-16-le", "utf-16-be"])
+@pytest.mark.parametrize("way", [b64, lambda d: b64(gzip.compress(d)), lambda d: "".join(f"%{b:02x}" for b in d), lambda d: b64(b64(d).encode("utf-16"))])
+def test_two_byte_characters(code, way):
+    text = "run " + way(f"größe ünder {SECRET} ok".encode(code)) + " now"
+    found = Unwrapper(text, MOST).found
+    assert found and all(kind == 0 and 4 <= a < b <= len(text) - 4 for a, kind, b in found)
+
+
+@pytest.mark.parametrize("code", ["utf-16-le", "utf-16-be"])
+def test_place_of_two_byte_characters(code):
+    lead = "x" * 10
+    text = "".join(f"%{b:02x}" for b in (lead + SECRET).encode(code))
+    assert Unwrapper(text, MOST).found == {(len(lead) * 6, 0, len(lead + SECRET.rstrip('"')) * 6)}
+
+
+def test_many_separators_are_read_in_linear_time():
+    text = "-eJwx_H4sI/QlpoO+KLUv" * 20_000
+    started = time.perf_counter()
+    assert Unwrapper(text, MOST).found == set()
+    assert time.perf_counter() - started < 20
