@@ -28,30 +28,33 @@ _ALL = _FIRST[RUN] + (1 << 24)
 
 def _runs(bitmap: np.ndarray | None):
     """Arrow function: the distinct runs of each text, those of the bitmap, or, without one, those it can be listed under."""
+    kinds = [size for size in range(1, RUN + 1) if bitmap is None or bitmap[_FIRST[size] // 8:(_FIRST[size] + 256 ** size) // 8].any()]
+
     def of(texts: pa.Array) -> pa.Array:
         texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
         data = texts.buffers()[2]
-        data = np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]].astype(np.int64) if data is not None and len(offsets) else np.zeros(0, dtype=np.int64)
-        ends = np.repeat(offsets[1:] - offsets[0], np.diff(offsets))
-        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        sizes = np.diff(offsets)[owner]
+        data = np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]] if data is not None and len(offsets) else np.zeros(0, dtype=np.uint8)
+        offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, dtype=np.int64)
         found, whose = [], []
-        for size in range(1, RUN + 1):
-            at = np.arange(max(0, len(data) - size + 1))
-            at = at[at + size <= ends[at]]
-            if bitmap is None:      # a text shorter than a run is listed under all of it
-                at = at[sizes[at] >= RUN] if size == RUN else at[sizes[at] == size]
-            number = np.zeros(len(at), dtype=np.int64)
+        for size in kinds:
+            places = max(0, len(data) - size + 1)
+            number = np.zeros(places, dtype=np.int32)
             for k in range(size):
-                number = number * 256 + data[at + k]
+                number = (number << 8) | data[k:k + places]
             number += _FIRST[size]
-            if bitmap is not None:
-                held = bitmap[number]
-                at, number = at[held], number[held]
-            found.append(number)
-            whose.append(owner[at])
-        pairs = np.unique(np.concatenate(whose) * _ALL + np.concatenate(found))
+            if bitmap is None:
+                at = np.arange(places)
+            else:
+                at = np.flatnonzero((bitmap[number >> 3] >> (number & 7).astype(np.uint8)) & 1)
+            owner = np.searchsorted(offsets, at, side="right") - 1
+            inside = at + size <= offsets[owner + 1]
+            if bitmap is None:      # a text shorter than a run is listed under all of it
+                length = offsets[owner + 1] - offsets[owner]
+                inside &= length >= RUN if size == RUN else length == size
+            found.append(number[at[inside]].astype(np.int64))
+            whose.append(owner[inside])
+        pairs = np.unique(np.concatenate(whose) * _ALL + np.concatenate(found)) if kinds else np.zeros(0, dtype=np.int64)
         cuts = np.searchsorted(pairs // _ALL, np.arange(len(texts) + 1))
         return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array((pairs % _ALL).astype(np.int32)))
     return of
@@ -71,13 +74,13 @@ def listed(needles: DataFrame, literal: str) -> DataFrame:
 
 
 def _bitmap(index: DataFrame) -> np.ndarray:
-    """Which runs are listed: rows of 64 bits, some 260,000 at most."""
+    """Which runs are listed, one bit each: rows of 64 bits, some 260,000 at most."""
     word = F.call_function("shiftright", F.col("run__"), F.lit(6))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("run__").bitwiseAND(63))
     rows = index.groupBy(word.alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
     words = np.zeros(_ALL // 64 + 1, dtype=np.int64)
     words[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
-    return np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
+    return words.view(np.uint8)
 
 
 def holding(rows: DataFrame, text: str, needles: DataFrame, literal: str) -> DataFrame:
@@ -152,7 +155,8 @@ def pattern_matches(lines: DataFrame, rules: DataFrame, text: str = "line") -> D
     if rest.limit(1).count():
         everywhere = F.lit(0)
         met = met.unionByName(lines.withColumn("all__", everywhere).join(rest.withColumn("all__", everywhere), "all__").drop("all__"))
-    return met.where(F.regexp_like(text, whole_pattern(F.col("pattern")))).drop("needs__")
+    # unlike a plain match, the place of a match keeps a column's last pattern compiled from row to row
+    return met.where(F.regexp_instr(text, whole_pattern(F.col("pattern"))) > 0).drop("needs__")
 
 
 def _ship_by_value() -> None:
