@@ -24,6 +24,8 @@ from codegauge.llm.words import U, split_words, windows
 WINDOW = 13
 BATCH_BYTES = 6 << 20
 BUCKET_BYTES = 16 << 20
+#: Text of a task, for tables so large that the session's number of partitions would mean more.
+TASK_BYTES = 64 << 20
 
 _ENTRIES = "bucket int, batch long, hashes binary, ids binary, counts binary"
 _ANSWERS = "batch long, bucket int, bits binary"
@@ -161,14 +163,15 @@ def remove_repeated_windows(docs: DataFrame, length: int = WINDOW, with_text: bo
     """
     spark = docs.sparkSession
     size = text_bytes(docs)
+    tasks = parts_for(size, TASK_BYTES, shuffle_partitions(spark))
     batches = parts_for(size, BATCH_BYTES)
     buckets = parts_for(size, BUCKET_BYTES, shuffle_partitions(spark))
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     dealt = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-        F.pmod(key, F.lit(batches)).alias("batch")).repartition(shuffle_partitions(spark), "batch")
-    entries = dealt.groupBy("batch").applyInArrow(_entries(length, buckets), _ENTRIES)
-    answers = entries.groupBy("bucket").applyInArrow(_answers, _ANSWERS)
+        F.pmod(key, F.lit(batches)).alias("batch")).repartition(tasks, "batch")
+    entries = dealt.groupBy("batch").applyInArrow(_entries(length, buckets), _ENTRIES).repartition(tasks, "bucket")
+    answers = entries.groupBy("bucket").applyInArrow(_answers, _ANSWERS).repartition(tasks, "batch")
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
         _cut(length, buckets, with_text),
         "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
