@@ -15,9 +15,10 @@ from codegauge.session import stage
 def issue_lines(issues: DataFrame, lines: DataFrame) -> DataFrame:
     """Issues with the text of their line, empty when the issue has no line or the line does not exist.
 
-    The line side shuffles by (file_id, line), so one very long file spreads over all tasks.
+    Both sides shuffle by (file_id, line), so one very long file spreads over all tasks.  The lines are never broadcast:
+    Spark takes them to be as small as the table that their texts are made from.
     """
-    text = lines.select("file_id", F.col("line_no").alias("line"), F.col("line").alias("original"))
+    text = lines.select("file_id", F.col("line_no").alias("line"), F.col("line").alias("original")).hint("merge")
     return issues.join(text, ["file_id", "line"], "left").withColumn("original", F.coalesce("original", F.lit("")))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codegauge.functions import scalars as S
-from codegauge.operators import history as H, modules as M, reuse, scoring, skew, watch
+from codegauge.operators import fixes as X, history as H, lines as L, modules as M, reuse, scoring, skew, watch
 
 
 @pytest.fixture(scope="module")
@@ -281,3 +281,13 @@ def test_scratch_is_cleared_by_application(spark):
     assert os.path.isdir(own)
     clear_scratch(spark)
     assert not os.path.isdir(own)
+
+
+def test_issue_lines_are_never_broadcast(spark):
+    """Spark sizes the lines of made-up texts like the table of keys behind them, far below what they hold."""
+    files = spark.range(4).select(F.col("id").alias("file_id"), F.lit("a\nb\n\nd").alias("code"))
+    issues = spark.createDataFrame([(0, 2), (1, 4), (2, 9), (3, None), (7, 1), (None, 1), (0, 2)], "file_id long, line int")
+    joined = X.issue_lines(issues, L.code_lines(files))
+    got = sorted(((r.file_id, r.line, r.original) for r in joined.collect()), key=str)
+    assert got == sorted([(0, 2, "b"), (1, 4, "d"), (2, 9, ""), (3, None, ""), (7, 1, ""), (None, 1, ""), (0, 2, "b")], key=str)
+    assert "Broadcast" not in plan(joined)
