@@ -18,7 +18,7 @@ from codegauge.corpus import sql_text
 from codegauge.functions.syntax import ast_nodes
 from codegauge.operators import lines as L
 from codegauge.plans.validate import text_issues
-from codegauge.session import spread
+from codegauge.session import spread, spread_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2024-01-31 00:00:00"
@@ -107,7 +107,7 @@ DOC_TOTALS = DOC_ISSUES + ", " + DOC_FILES + """,
 # --- template corpus ------------------------------------------------------------------------------------------
 
 def corpus_files(spark: SparkSession, sf_dir: str, language: str | None = None) -> DataFrame:
-    files = corpus.code_files(spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey"))
+    files = corpus.code_files(spread_rows(table(spark, sf_dir, "part").select("p_partkey")))
     return files if language is None else files.where(F.col("language") == language)
 
 

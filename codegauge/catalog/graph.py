@@ -25,7 +25,7 @@ from codegauge.catalog.common import query, table
 from codegauge.functions.syntax import ast_nodes
 from codegauge.operators import modules as M
 from codegauge.plans.validate import validate
-from codegauge.session import spread, stage
+from codegauge.session import spread_rows, stage
 
 
 def graph_files(spark, sf_dir):
@@ -49,7 +49,7 @@ def graph_files(spark, sf_dir):
         .when(r == 7, say("import pkg_", g, "\nfrom nowhere_", g, " import x\n"))
         .when(r == 8, F.when(even, F.lit("import pkg_0\n")).otherwise(say("import mod_", k, "\n")))
         .otherwise(say("import pkg_", g, ".core as c\nimport broken_", k - 6, "\n")))
-    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(
+    return spread_rows(table(spark, sf_dir, "part").select("p_partkey")).select(
         k.alias("file_id"), path.alias("path"), F.lit("python").alias("language"), code.alias("code"))
 
 

@@ -79,8 +79,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """A plain table scan over at least as many tasks as the cluster runs at once, for work bound by CPU.
 
-    A table of any size has more splits than that already and is left as it is; only a small one, read as a
+    A table of whole texts has more splits than that already if it is large and is left as it is; only a small one, read as a
     few splits, is shuffled.  Meant for scans: asking a plan with joins for its partitions would run them.
     """
     slots = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(slots, key) if scan.rdd.getNumPartitions() < slots else scan
+
+
+ROWS_PER_TASK = 10_000
+
+
+def spread_rows(scan: DataFrame, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """A scan of keys alone, each of which stands for much work, dealt out over tasks of at most about ``rows`` rows.
+
+    Such a scan is too small in bytes for its splits to tell the work, and the cores that have reported so far may be
+    few.  The rows are counted (from the footers of the files) and dealt out in turn, so repeated and null keys spread as well.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(max(slots, -(-scan.count() // rows)))

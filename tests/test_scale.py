@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from codegauge.catalog.common import corpus_files
+from codegauge.catalog.graph import graph_files
 from codegauge.functions import scalars as S
 from codegauge.operators import fixes as X, history as H, lines as L, modules as M, reuse, scoring, skew, watch
 
@@ -291,3 +293,14 @@ def test_issue_lines_are_never_broadcast(spark):
     got = sorted(((r.file_id, r.line, r.original) for r in joined.collect()), key=str)
     assert got == sorted([(0, 2, "b"), (1, 4, "d"), (2, 9, ""), (3, None, ""), (7, 1, ""), (None, 1, ""), (0, 2, "b")], key=str)
     assert "Broadcast" not in plan(joined)
+
+
+@pytest.mark.parametrize("files", ["corpus_files", "graph_files"])
+def test_corpus_tasks_grow_with_the_rows(spark, tmp_path, files):
+    """A table of 150,000 keys is small in bytes and one file; nulls and a repeated key do not gather in a task."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(46)).when(F.col("id") % 3 == 1, F.col("id"))
+    spark.range(150_000).select(key.cast("long").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    tasks = {"corpus_files": corpus_files, "graph_files": graph_files}[files](spark, str(tmp_path)).groupBy(
+        F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 150_000
+    assert len(tasks) >= 15 and max(r["count"] for r in tasks) <= 11_000
