@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from codegauge.catalog.common import query, table
 from codegauge.functions.syntax import ast_nodes
 from codegauge.operators import modules as M
+from codegauge.operators.skew import even_join
 from codegauge.plans.validate import validate
 from codegauge.session import spread_rows, stage
 
@@ -91,21 +92,20 @@ def import_bases(spark, sf_dir):
     return M.import_bases(graph(spark, sf_dir)[1])
 
 
-_RANKS = "n AS (SELECT module, row_number() OVER (ORDER BY string_split(module, '.')) - 1 AS rank FROM (SELECT DISTINCT module FROM mods))"
-
-
-@query("module_edges", f"WITH {GRAPH}, {_RANKS} SELECT i.module AS from_module, i.imp, min(rank) AS first, max(rank) AS last, count(*) FILTER (n.module <> i.module) AS n_targets "
-       "FROM imports i JOIN n ON n.module = i.imp OR starts_with(n.module, i.imp || '.') GROUP BY i.module, i.imp, i.ord HAVING count(*) FILTER (n.module <> i.module) > 0")
+@query("module_edges", f"WITH {GRAPH} SELECT i.module AS from_module, m.module AS to_module, i.imp FROM imports i JOIN mods m "
+       "ON (m.module = i.imp OR starts_with(m.module, i.imp || '.')) AND m.module <> i.module")
 def module_edges(spark, sf_dir):
-    """Edges as intervals of the name tree: one row per import."""
+    """Every import with every file that it leads to: the edges as intervals of the name tree, then listed."""
     mods, imports = graph(spark, sf_dir)
-    return M.module_edges(imports, stage(M.name_ranks(mods), "name-ranks"))
+    ranks = stage(M.name_ranks(mods), "name-ranks")
+    # files may share a name: each of them is a target
+    return M.edge_pairs(M.module_edges(imports, ranks), even_join(mods.select("module"), ranks, "module"))
 
 
 @query("module_edge_pairs", f"WITH {GRAPH} SELECT i.module AS from_module, m.module AS to_module, i.imp FROM imports i JOIN mods m "
        "ON (m.module = i.imp OR starts_with(m.module, i.imp || '.')) AND m.module <> i.module")
 def module_edge_pairs(spark, sf_dir):
-    """The same edges, each with every member it leads to."""
+    """The same edges, with every name they lead to."""
     mods, imports = graph(spark, sf_dir)
     ranks = stage(M.name_ranks(mods), "name-ranks")
     return M.edge_pairs(M.module_edges(imports, ranks), ranks)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codegauge.catalog.common import corpus_files
-from codegauge.catalog.graph import graph_files
+from codegauge.catalog.graph import graph_files, module_edges
 from codegauge.functions import scalars as S
 from codegauge.operators import fixes as X, history as H, lines as L, modules as M, reuse, scoring, skew, watch
 
@@ -304,3 +304,14 @@ def test_corpus_tasks_grow_with_the_rows(spark, tmp_path, files):
         F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in tasks) == 150_000
     assert len(tasks) >= 15 and max(r["count"] for r in tasks) <= 11_000
+
+
+def test_module_edges_lists_every_member(spark, tmp_path):
+    """One group of files: an import of a package leads to the package and all that lies in it."""
+    spark.range(10).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted((r.from_module, r.to_module, r.imp) for r in module_edges(spark, str(tmp_path)).collect())
+    package = ["pkg_0", "pkg_0.core", "pkg_0.util"]
+    assert got == sorted(
+        [("pkg_0", "mod_4", "mod_4"), ("pkg_0.core", "pkg_0.util", "pkg_0.util"), ("mod_4", "mod_5", "mod_5"), ("mod_5", "mod_6", "mod_6"),
+         ("mod_6", "mod_4", "mod_4"), ("mod_6", "mod_7", "mod_7"), ("mod_9", "pkg_0.core", "pkg_0.core")]
+        + [(m, to, "pkg_0") for m in ("mod_7", "mod_8") for to in package])
