@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from codegauge.catalog import QUERIES
 from codegauge.catalog.common import corpus_files
 from codegauge.catalog.graph import graph_files, module_edges
 from codegauge.functions import scalars as S
@@ -306,6 +307,28 @@ def test_corpus_tasks_grow_with_the_rows(spark, tmp_path, files):
     assert len(tasks) >= 15 and max(r["count"] for r in tasks) <= 11_000
 
 
+PARSING = ["ast_const_if", "ast_dangerous_call", "ast_function_naming", "ast_sql_injection", "ast_nodes", "ast_deep_nesting",
+           "ast_infinite_loop", "ast_ellipsis_function", "ast_imports", "ast_class_naming", "ast_mutable_default", "descendant_join",
+           "ast_function_length", "module_symbols", "ast_os_system", "ast_redundant_compare", "ast_variable_naming", "ast_shell_true"]
+FIXING = ["fix_docstring", "fix_eval", "fix_infinite_loop", "fix_mutable_default", "fix_shell", "fix_sql_fstring", "fix_unreachable",
+          "fix_unused", "top_fixes"]
+
+
+def test_queries_that_parse_follow_the_rows(spark, tmp_path):
+    """150,000 keys in one small file: 15 tasks parse, whatever the cores known."""
+    spark.range(150_000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in PARSING:
+        assert "RoundRobinPartitioning(15)" in plan(QUERIES[name](spark, str(tmp_path))), name
+
+
+def test_fix_queries_never_broadcast_lines(spark, tmp_path):
+    """The lines of 46 files, one of each template, look like 46 keys to Spark; each meets its issues by a shuffle."""
+    spark.range(46).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    for name in FIXING:
+        text = plan(QUERIES[name](spark, str(tmp_path)))
+        assert "SortMergeJoin [file_id" in text and "BroadcastHashJoin" not in text, name
+
+
 def test_module_edges_lists_every_member(spark, tmp_path):
     """One group of files: an import of a package leads to the package and all that lies in it."""
     spark.range(10).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
