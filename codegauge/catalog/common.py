@@ -6,7 +6,7 @@ validation history and the change feed, ``part`` grows the template corpus and t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,8 +111,8 @@ def corpus_files(spark: SparkSession, sf_dir: str, language: str | None = None)
     return files if language is None else files.where(F.col("language") == language)
 
 
-def corpus_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ast_nodes(corpus_files(spark, sf_dir, "python"))
+def corpus_nodes(spark: SparkSession, sf_dir: str, kinds: Iterable[str] | None = None) -> DataFrame:
+    return ast_nodes(corpus_files(spark, sf_dir, "python"), kinds)
 
 
 def expected(*rules: str, columns: str = "file_id, rule_id, severity, line, message") -> str:

@@ -40,7 +40,7 @@ def ast_nodes(spark, sf_dir):
 def _local(rule_id):
     @query(rule_id, expected(rule_id))
     def run(spark, sf_dir):
-        return shown(N.local_issues(corpus_nodes(spark, sf_dir), [rule_id]))
+        return shown(N.local_issues(corpus_nodes(spark, sf_dir, N.local_kinds([rule_id])), [rule_id]))
 
 
 for _rule in ("ast_dangerous_call", "ast_sql_injection", "ast_shell_true", "ast_os_system", "ast_const_if", "ast_const_while",
@@ -56,7 +56,7 @@ _PARSER_SAYS = f"said(template, text) AS (VALUES (33, 'invalid syntax'), (34, {s
 @query("syntax_errors", f"WITH {expected_sql('syntax_error')}, {_PARSER_SAYS} "
        "SELECT e.file_id, e.rule_id, e.severity, e.line, 'Syntax error: ' || text AS message FROM expected e JOIN code_files USING (file_id) JOIN said USING (template)")
 def syntax_errors(spark, sf_dir):
-    return shown(N.syntax_error_issues(corpus_nodes(spark, sf_dir)))
+    return shown(N.syntax_error_issues(corpus_nodes(spark, sf_dir, [ERROR_KIND])))
 
 
 def _bindings_sql():
@@ -73,13 +73,13 @@ def _bindings_sql():
 
 @query("ast_imports", _bindings_sql())
 def ast_imports(spark, sf_dir):
-    return N.import_bindings(corpus_nodes(spark, sf_dir)).select("file_id", "alias", "full_name")
+    return N.import_bindings(corpus_nodes(spark, sf_dir, N.IMPORT_KINDS)).select("file_id", "alias", "full_name")
 
 
 def _import_rule(rule_id):
     @query(rule_id, expected(rule_id))
     def run(spark, sf_dir):
-        found = N.import_issues(N.import_bindings(corpus_nodes(spark, sf_dir)), N.known_modules(spark))
+        found = N.import_issues(N.import_bindings(corpus_nodes(spark, sf_dir, N.IMPORT_KINDS)), N.known_modules(spark))
         return shown(found.where(F.col("rule_id") == rule_id))
 
 
@@ -91,18 +91,18 @@ _import_rule("ast_unknown_import")
 @query("known_modules", "SELECT unnest(string_split('" + " ".join([*STANDARD_LIBRARY, *POPULAR_PACKAGES, "django_extra"]) + "', ' ')) AS module")
 def known_modules(spark, sf_dir):
     """The known-module table plus the packages the corpus itself imports by a likely-real name."""
-    used = N.import_bindings(corpus_nodes(spark, sf_dir)).where(F.col("full_name").startswith("django"))
+    used = N.import_bindings(corpus_nodes(spark, sf_dir, N.IMPORT_KINDS)).where(F.col("full_name").startswith("django"))
     return N.known_modules(spark, used.select(S.import_base(F.col("full_name")).alias("module")))
 
 
 @query("ast_undefined_call", expected("ast_undefined_call"))
 def ast_undefined_call(spark, sf_dir):
-    return shown(N.undefined_call_issues(N.symbols(corpus_nodes(spark, sf_dir))))
+    return shown(N.undefined_call_issues(N.symbols(corpus_nodes(spark, sf_dir, N.NAME_KINDS))))
 
 
 @query("ast_unused_var", expected("ast_unused_var"))
 def ast_unused_var(spark, sf_dir):
-    return shown(N.unused_variable_issues(N.symbols(corpus_nodes(spark, sf_dir))))
+    return shown(N.unused_variable_issues(N.symbols(corpus_nodes(spark, sf_dir, N.NAME_KINDS))))
 
 
 @query("ast_unreachable", expected("ast_unreachable"))
@@ -112,12 +112,12 @@ def ast_unreachable(spark, sf_dir):
 
 @query("ast_infinite_loop", expected("ast_infinite_loop"))
 def ast_infinite_loop(spark, sf_dir):
-    return shown(N.infinite_loop_issues(corpus_nodes(spark, sf_dir)))
+    return shown(N.infinite_loop_issues(corpus_nodes(spark, sf_dir, N.LOOP_KINDS)))
 
 
 @query("ast_redundant_compare", expected("ast_redundant_compare"))
 def ast_redundant_compare(spark, sf_dir):
-    return shown(N.redundant_compare_issues(corpus_nodes(spark, sf_dir)))
+    return shown(N.redundant_compare_issues(corpus_nodes(spark, sf_dir, N.COMPARE_KINDS)))
 
 
 def _listed(columns, rows):
@@ -133,7 +133,7 @@ def _listed(columns, rows):
     (19, 6, True, True), (19, 10, False, True), (19, 11, False, True), (21, 10, False, False), (21, 12, False, False),
     (22, 6, False, False), (28, 4, False, False)]))
 def descendant_join(spark, sf_dir):
-    return N.descendant_exits(corpus_nodes(spark, sf_dir)).select("file_id", "line", "has_exit", "endless")
+    return N.descendant_exits(corpus_nodes(spark, sf_dir, N.LOOP_KINDS)).select("file_id", "line", "has_exit", "endless")
 
 
 # Statements of checked blocks: template, line, place in the block, place and kind of the block's first jump.  One function of
@@ -163,7 +163,7 @@ def first_terminator(spark, sf_dir):
     (20, "total", 6, False), (20, "_", 3, False), (20, "used", 4, True), (20, "a", 7, True), (20, "b", 7, False),
     (25, "kind", 13, False), (26, "myVar", 20, True), (26, "MAX_SIZE", 21, True), (26, "_hidden", 22, True), (38, "unused_total", 2, False)]))
 def last_binding(spark, sf_dir):
-    table_ = N.symbols(corpus_nodes(spark, sf_dir)).where(F.col("assign_line").isNotNull())
+    table_ = N.symbols(corpus_nodes(spark, sf_dir, N.NAME_KINDS)).where(F.col("assign_line").isNotNull())
     return table_.select("file_id", "name", "assign_line", "loaded")
 
 
@@ -175,7 +175,7 @@ def last_binding(spark, sf_dir):
     (27, "step_a")] + [(27, f"step_{c}") for c in "bcdefghijklmnopqrstuvwxyz"] + [
     (28, "go"), (29, "go"), (30, "go"), (30, "stop"), (31, "sort")]))
 def name_difference(spark, sf_dir):
-    return N.called_but_unbound(corpus_nodes(spark, sf_dir))
+    return N.called_but_unbound(corpus_nodes(spark, sf_dir, N.NAME_KINDS))
 
 
 # Templates that name something; the others that parse have four empty lists.
@@ -191,7 +191,7 @@ _PARSED = [i for i, t in enumerate(TEMPLATES) if t.language == "python" and not
 
 @query("module_symbols", _listed("imports, exports, classes, functions", [(i, *_SYMBOLS.get(i, ("", "", "", ""))) for i in _PARSED]))
 def module_symbols(spark, sf_dir):
-    rows = N.module_symbols(corpus_nodes(spark, sf_dir))
+    rows = N.module_symbols(corpus_nodes(spark, sf_dir, N.MODULE_KINDS))
     return rows.select("file_id", *[F.array_join(c, ",").alias(c) for c in ("imports", "exports", "classes", "functions")])
 
 
@@ -201,7 +201,7 @@ def module_symbols(spark, sf_dir):
     (27, "busy", 4, "job", ""), (31, "add", 4, "item,into,seen", ""), (31, "keep", 9, "item,into,names", ""),
     (36, "größe", 6, "wert", "list[int]"), (37, "load", 9, "file_name,items,count", ""), (37, "total", 17, "values,is_net", "")]))
 def function_signatures(spark, sf_dir):
-    rows = N.function_signatures(corpus_nodes(spark, sf_dir))
+    rows = N.function_signatures(corpus_nodes(spark, sf_dir, N.SIGNATURE_KINDS))
     return rows.select("file_id", "name", "line", F.array_join("params", ",").alias("params"), F.coalesce("returns", F.lit("")).alias("returns"))
 
 

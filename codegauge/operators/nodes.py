@@ -26,6 +26,14 @@ from codegauge.session import scratch_path
 JUMPS = ["Return", "Raise", "Break", "Continue"]
 EXITS = ["Break", "Return", "Raise"]
 
+# Kinds of the nodes that the operators below read; those of the local rules stand in the rules (``local_kinds``).
+IMPORT_KINDS = ["alias"]
+NAME_KINDS = ["Name", "FunctionDef", "ClassDef", "alias", "Call"]
+LOOP_KINDS = ["While", "Constant", *EXITS]
+COMPARE_KINDS = ["Compare", "Name"]
+MODULE_KINDS = ["alias", "ClassDef", "FunctionDef", "Module"]
+SIGNATURE_KINDS = ["FunctionDef", "arg"]
+
 # Position of each check in a file's report.
 CHECK = {
     "ast_calls": 2,
@@ -204,6 +212,11 @@ def _rule_numbers(rules: Sequence[NodeRule]) -> Column:
     return chain
 
 
+def local_kinds(only: Sequence[str] | None = None) -> list[str]:
+    """Kinds of the nodes that ``local_issues`` reads for these rules."""
+    return _kinds([r for r in _local_rules() if only is None or r.rule_id in only])
+
+
 def local_issues(nodes: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
     """All rules that one node row decides, in one pass over the node table.
 
@@ -487,7 +500,7 @@ def module_symbols(nodes: DataFrame) -> DataFrame:
     kind = c("kind")
     full = F.when(c("module").isNotNull(), F.concat_ws(".", "module", "name")).otherwise(c("name"))
     is_class, is_function = kind == "ClassDef", (kind == "FunctionDef") & ~c("name").startswith("_")
-    rows = nodes.where(kind.isin("alias", "ClassDef", "FunctionDef", "Module")).select(
+    rows = nodes.where(kind.isin(MODULE_KINDS)).select(
         "file_id", "node_id",
         F.when(kind == "alias", full).alias("imp"),
         F.when(is_class | is_function, c("name")).alias("export"),

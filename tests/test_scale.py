@@ -6,11 +6,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codegauge.catalog import QUERIES
+from codegauge.catalog import QUERIES, common
 from codegauge.catalog.common import corpus_files
 from codegauge.catalog.graph import graph_files, module_edges
+from codegauge.corpus import TEMPLATES
 from codegauge.functions import scalars as S
-from codegauge.operators import fixes as X, history as H, lines as L, modules as M, reuse, scoring, skew, watch
+from codegauge.functions.syntax import ERROR_KIND, ast_nodes
+from codegauge.operators import fixes as X, history as H, lines as L, modules as M, nodes as N, reuse, scoring, skew, watch
 
 
 @pytest.fixture(scope="module")
@@ -321,6 +323,33 @@ def test_queries_that_parse_follow_the_rows(spark, tmp_path):
         assert "RoundRobinPartitioning(15)" in plan(QUERIES[name](spark, str(tmp_path))), name
 
 
+def test_rows_of_some_kinds_serve_their_reader_as_all_do(spark):
+    """One file of each template, a broken one, an empty and a null text: same rows, same result, and no other rows."""
+    readers = [
+        (N.import_bindings, N.IMPORT_KINDS), (N.symbols, N.NAME_KINDS), (N.called_but_unbound, N.NAME_KINDS), (N.infinite_loop_issues, N.LOOP_KINDS),
+        (N.descendant_exits, N.LOOP_KINDS), (N.redundant_compare_issues, N.COMPARE_KINDS), (N.module_symbols, N.MODULE_KINDS),
+        (N.function_signatures, N.SIGNATURE_KINDS), (N.syntax_error_issues, [ERROR_KIND]), (N.local_issues, N.local_kinds()),
+        (lambda nodes: N.local_issues(nodes, ["ast_class_naming"]), N.local_kinds(["ast_class_naming"]))]
+    codes = [t.code for t in TEMPLATES] + ["def f(:", "", None]
+    files = spark.createDataFrame(list(enumerate(codes)), "file_id long, code string")
+    whole = ast_nodes(files).cache()
+    for reader, kinds in readers:
+        some = ast_nodes(files, kinds)
+        assert sorted(map(str, some.collect())) == sorted(map(str, whole.where(F.col("kind").isin(list(kinds))).collect())), kinds
+        assert sorted(map(str, reader(some).collect())) == sorted(map(str, reader(whole).collect())), kinds
+    whole.unpersist()
+
+
+def test_rule_queries_take_only_the_kinds_they_read(spark, tmp_path, monkeypatch):
+    """Rows that a rule drops at once never leave the parse; the node table's own query takes them all."""
+    spark.range(46).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    asked = []
+    monkeypatch.setattr(common, "ast_nodes", lambda files, kinds=None: asked.append(kinds) or ast_nodes(files, kinds))
+    for name in PARSING:
+        QUERIES[name](spark, str(tmp_path))
+        assert (asked.pop() is None) == (name == "ast_nodes"), name
+
+
 def test_fix_queries_never_broadcast_lines(spark, tmp_path):
     """The lines of 46 files, one of each template, look like 46 keys to Spark; each meets its issues by a shuffle."""
     spark.range(46).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
