@@ -247,11 +247,11 @@ def issue_line_join(spark, sf_dir):
 
 # --- fixes --------------------------------------------------------------------------------------------------------------
 
-# The rules whose issues a fix can answer; the others are local rules.
+# The rules whose issues a fix can answer, with the kinds of nodes they read; the others are local rules.
 _SOURCE_OF_FIX = {
-    "fix_unreachable": N.unreachable_issues,
-    "fix_infinite_loop": N.infinite_loop_issues,
-    "fix_unused": lambda nodes: N.unused_variable_issues(N.symbols(nodes)),
+    "fix_unreachable": (N.unreachable_issues, N.BLOCK_KINDS),
+    "fix_infinite_loop": (N.infinite_loop_issues, N.LOOP_KINDS),
+    "fix_unused": (lambda nodes: N.unused_variable_issues(N.symbols(nodes)), N.NAME_KINDS),
 }
 
 
@@ -260,7 +260,8 @@ def corpus_fixes(spark, sf_dir, fix_id=None):
     files = corpus_files(spark, sf_dir, "python")
     if fix_id is None:
         return X.suggest_fixes(validate(files).issues, L.code_lines(files))
-    found = _SOURCE_OF_FIX.get(fix_id, N.local_issues)(ast_nodes_of(files))
+    issues_of, kinds = _SOURCE_OF_FIX[fix_id] if fix_id in _SOURCE_OF_FIX else (N.local_issues, N.local_kinds())
+    found = issues_of(ast_nodes_of(files, kinds))
     return X.suggest_fixes(found, L.code_lines(files)).where(F.col("fix_id") == fix_id)
 
 

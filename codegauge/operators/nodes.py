@@ -11,6 +11,7 @@ Each rule's text is fixed; ``seq`` sorts a file's issues as a report lists them.
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ EXITS = ["Break", "Return", "Raise"]
 
 # Kinds of the nodes that the operators below read; those of the local rules stand in the rules (``local_kinds``).
 IMPORT_KINDS = ["alias"]
+BLOCK_KINDS = [kind.__name__ for kind in ast.stmt.__subclasses__()]
 NAME_KINDS = ["Name", "FunctionDef", "ClassDef", "alias", "Call"]
 LOOP_KINDS = ["While", "Constant", *EXITS]
 COMPARE_KINDS = ["Compare", "Name"]

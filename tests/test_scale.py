@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codegauge.catalog import QUERIES, common
+from codegauge.catalog import QUERIES, common, tree
 from codegauge.catalog.common import corpus_files
 from codegauge.catalog.graph import graph_files, module_edges
 from codegauge.corpus import TEMPLATES
@@ -350,6 +350,20 @@ def test_rule_queries_take_only_the_kinds_they_read(spark, tmp_path, monkeypatch
         assert (asked.pop() is None) == (name == "ast_nodes"), name
 
 
+def test_fix_queries_take_only_the_kinds_they_read(spark, tmp_path, monkeypatch):
+    """Nodes that the rules behind a fix drop at once never leave the parse, and the issues are those of the whole node table."""
+    spark.range(46).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    asked = []
+    monkeypatch.setattr(tree, "ast_nodes_of", lambda files, kinds=None: asked.append(kinds) or ast_nodes(files, kinds))
+    for name in FIXING:
+        QUERIES[name](spark, str(tmp_path))
+    assert len(asked) == len(FIXING) - 1 and None not in asked  # top_fixes runs all rules on the staged table
+    codes = [t.code for t in TEMPLATES] + ["match a:\n    case 1:\n        return 1\n        b\nx = 1 if a else 2\ntype T = int\nfor a in b:\n    del a\n    raise a\n    import c\n"]
+    files = spark.createDataFrame(list(enumerate(codes)), "file_id long, code string")
+    some, whole = (sorted(map(str, N.unreachable_issues(ast_nodes(files, k)).collect())) for k in (N.BLOCK_KINDS, None))
+    assert some == whole and any("line=10" in row for row in some)
+
+
 def test_fix_queries_never_broadcast_lines(spark, tmp_path):
     """The lines of 46 files, one of each template, look like 46 keys to Spark; each meets its issues by a shuffle."""
     spark.range(46).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
