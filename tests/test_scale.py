@@ -10,7 +10,7 @@ from codegauge.catalog import QUERIES, common, tree
 from codegauge.catalog.common import corpus_files
 from codegauge.catalog.graph import graph_files, module_edges
 from codegauge.corpus import TEMPLATES
-from codegauge.functions import scalars as S
+from codegauge.functions import scalars as S, syntax
 from codegauge.functions.syntax import ERROR_KIND, ast_nodes
 from codegauge.operators import fixes as X, history as H, lines as L, modules as M, nodes as N, reuse, scoring, skew, watch
 
@@ -350,6 +350,17 @@ def test_rule_queries_take_only_the_kinds_they_read(spark, tmp_path, monkeypatch
         assert (asked.pop() is None) == (name == "ast_nodes"), name
 
 
+def test_a_text_without_a_wanted_node_ends_at_the_walk(monkeypatch):
+    """Places, names and facts are worked out up to the last wanted node; a text that has none is only parsed and walked."""
+    monkeypatch.setattr(syntax, "_label", lambda node, slot: pytest.fail(f"looked at a {type(node).__name__}"))
+    assert syntax.node_rows("import a\nprint(a.b)\n", {"ClassDef"}) == []
+    monkeypatch.undo()
+    for code in [t.code for t in TEMPLATES if t.language == "python"] + ["", "x = 1\nclass A:\n    def f(self): return lambda: [1]\n"]:
+        whole = syntax.node_rows(code)
+        for kind in {row[5] for row in whole}:
+            assert syntax.node_rows(code, {kind}) == [row for row in whole if row[5] == kind]
+
+
 def test_fix_queries_take_only_the_kinds_they_read(spark, tmp_path, monkeypatch):
     """Nodes that the rules behind a fix drop at once never leave the parse, and the issues are those of the whole node table."""
     spark.range(46).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
